@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    from haploom.llm import byte_bpe
+    from haploom.llm import byte_bpe, token_counts
 
     return {
+        "op2_token_counts": token_counts.op2_token_counts,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     }
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haploom.llm.textkit import keyed_texts, pretokenizer, slices
+from haploom.llm.textkit import Numbers, keyed_texts, pretokenizer, slices
 
 #: Words whose ids a Python worker keeps between batches; others are replayed again.
 MEMO_WORDS = 500_000
@@ -196,14 +196,6 @@ def replay(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return tok[own][alive], np.cumsum(alive)[ends - 1]
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first place."""
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
-
-
 class Encoder:
     """Encodes texts; keeps the ids of words it has seen, up to ``MEMO_WORDS``."""
 
@@ -216,7 +208,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for shard in _shards(texts):
-            number = _Numbers()
+            number = Numbers()
             docs = [array("I", map(number.__getitem__, self.split(t))) for t in shard]
             ids = self._ids(list(number))
             del number

@@ -70,3 +70,11 @@ def pretokenizer(pattern: str = public_tokenizers.PATTERN) -> Callable[[str], li
         return fast(text) if same else full.findall(text)
 
     return split
+
+
+class Numbers(dict):
+    """Numbers words in the order of their first place."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
