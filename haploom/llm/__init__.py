@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    from haploom.llm import byte_bpe, quality, token_counts
+    from haploom.llm import byte_bpe, quality, token_counts, toxicity
 
     return {
         "op2_token_counts": token_counts.op2_token_counts,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op10_quality": quality.op10_quality,
     }
 
