@@ -212,6 +212,7 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True)))) if self.merges.special else None
         self.number = Numbers()
         self.totals = np.empty(0, dtype=np.int32)
+        self.chars = np.empty(0, dtype=np.int32)
 
     def _learn(self) -> None:
         """Counts of the words numbered since the last time."""
@@ -219,31 +220,37 @@ class Counter:
         if new:
             got = self.merges.prefix_counts([w.encode("utf-8", "surrogatepass") for w in new])
             self.totals = np.concatenate([self.totals, np.fromiter((g[-1] for g in got), dtype=np.int32, count=len(got))])
-
-    def word_counts(self, words: list[str]) -> np.ndarray:
-        """Token counts of words."""
-        numbers = [self.number[w] for w in words]
-        self._learn()
-        return self.totals[numbers] if numbers else np.zeros(0, dtype=np.int32)
+            self.chars = np.concatenate([self.chars, np.fromiter(map(len, new), dtype=np.int32, count=len(new))])
 
     def __getitem__(self, word: str) -> int:
-        return int(self.word_counts([word])[0])
-
-    def count_many(self, texts: list[str]) -> list[int]:
-        """Tokens of whole texts."""
-        out: list[int] = []
+        number = self.number.get(word)
+        if number is not None and number < len(self.totals):
+            return int(self.totals[number])
+        return int(self.merges._one(word.encode("utf-8", "surrogatepass"))[-1])
+
+    def count_many(self, texts: list[str], budget: int = 1 << 62) -> list[tuple[int, int]]:
+        """For each whole text its tokens, and the characters of its longest prefix within ``budget``."""
+        out: list[tuple[int, int]] = []
         at = 0
         while at < len(texts):
             if len(self.number) > MEMO_WORDS:
                 self.number = Numbers()
-                self.totals = np.empty(0, dtype=np.int32)
+                self.totals = self.chars = np.empty(0, dtype=np.int32)
             docs, chars = [], 0
             while at < len(texts) and chars < SHARD_CHARS:
                 chars += len(texts[at])
-                docs.append(self._numbered(texts[at]))
+                docs.append((texts[at], *self._numbered(texts[at])))
                 at += 1
             self._learn()
-            out += [int(self.totals[np.frombuffer(words, dtype=np.uint32)].sum()) + extra if len(words) else extra for words, extra in docs]
+            for text, numbers, specials in docs:
+                words = np.frombuffer(numbers, dtype=np.uint32) if numbers else np.empty(0, dtype=np.uint32)
+                count = int(self.totals[words].sum()) + specials
+                if count <= budget:
+                    out.append((count, len(text)))
+                elif specials:
+                    out.append((count, int(np.flatnonzero(self.prefixes(text) <= budget)[-1])))
+                else:
+                    out.append((count, self._fit(text, words, budget)))
         return out
 
     def _numbered(self, text: str) -> tuple[array, int]:
@@ -300,35 +307,29 @@ class Counter:
     def _within(self, word: str) -> np.ndarray:
         """Counts of a word's prefixes by characters; a cut contraction is split again."""
         raw = word.encode("utf-8", "surrogatepass")
-        counts = self.merges.prefix_counts([raw])[0].astype(np.int32)
+        counts = self.merges._one(raw)
         if not word.isascii():
             counts = counts[np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in word)])]
         if len(word) == 3 and word[0] == "'" and word[1].isalpha():
             counts[2] = sum(self[w] for w in self.split(word[:2]))
         return counts
 
-    def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens.
+    def _fit(self, text: str, words: np.ndarray, budget: int) -> int:
+        """Characters of the longest prefix of at most ``budget`` tokens, which the text exceeds.
 
-        Counts of whole words bound the search: each word adds a token at least, so only the last few
-        words that begin within the budget are looked at by prefix.
+        Each word adds a token at least, so only the last few words that begin within the budget are
+        looked at by prefix.
         """
-        words = self.split(text) if self.special is None or not self.special.search(text) else None
-        if words is None:
-            counts = self.prefixes(text)
-            return int(np.flatnonzero(counts <= budget)[-1])
-        before = np.concatenate([[0], np.cumsum(self.word_counts(words), dtype=np.int64)])
-        if before[-1] <= budget:
-            return len(text)
-        k = max(0, int(np.searchsorted(before, budget, side="right")) - 3)
-        while k and words[k - 1].isspace():
+        before = np.concatenate([[0], np.cumsum(self.totals[words], dtype=np.int64)])
+        place = np.concatenate([[0], np.cumsum(self.chars[words], dtype=np.int64)])
+        over = int(np.searchsorted(before, budget, side="right"))
+        k = max(0, over - 3)
+        while k and text[place[k - 1] : place[k]].isspace():
             k -= 1
         k = max(0, k - 1)
-        lengths = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        end = min(len(words), int(np.searchsorted(before, budget, side="right")) + 1)
-        piece = text[lengths[k] : lengths[end]]
-        counts = before[k] + self._plain_prefixes(piece)
-        return int(lengths[k] + np.flatnonzero(counts <= budget)[-1])
+        end = min(len(words), over + 1)
+        counts = before[k] + self._plain_prefixes(text[place[k] : place[end]])
+        return int(place[k] + np.flatnonzero(counts <= budget)[-1])
 
 
 @lru_cache(maxsize=2)
@@ -350,14 +351,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
         for batch in batches:
             for part in slices(batch, 4096):
                 texts = part.column(1).to_pylist()
-                counts = c.count_many(texts)
+                counts = c.count_many(texts, limit)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                        pa.array(counts, pa.int64()),
-                        pa.array([n > limit for n in counts], pa.bool_()),
-                        pa.array([len(t) if n <= limit else c.fit(t, limit) for t, n in zip(texts, counts, strict=True)], pa.int64()),
+                        pa.array([n for n, _ in counts], pa.int64()),
+                        pa.array([n > limit for n, _ in counts], pa.bool_()),
+                        pa.array([chars for _, chars in counts], pa.int64()),
                     ],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
                 )
