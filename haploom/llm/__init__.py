@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator."""
-    from haploom.llm import byte_bpe, decontaminate, jaccard_join, licenses, quality, substring_dedup, token_counts, toxicity
+    from haploom.llm import byte_bpe, decontaminate, jaccard_join, licenses, nearest, quality, quotes, substring_dedup, token_counts, toxicity
 
     return {
+        "op1_quotes": quotes.op1_quotes,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_nearest": nearest.op6_nearest,
         "op7_licenses": licenses.op7_licenses,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -25,4 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express on whole tables."""
-    return {}
+    from haploom.llm import licenses, nearest, quotes
+
+    return {
+        "op1_quotes": quotes.SQL,
+        "op6_nearest": nearest.SQL,
+        "op7_licenses": licenses.sql(),
+    }

@@ -134,3 +134,35 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def sql() -> str:
+    """The same in DuckDB: notices are tried at every place of their key phrase."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    keys = [(label, phrase.split(), 0, phrase.split(), 1) for label, phrase in BASE.items()]
+    keys += [(label, key, at, ws, 0) for label, (ws, at, key) in ((label, _spelled(notice)) for label, notice in TEMPLATES)]
+    rows = ",\n    ".join(f"('{label}', {quoted(key)}, {at}, {quoted(ws)}, {base})" for label, key, at, ws, base in keys)
+    return rf"""
+WITH keys(label, key, place, notice, base) AS (VALUES
+    {rows}
+), told AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BETWEEN}'), lambda w: w <> '') AS words,
+    row_number() OVER () AS row
+  FROM documents
+), tried AS (
+  SELECT row, words, label, key, place, notice, base, unnest(list_filter(range(len(words)), lambda i: words[i + 1] = key[1])) AS i
+  FROM told CROSS JOIN keys WHERE list_contains(words, key[1])
+), found AS (
+  SELECT row, label, base, i, i - place AS start,
+    len(list_filter(range(len(notice)), lambda j: i - place + j >= 0 AND words[i - place + j + 1] = notice[j + 1])) / len(notice)::DOUBLE AS share
+  FROM tried WHERE list_slice(words, i + 1, i + len(key)) = key
+), each AS (
+  SELECT row, count(*) FILTER (base = 1) AS n_base, min(i) FILTER (base = 1) AS first_word, max(i) FILTER (base = 1) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
+  FROM found GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM told LEFT JOIN each ON each.row = told.row
+"""
