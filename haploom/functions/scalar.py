@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parse_position(text: Column) -> Column:
@@ -68,12 +69,12 @@ def failure(message: Column) -> Column:
     return F.to_json(F.struct(F.lit(False).alias("success"), message.alias("error")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_u32(cells: pd.Series) -> pd.Series:
     """Arrays as base64 of little-endian unsigned 32-bit numbers."""
     return cells.map(lambda x: None if x is None else b64.b64encode(np.asarray(x, dtype="<u4").tobytes()).decode())
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def decode_u32(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else np.frombuffer(b64.b64decode(x), dtype="<u4").astype(np.int64))

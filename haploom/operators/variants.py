@@ -122,7 +122,7 @@ def panel_genotypes(variants: DataFrame, intervals: DataFrame, panel: DataFrame,
 
     laid = intervals.withColumn("low", F.col("start") + 1)
     hit = interval_join(variants.select("chrom", "pos").distinct(), laid, ["chrom"], "pos", "low", "end", bucket)
-    best = hit.groupBy("sample", "chrom", "pos").agg(F.max_by(F.struct("parent1", "parent2"), "ord").alias("p")).select("sample", "chrom", "pos", "p.*")
+    best = hit.groupBy("sample", "chrom", "pos").agg(F.max_by(F.struct("parent1", "parent2"), "ord").alias("pair")).select("sample", "chrom", "pos", "pair.*")
     one = panel.select("chrom", "pos", F.col("member").alias("parent1"), F.col("allele").alias("a1"))
     two = panel.select("chrom", "pos", F.col("member").alias("parent2"), F.col("allele").alias("a2"))
     joined = best.join(one, ["chrom", "pos", "parent1"], "left").join(two, ["chrom", "pos", "parent2"], "left")
