@@ -59,4 +59,4 @@ def write_bed(rows: DataFrame, path: str, columns: list[str], by: list[str], sin
 
 def write_bed_by_sample(rows: DataFrame, path: str) -> None:
     """A folder for each sample and contig, tab-separated with a header."""
-    rows.repartition("sample", "contig").sortWithinPartitions("sample", "contig", "start").write.mode("overwrite").partitionBy("sample", "contig").option("sep", "\t").option("header", True).csv(path)
+    rows.repartition("sample", "chrom").sortWithinPartitions("sample", "chrom", "start").write.mode("overwrite").partitionBy("sample", "chrom").option("sep", "\t").option("header", True).csv(path)
