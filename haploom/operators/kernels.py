@@ -81,13 +81,36 @@ def ordered_transitions(k: int, p_stay: float = 0.99, two: float = -1e6) -> np.n
     return np.where(same, np.log(p_stay), np.where(one, rest, two))
 
 
-def hmm_diploid(cells: np.ndarray, weights: np.ndarray, p_stay: float = 0.99, homozygous: float = -0.1) -> np.ndarray:
-    """Pairs of founders of each site (two columns): both founders' emissions, a penalty for equal ones."""
-    k = cells.shape[1]
-    i, j = pairs(k)
-    emit = pair_emissions(log_softmax(cells * weights)) + np.where(i == j, homozygous, 0.0)
-    path = viterbi(emit, ordered_transitions(k, p_stay), np.full(len(i), -np.log(len(i))))
-    return np.stack([i[path], j[path]], axis=1)
+def hmm_diploid(cells: np.ndarray, weights: np.ndarray, p_stay: float = 0.99, homozygous: float = -0.1, two: float = -1e6) -> np.ndarray:
+    """Pairs of founders of each site (two columns): both founders' emissions, a penalty for equal ones.
+
+    Transitions are those of ``ordered_transitions``; as they depend on slots alone, a step needs the
+    best score of each slot's founder and of all, not a square of pairs. Ties go to the lowest pair.
+    """
+    n, k = cells.shape
+    log_em = log_softmax(cells * weights)
+    upper = np.triu(np.ones((k, k), dtype=bool))
+    base = np.where(upper, np.eye(k) * homozygous, -np.inf)
+    stay = np.log(p_stay)
+    rest = np.log((1 - p_stay) / max(k - 1, 1)) if k > 1 else 0.0
+    own = np.arange(k * k).reshape(k, k)
+    came = np.empty((n, k, k), dtype=np.int32)
+    score = base + log_em[0][:, None] + log_em[0][None, :] - np.log(k * (k + 1) / 2)
+    side = np.arange(k)
+    for t in range(1, n):
+        by_first, by_second = score.argmax(axis=1), score.argmax(axis=0)
+        first, second = score[side, by_first] + rest, score[by_second, side] + rest
+        top = int(score.argmax())
+        values = np.stack([score + stay, np.broadcast_to(first[:, None], (k, k)), np.broadcast_to(second[None, :], (k, k)), np.full((k, k), score.flat[top] + two)])
+        sources = np.stack([own, np.broadcast_to((side * k + by_first)[:, None], (k, k)), np.broadcast_to((by_second * k + side)[None, :], (k, k)), np.full((k, k), top)])
+        best = values.max(axis=0)
+        came[t] = np.where(values == best, sources, k * k).min(axis=0)
+        score = best + base + log_em[t][:, None] + log_em[t][None, :]
+    path = np.empty(n, dtype=np.int64)
+    path[-1] = score.argmax()
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = came[t].flat[path[t]]
+    return np.stack(np.divmod(path, k), axis=1)
 
 
 def crf_viterbi(emit: np.ndarray, cost: np.ndarray, switches: np.ndarray, stay_bonus: np.ndarray) -> np.ndarray:
@@ -109,29 +132,44 @@ def crf_viterbi(emit: np.ndarray, cost: np.ndarray, switches: np.ndarray, stay_b
 
 def crf_viterbi_factored(emit: np.ndarray, cost: np.ndarray, stay_bonus: np.ndarray, k: int) -> np.ndarray:
     """The same over unordered pairs in pairs + founders a step: a pair is reached by staying, from the best
-    pair that holds one of its founders (one switch), or from the best of all (two). Ties in that order."""
+    pair that holds one of its founders (one switch), or from the best of all (two). Ties in that order.
+
+    Scores stand in a symmetric founder-by-founder table, so the best pair of a founder is its row's
+    maximum; the first one in a row is the pair of the lowest number.
+    """
     i, j = pairs(k)
-    n, s = emit.shape
-    came = np.zeros((n, s), dtype=np.int64)
-    score = emit[0].copy()
-    members = np.concatenate([i, j])
-    index = np.concatenate([np.arange(s)] * 2)
-    order = np.lexsort((index, members))
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(members[order]) > 0]))
+    place = np.empty((k, k), dtype=np.int64)
+    place[i, j] = place[j, i] = np.arange(len(i))
+    n = len(emit)
+    bonus = stay_bonus[place]
+    own = np.arange(k * k, dtype=np.int32).reshape(k, k)
+    rows = np.arange(k)
+    first = rows * k
+    came = np.empty((n, k, k), dtype=np.int16 if k <= 181 else np.int32)
+    score = emit[0][place]
     for t in range(1, n):
-        both = score[index[order]]
-        best = np.maximum.reduceat(both, cuts)
-        hit = np.where(both == np.repeat(best, np.diff(np.append(cuts, len(both)))), index[order], s)
-        at = np.minimum.reduceat(hit, cuts)
-        top = int(score.argmax())
-        options = np.stack([score + stay_bonus, best[i] - cost[t], best[j] - cost[t], np.full(s, score[top] - 2 * cost[t])])
-        choice = options.argmax(axis=0)
-        came[t] = np.choose(choice, [np.arange(s), at[i], at[j], np.full(s, top)])
-        score = options[choice, np.arange(s)] + emit[t]
+        at = score.argmax(axis=1)
+        best = score[rows, at]
+        at = first + at
+        top = best.argmax()
+        c = cost[t]
+        new = score + bonus
+        source = own.copy()
+        one = best - c
+        for value, origin in ((one[:, None], at[:, None]), (one[None, :], at[None, :]), (best[top] - 2 * c, at[top])):
+            more = value > new
+            np.copyto(new, value, where=more)
+            np.copyto(source, origin, where=more, casting="same_kind")
+        came[t] = source
+        score = new + emit[t][place]
+    flat = score.argmax()
     path = np.empty(n, dtype=np.int64)
-    path[-1] = score.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
+    for t in range(n - 1, -1, -1):
+        a, b = divmod(int(flat), k)
+        if a > b:  # the table is symmetric; sources are kept where the first founder is the lower
+            a, b = b, a
+        path[t] = place[a, b]
+        flat = came[t, a, b]
     return path
 
 

@@ -113,6 +113,19 @@ def test_factored_equals_whole():
     assert set(kernels.pruned(emit, kept, lambda e: e.argmax(axis=1)).tolist()) <= {0, 3}
 
 
+def test_slots_equal_the_square_of_pairs():
+    rng = np.random.default_rng(6)
+    x = (rng.random((80, 5)) < 0.4).astype(float)
+    i, j = kernels.pairs(5)
+    emit = kernels.pair_emissions(kernels.log_softmax(x)) + np.where(i == j, -0.1, 0.0)
+    path = kernels.viterbi(emit, kernels.ordered_transitions(5), np.full(len(i), -np.log(len(i))))
+    got = kernels.hmm_diploid(x, np.ones(5))
+    place = {(a, b): n for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True))}
+    step = lambda t, a, b, m=kernels.ordered_transitions(5): m[a, b]
+    assert np.isclose(value([place[tuple(r)] for r in got.tolist()], emit, step), value(path, emit, step))
+    assert (got == np.stack([i[path], j[path]], axis=1)).mean() > 0.9
+
+
 def test_pairs_and_ordered_switches():
     assert list(zip(*kernels.pairs(3), strict=True)) == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
     a = kernels.ordered_transitions(3)
