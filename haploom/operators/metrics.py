@@ -152,3 +152,37 @@ def top_rank_of_truth(counts: DataFrame, keys: list[str], founder: str, n: str,
     ranked = counts.withColumn("__rank", F.rank().over(W.partitionBy(*keys).orderBy(F.desc(n))))
     own = truth.join(ranked, [*keys, founder])
     return own.agg(F.count("*").alias("n"), F.median("__rank").alias("median_rank"), F.avg((F.col("__rank") <= 3).cast("double")).alias("top3"))
+
+
+def best_of_grid(scores: DataFrame, params: list[str], score: str) -> DataFrame:
+    """The parameters of the best score, the smallest of equal ones."""
+    return scores.agg(F.max(F.struct(F.col(score), *((-F.col(p)).alias(p) for p in params))).alias("b")).select(*((-F.col(f"b.{p}")).alias(p) for p in params), F.col(f"b.{score}").alias(score))
+
+
+def by_class(df: DataFrame, keys: list[str], correct: str) -> DataFrame:
+    """Rows and accuracy for every combination of keys, for each key alone, and for all (null: all)."""
+    cols = [F.col(k) for k in keys]
+    return df.groupingSets([cols, *[[c] for c in cols], []], *cols).agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
+
+
+def founders_per_individual(df: DataFrame, keys: list[str], h1: str, h2: str, unknown: int) -> DataFrame:
+    """Distinct founders over both haplotypes, unknown ones left out."""
+    long = df.select(*keys, F.explode(F.array(h1, h2)).alias("__f")).where(F.col("__f") != unknown)
+    return long.groupBy(*keys).agg(F.count_distinct("__f").alias("n_founders"))
+
+
+def masked_accuracy(df: DataFrame, keys: list[str], cells: str, p1: str, p2: str) -> DataFrame:
+    """Of masked sites: how often either decoded founder matches what was held out, and how often any could."""
+    hit = (F.get(cells, F.col(p1)) != 0) | (F.get(cells, F.col(p2)) != 0)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("either"), F.avg(F.exists(cells, lambda x: x != 0).cast("double")).alias("ceiling"))
+
+
+def shares(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each row's part of its key's sum."""
+    return df.withColumn("share", F.col(value) / F.sum(value).over(W.partitionBy(*keys)))
+
+
+def span_share(trees: DataFrame, keys: list[str], span: str, frequency: str) -> DataFrame:
+    """Part of the length where a founder is present, and its mean frequency weighted by span."""
+    total = F.sum(span)
+    return trees.groupBy(*keys).agg((F.sum(F.when(F.col(frequency) > 0, F.col(span)).otherwise(0)) / total).alias("present"), (F.sum(F.col(span) * F.col(frequency)) / total).alias("frequency"))

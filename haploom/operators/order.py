@@ -92,3 +92,29 @@ def keep_above(df: DataFrame, group: list[str], rate: str, fraction: float, floo
     """Rows whose rate reaches ``max(floor, fraction * the group's largest)``."""
     w = W.partitionBy(*group)
     return df.where(F.col(rate) >= F.lit(0)).withColumn("__m", F.max(rate).over(w)).where(F.col(rate) >= F.greatest(F.lit(floor), F.lit(fraction) * F.col("__m"))).drop("__m")
+
+
+def zip_join(left: DataFrame, right: DataFrame, keys: list[str], left_by: list, right_by: list) -> DataFrame:
+    """Rows of equal place in a stated order on both sides; what is longer is cut."""
+    return with_ordinal(left, left_by, keys, "__ord").join(with_ordinal(right, right_by, keys, "__ord"), [*keys, "__ord"]).drop("__ord")
+
+
+def highlights(df: DataFrame, by: list, value: str, n: int = 50) -> DataFrame:
+    """The first non-zero cells."""
+    return df.where(F.col(value) != 0).orderBy(*by).limit(n)
+
+
+def renumbered(names: DataFrame, name: str, number: str) -> DataFrame:
+    """Old and new number of each name in natural order, to reorder rows and to map paths back."""
+    key, text = natural_key(F.col(name))
+    return names.withColumn("place", F.row_number().over(W.orderBy(key, text)) - 1).select(name, number, "place")
+
+
+def sort_by(df: DataFrame, column: str, descending: bool, *ties: str) -> DataFrame:
+    """Rows by a chosen column and direction."""
+    return df.orderBy(F.desc(column) if descending else F.asc(column), *ties)
+
+
+def keep_with_probability(df: DataFrame, key: str, probability, seed: int) -> DataFrame:
+    """Rows kept with a probability that may differ by row, by a hash of their key."""
+    return df.where(hashed_uniform(key, seed=seed) < probability)

@@ -559,6 +559,76 @@ def label_quality(s, d):
     return b.groupBy("contig").agg(F.round(F.avg((F.get("features", F.col("p2")) > 0).cast("double")), 6).alias("supported"))
 
 
+@query(
+    with_views(
+        "SELECT contig, p1, count(*) AS n, round(avg(CASE WHEN p1 = p2 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM twice GROUP BY GROUPING SETS ((contig, p1), (contig), (p1), ())",
+        "path",
+        "second",
+        more=_BOTH,
+    )
+)
+def accuracy_by_class(s, d):
+    return metrics.by_class(_both(s, d).withColumn("right", F.col("p1") == F.col("p2")), ["contig", "p1"], "right").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(with_views("SELECT contig, count(DISTINCT f) AS n_founders FROM (SELECT contig, p1 AS f FROM twice UNION ALL SELECT contig, p2 FROM twice) WHERE f <> 6 GROUP BY contig", "path", "second", more=_BOTH))
+def founders_per_individual(s, d):
+    return metrics.founders_per_individual(_both(s, d), ["contig"], "p1", "p2", 6)
+
+
+@query(
+    with_views(
+        """SELECT contig, count(*) AS n, round(avg(hit), 6) AS either, round(avg(could), 6) AS ceiling FROM (
+          SELECT b.contig, b.pos, max(CASE WHEN c.founder IN (b.p1, b.p2) AND x > 0 THEN 1.0 ELSE 0.0 END) AS hit, max(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS could
+          FROM twice b JOIN cells c ON c.contig = b.contig AND c.pos = b.pos GROUP BY ALL) GROUP BY contig""",
+        "path",
+        "second",
+        "cells",
+        more=_BOTH,
+    )
+)
+def masked_accuracy(s, d):
+    m = metrics.masked_accuracy(_both(s, d).join(V.features(s, d), ["contig", "pos"]), ["contig"], "features", "p1", "p2")
+    return m.withColumn("either", F.round("either", 6)).withColumn("ceiling", F.round("ceiling", 6))
+
+
+@query(with_views("SELECT contig, pos, founder, round(n / CAST(sum(n) OVER (PARTITION BY contig, pos) AS DOUBLE), 6) AS share FROM counts", "counts"))
+def read_shares(s, d):
+    return metrics.shares(V.counts(s, d), ["contig", "pos"], "n").select("contig", "pos", "founder", F.round("share", 6).alias("share"))
+
+
+@query(with_views("SELECT p.contig, p.ord, p.p1, q.ord AS other FROM path p JOIN (SELECT contig, ord, row_number() OVER (PARTITION BY contig ORDER BY ord DESC) - 1 AS o FROM path WHERE ord % 2 = 0) q ON q.contig = p.contig AND q.o = p.ord", "path"))
+def positional_join(s, d):
+    p = V.path(s, d)
+    other = p.where("ord % 2 = 0").select("contig", F.col("ord").alias("other"))
+    return order.zip_join(p.select("contig", "ord", "p1"), other, ["contig"], ["ord"], [F.desc("other")])
+
+
+@query("SELECT CAST(q AS INTEGER) AS q, CAST(t AS INTEGER) AS t, round(score, 6) AS score FROM (SELECT q.q, t.t, avg(CASE WHEN l_quantity > q.q AND l_tax * 100 > t.t THEN l_discount ELSE 0 END) AS score FROM lineitem CROSS JOIN (SELECT unnest([10, 20, 30]) AS q) q CROSS JOIN (SELECT unnest([1, 2, 4]) AS t) t GROUP BY ALL) ORDER BY score DESC LIMIT 1")
+def parameter_grid(s, d):
+    grid = s.createDataFrame([(q, t) for q in (10, 20, 30) for t in (1, 2, 4)], "q int, t int")
+    hit = F.when((F.col("l_quantity") > F.col("q")) & (F.col("l_tax") * 100 > F.col("t")), F.col("l_discount")).otherwise(0.0)
+    scores = V.table(s, d, "lineitem").crossJoin(F.broadcast(grid)).groupBy("q", "t").agg(F.avg(hit).alias("score"))
+    return metrics.best_of_grid(scores, ["q", "t"], "score").withColumn("score", F.round("score", 6))
+
+
+@query(with_views("SELECT contig, pos, round((n - avg(n) OVER (PARTITION BY contig)) / nullif(stddev_pop(n) OVER (PARTITION BY contig), 0), 6) AS z FROM (SELECT contig, pos, CAST(sum(n) AS DOUBLE) AS n FROM reads GROUP BY ALL)", "reads"))
+def site_z_scores(s, d):
+    n = V.reads(s, d).groupBy("contig", "pos").agg(F.sum("n").cast("double").alias("n"))
+    return windows.smoothed(n, ["contig"], "n").select("contig", "pos", F.round("z", 6).alias("z"))
+
+
+@query("SELECT p_brand, CAST(place AS INTEGER) AS place, CAST(old AS INTEGER) AS old FROM (SELECT p_brand, old, row_number() OVER (ORDER BY CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT), p_brand) - 1 AS place FROM (SELECT p_brand, min(p_size) AS old FROM part GROUP BY p_brand))")
+def reordered_rows(s, d):
+    return order.renumbered(V.table(s, d, "part").groupBy("p_brand").agg(F.min("p_size").cast("int").alias("old")), "p_brand", "old").select("p_brand", "place", "old")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL ORDER BY n DESC LIMIT 3")
+def sorted_top(s, d):
+    t = V.table(s, d, "lineitem").where("l_shipdate <= timestamp'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return order.sort_by(t, "n", True, "l_returnflag").limit(3)
+
+
 # --- pairs, arrays, scalars -------------------------------------------------------------------
 
 _PAIRS = "pairs AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS pair FROM (SELECT unnest(range(24)) AS i) CROSS JOIN (SELECT unnest(range(24)) AS j) WHERE i <= j)"
