@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from haploom.session import staged
+
 
 def reads_summary(reads: DataFrame, contig: str = "contig", pos: str = "pos") -> DataFrame:
     """Rows, distinct positions, smallest and largest position of each contig."""
@@ -127,9 +129,14 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation, equal values sharing their mean rank."""
 
     def ranks(col: str) -> DataFrame:
-        n = df.groupBy(col).agg(F.count("*").alias("__n"))
-        below = F.sum("__n").over(W.orderBy(col).rowsBetween(W.unboundedPreceding, -1))
-        return n.select(F.col(col), (F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).alias(f"__r_{col}"))
+        # values are dealt by range; each range is ranked on its own, after the rows of the ranges before it
+        n = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("__n"))
+        laid = staged(n.repartitionByRange(col).withColumn("__p", F.spark_partition_id()), "ranges")
+        sums = laid.groupBy("__p").agg(F.sum("__n").alias("__all"))
+        before = sums.select("__p", F.coalesce(F.sum("__all").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+        below = F.sum("__n").over(W.partitionBy("__p").orderBy(col).rowsBetween(W.unboundedPreceding, -1))
+        ranked = laid.withColumn("__below", F.coalesce(below, F.lit(0))).join(before, "__p")
+        return ranked.select(F.col(col), (F.col("__before") + F.col("__below") + (F.col("__n") + 1) / 2).alias(f"__r_{col}"))
 
     return df.join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"__r_{x}", f"__r_{y}").alias("rho"))
 
