@@ -24,6 +24,25 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
         yield batch.slice(start, rows)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], column: str = "p") -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each value of a column that they are sorted by, one value's rows at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = batch.column(column).to_pylist()
+        at = 0
+        for i in range(1, len(values) + 1):
+            if i == len(values) or values[i] != values[at]:
+                if held and values[at] != last:
+                    yield held
+                    held = []
+                last = values[at]
+                held.append(batch.slice(at, i - at))
+                at = i
+    if held:
+        yield held
+
+
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator needs, as ``doc_id`` and ``text``; null text is empty.
 
