@@ -130,6 +130,19 @@ def test_repeated_passages_are_found(spark):
         assert len(cut[i].text.split()) in range(len(texts[i].split()) - 72, len(texts[i].split()) - 68) and cut[i].n_chars == len(cut[i].text)
 
 
+def test_second_copies_are_found_whatever_the_slices(spark):
+    rng = random.Random(8)
+    passage = " ".join(prose(rng, 60))
+    pad = [" ".join(prose(rng, 50)) for _ in range(6)]
+    rows = [(1, f"{pad[0]} {passage} {pad[1]}"), (2, f"{pad[2]} {passage} {pad[3]} {passage} {pad[4]}"), (3, pad[5])]
+    found = []
+    for parts in (1, 3):
+        docs = documents(spark, rows).repartitionByRange(parts, "doc_id")
+        found.append({tuple(r) for r in substring_dedup.passages(docs).collect()})
+    assert found[0] == found[1] and {(x[0], x[1]) for x in found[0]} == {(2, 1)}
+    assert {(x[2], x[3]) for x in found[0]} == {(50, 110), (160, 220)}
+
+
 def test_chains_maximise_their_score():
     rng = random.Random(1)
     for _ in range(60):
