@@ -143,6 +143,24 @@ def test_second_copies_are_found_whatever_the_slices(spark):
     assert {(x[2], x[3]) for x in found[0]} == {(50, 110), (160, 220)}
 
 
+@pytest.mark.parametrize("gaps", [(40, 40), (40, 30), (16, 16, 16)])
+def test_passages_between_other_words_are_found_one_by_one(spark, gaps):
+    rng = random.Random(9)
+    own, other, want = [], [], []
+    for gap in (*gaps, 0):
+        words = prose(rng, 32 if 16 in gaps else 55)
+        want.append((len(own), len(own) + len(words)))
+        own += words + prose(rng, gap)
+        other += words + prose(rng, gap)
+    got = substring_dedup.passages(documents(spark, [(1, " ".join(other)), (2, " ".join(own))])).collect()
+    covered = {w for r in got for w in range(r.begin, r.end)}
+    assert all(covered.issuperset(range(*x)) for x in want) and all(r.identity >= substring_dedup.MIN_IDENTITY for r in got)
+
+
+def test_a_far_predecessor_does_not_hide_a_near_one():
+    assert substring_dedup.chain([(0, 0, 100), (180, 160, 20), (205, 185, 20)]) == [[(0, 0, 100)], [(180, 160, 20), (205, 185, 20)]]
+
+
 def test_chains_maximise_their_score():
     rng = random.Random(1)
     for _ in range(60):
