@@ -143,6 +143,20 @@ def test_second_copies_are_found_whatever_the_slices(spark):
     assert {(x[2], x[3]) for x in found[0]} == {(50, 110), (160, 220)}
 
 
+def test_passages_whose_pieces_have_other_first_holders_are_found(spark):
+    rng = random.Random(10)
+    passage, lines = prose(rng, 50), [prose(rng, 8) for _ in range(6)]
+    joined = [w for line in lines for w in line]
+
+    def around(words):
+        return " ".join(prose(rng, 40) + words + prose(rng, 40))
+
+    rows = [(1, around(passage[:25])), (2, around(passage[25:])), (5, around(passage)), (6, around(passage))]
+    rows += [(10 + i, around(line)) for i, line in enumerate(lines)] + [(20, around(joined)), (21, around(joined))]
+    got = substring_dedup.passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.src_id, r.begin, r.end) for r in got} == {(6, 5, 40, 90), (21, 20, 40, 88)}
+
+
 @pytest.mark.parametrize("gaps", [(40, 40), (40, 30), (16, 16, 16)])
 def test_passages_between_other_words_are_found_one_by_one(spark, gaps):
     rng = random.Random(9)
