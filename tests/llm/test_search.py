@@ -157,6 +157,20 @@ def test_passages_whose_pieces_have_other_first_holders_are_found(spark):
     assert {(r.doc_id, r.src_id, r.begin, r.end) for r in got} == {(6, 5, 40, 90), (21, 20, 40, 88)}
 
 
+def test_near_copies_within_the_identity_are_found(spark):
+    rng = random.Random(11)
+    cases = [(n, every) for n, every in ((50, 7), (50, 6), (40, 7), (30, 8), (50, 5)) for _ in range(20)]
+    rows = []
+    for i, (n, every) in enumerate(cases):
+        passage = prose(rng, n)
+        changed = [f"x{i}y{j}" if j % every == every - 1 and j < n - 1 else w for j, w in enumerate(passage)]
+        rows += [(2 * i, " ".join(prose(rng, 60) + passage + prose(rng, 60))), (2 * i + 1, " ".join(prose(rng, 60) + changed + prose(rng, 60)))]
+    got = substring_dedup.passages(documents(spark, rows)).collect()
+    found = {r.doc_id // 2 for r in got if r.begin < 90 and r.end > 75}
+    caught = {c: sum(cases[i] == c for i in found) / 20 for c in dict.fromkeys(cases)}
+    assert min(caught.values()) == 1, caught
+
+
 @pytest.mark.parametrize("gaps", [(40, 40), (40, 30), (16, 16, 16)])
 def test_passages_between_other_words_are_found_one_by_one(spark, gaps):
     rng = random.Random(9)
