@@ -9,10 +9,17 @@ one cheap segment for which it also accepts one deletion on either side: that se
 What shares a signature is compared exactly.
 
 Equal sets are one *class* and take part once. In a signature's group of up to ``SMALL`` classes all
-pairs are candidates. In larger ones every class is first compared with a few leaders; when the links
-found so far have been joined to components, only pairs across components are still open, and these
-are compared as well, in blocks, after a bound from bucket counts has sorted most of them out. So no
-link between different components is lost and copies are never expanded into all pairs.
+pairs are candidates. Larger groups are gone through once more: shingles that several of a few of their
+members share are *frequent*, and are left out of a second, finer partition. A class with more than H
+non-empty segments of the others finds all that is similar to it by these, which few unrelated classes
+share. What has too few rare shingles for that (a cluster of near copies), and what still meets in a
+large group, is compared in blocks: each class has a *home*, the largest group it is in, and visits the
+homes of those it shares a group with. A home's members are compared with one another and with its
+visitors in blocks of bounded bytes, all sets of two blocks at a time, by products of their 0/1
+matrices; only counts of links and a forest that joins what is linked leave a task. Every pair is
+compared in one place, so links are counted exactly and none is lost, and copies are never expanded
+into pairs of rows. (To count the links within a cluster of n different texts takes their n squared
+comparisons, whatever the method; they are dealt to tasks in blocks.)
 """
 
 from __future__ import annotations
@@ -21,20 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from haploom.llm.bitmaps import bitmap, has_bits, set_bits
 from haploom.llm.components import components
 from haploom.llm.shingles import mix, set_class, shingle_sets
 from haploom.llm.textkit import grouped, keyed_texts, slices
 from haploom.session import shuffle_partitions, staged
 
-#: Largest group of which all pairs are candidates at once.
+#: Largest group of which all pairs are candidates; larger ones are compared in blocks.
 SMALL = 24
-#: Leaders that every class of a larger group is compared with first.
-LEADERS = 3
-#: Classes in a block of a large group; pairs are formed within two blocks at a time.
-BLOCK = 2048
+#: Classes and shingles in a block at most, as far as hashing spreads them evenly; one set is never split.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 17
+#: Members of a large group that tell its frequent shingles: those that half of these have.
+TELLING = 8
+#: Columns of the 0/1 matrices that are multiplied at a time.
+COLUMNS = 2048
 #: Buckets of the count vectors that bound a distance.
 BUCKETS = 256
 #: Texts handled together by a mapper.
@@ -117,9 +129,27 @@ def _bucket_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.abs((x - y).view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
 
 
+def _large(sig: np.ndarray, own: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """Which rows of a slice need not meet others: those beyond ``SMALL`` + 1 classes of one signature.
+
+    What stays makes the group a large one wherever it meets; those that probe stay first.
+    """
+    order = np.lexsort((own, flag & 6 == 0, sig))
+    new = np.concatenate([[True], sig[order][1:] != sig[order][:-1]])
+    first = np.flatnonzero(new)
+    fresh = new | np.concatenate([[True], own[order][1:] != own[order][:-1]])
+    upto = np.cumsum(fresh)
+    rank = upto - np.repeat(upto[first], np.diff(np.append(first, len(order))))
+    out = np.zeros(len(sig), dtype=bool)
+    # a class may have rows in both parts of the order, so twice as many are left
+    out[order] = rank > 2 * SMALL + 1
+    return out
+
+
 def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Signatures of each slice's new classes, dealt to partitions by signature: for each partition
-    one row of packed arrays."""
+    one row of packed arrays. Of signatures that very many of a slice have, most classes are named as
+    members of a large group at once (a row without sizes), so that no task gets all of them."""
     bands = Bands(num, den)
     seen: set[int] = set()
     for batch in batches:
@@ -143,31 +173,97 @@ def _index(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, parts:
                     flags.append(f)
                     owner.append(np.full(len(s), len(classes), dtype=np.int64))
                 classes.append((names[i], len(own)))
-            if not sigs:
-                continue
-            sig, flag, own = np.concatenate(sigs), np.concatenate(flags), np.concatenate(owner)
-            target = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            cuts = np.searchsorted(target[order], np.arange(parts + 1))
-            name = np.array([c[0] for c in classes], dtype=np.int64)
-            size = np.array([c[1] for c in classes], dtype=np.int32)
-            rows: list[tuple] = []
-            for p in range(parts):
-                mine = order[cuts[p] : cuts[p + 1]]
-                if len(mine):
-                    there, number = np.unique(own[mine], return_inverse=True)
-                    rows.append((p, name[there].tobytes(), size[there].tobytes(), sig[mine].astype(np.uint32).tobytes(), number.astype(np.uint16).tobytes(), flag[mine].tobytes()))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["p", "classes", "sizes", "sigs", "owners", "flags"])
+            if sigs:
+                yield _dealt(classes, np.concatenate(sigs), np.concatenate(owner), np.concatenate(flags), parts)
+
+
+def _dealt(classes: list[tuple[int, int]], sig: np.ndarray, own: np.ndarray, flag: np.ndarray, parts: int, common: list[int] | None = None) -> pa.RecordBatch:
+    """Signatures of the classes (name, size) of a slice, packed by partition.
+
+    Rows without sizes name members of large groups, or classes in ``common`` as members of group -1.
+    """
+    name = np.array([c[0] for c in classes], dtype=np.int64)
+    size = np.array([c[1] for c in classes], dtype=np.int32)
+    target = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    rows: list[tuple] = []
+    if common:
+        rows.append((common[0] % parts, np.array(common, dtype=np.int64).tobytes(), None, np.full(len(common), -1, dtype=np.int64).tobytes(), None, None))
+    large = _large(sig, own, flag) if len(sig) else np.zeros(0, dtype=bool)
+    if large.any():
+        group = _group(target[large], sig[large])
+        rows.append((int(name[0]) % parts, name[own[large]].tobytes(), None, group.tobytes(), None, None))
+    rest = np.flatnonzero(~large)
+    order = rest[np.argsort(target[rest], kind="stable")]
+    cuts = np.searchsorted(target[order], np.arange(parts + 1))
+    for p in range(parts):
+        mine = order[cuts[p] : cuts[p + 1]]
+        if len(mine):
+            there, number = np.unique(own[mine], return_inverse=True)
+            rows.append((p, name[there].tobytes(), size[there].tobytes(), sig[mine].astype(np.uint32).tobytes(), number.astype(np.uint16).tobytes(), flag[mine].tobytes()))
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["p", "classes", "sizes", "sigs", "owners", "flags"])
+
+
+def rare_signatures(rare: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, bool]:
+    """Signatures of the non-empty segments of a set's rare shingles, and whether they are enough: more
+    than a similar set can change."""
+    h = bands.most_apart(band)
+    m = 2 * h + 2
+    token = mix(rare, 5000 + band)
+    segment = ((token >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    sums = np.zeros(m, dtype=np.uint64)
+    np.add.at(sums, segment, mix(token, 5))
+    held = np.unique(segment)
+    return mix(sums[held] + held.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 6000 + band), len(held) > h
+
+
+def _index_rare(batches: Iterator[pa.RecordBatch], num: int, den: int, parts: int, frequent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Signatures of the rare shingles of classes (node, set); those with too few are named as common."""
+    bands = Bands(num, den)
+    for batch in batches:
+        for part in slices(batch, SLICE):
+            sigs, flags, owner, classes, common = [], [], [], [], []
+            for name, raw in zip(part.column("node").to_pylist(), part.column("set").to_pylist(), strict=True):
+                own = np.frombuffer(raw, dtype=np.uint64)
+                band = bands.of(len(own))
+                rare = own[~has_bits(frequent.value, own)]
+                made = [(b, *rare_signatures(rare, b, bands)) for b in (band, band + 1) if bands.most_apart(b)]
+                enough = all(x for _, _, x in made)
+                if not enough:
+                    common.append(name)
+                for b, s, _ in made:
+                    sigs.append(s)
+                    flags.append(np.full(len(s), 8 * (b > band) + 2 * enough, dtype=np.uint8))
+                    owner.append(np.full(len(s), len(classes), dtype=np.int64))
+                classes.append((name, len(own)))
+            if classes:
+                yield _dealt(classes, *(np.concatenate([*x, np.empty(0, dtype=t)]) for x, t in ((sigs, np.uint64), (owner, np.int64), (flags, np.uint8))), parts, common)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The shingles that at least half of some members of each group share."""
+    for batch in batches:
+        for sets in batch.column("sets").to_pylist():
+            shingle, n = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in sets]), return_counts=True)
+            yield shingle[2 * n >= len(sets)]
+
+
+def _group(p: np.ndarray | int, sig: np.ndarray) -> np.ndarray:
+    """The name of a signature: its partition and its low bits, which are all that is sent of it."""
+    return (np.asarray(p).astype(np.uint64) << np.uint64(32) | sig & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _pairs(batches: list[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs and the members of large groups: (a, b, null) and (class, null, group)."""
-    got: list[list[np.ndarray]] = [[], [], [], [], []]
+    got: list[list[np.ndarray]] = [[], [], [], []]
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if row[2] is None:
+                own = pa.array(np.frombuffer(row[1], dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([own, pa.nulls(len(own), pa.int64()), pa.array(np.frombuffer(row[3], dtype=np.int64))], names=["a", "b", "g"])
+                continue
             number = np.frombuffer(row[4], dtype=np.uint16)
-            got[0].append(np.frombuffer(row[3], dtype=np.uint32).astype(np.uint64) | (np.uint64(row[0]) << np.uint64(32)))
+            got[0].append(_group(row[0], np.frombuffer(row[3], dtype=np.uint32).astype(np.uint64)))
             got[1].append(np.frombuffer(row[1], dtype=np.int64)[number])
             got[2].append(np.frombuffer(row[2], dtype=np.int32)[number])
             got[3].append(np.frombuffer(row[5], dtype=np.uint8))
@@ -246,45 +342,121 @@ def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components within each pair of blocks of a large group that the bounds allow.
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every one of ``b``.
 
-    Rows come sorted by (group, block pair); one such block pair is held at a time.
+    Shingles that many sets have are columns of 0/1 matrices, which are multiplied; the others, in few
+    pairs of sets each, are counted pair by pair.
     """
+    sizes = [np.array([len(s) for s in x]) for x in (a, b)]
+    _, number = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    cut = int(sizes[0].sum())
+    side = [number[:cut], number[cut:]]
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    count = [np.bincount(x, minlength=int(number.max()) + 1) for x in side]
+    both = count[0] * count[1]
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    column = np.full(len(both), -1)
+    common = np.flatnonzero(both > 64)
+    for at in range(0, len(common), COLUMNS):
+        some = common[at : at + COLUMNS]
+        column[:] = -1
+        column[some] = np.arange(len(some))
+        dense = []
+        for x, own, n in zip(side, owner, (len(a), len(b)), strict=True):
+            here = column[x] >= 0
+            m = np.zeros((n, len(some)), dtype=np.float32)
+            m[own[here], column[x[here]]] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    rare = (both > 0) & (both <= 64)
+    left, right = ((x[m], own[m]) for x, own, m in zip(side, owner, (rare[side[0]], rare[side[1]]), strict=True))
+    order = np.argsort(right[0], kind="stable")
+    begin = np.searchsorted(right[0][order], left[0])
+    times = count[1][left[0]]
+    if len(times):
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        x = np.repeat(left[1], times) * len(b) + right[1][order][np.repeat(begin, times) + step]
+        out += np.bincount(x, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row that each row and each column of a 0/1 matrix is connected with (columns without any: -1)."""
+    rows, columns = np.arange(len(linked)), np.full(linked.shape[1], -1)
+    none = len(linked)
+    while True:
+        low = np.where(linked, rows[:, None], none).min(axis=0)
+        columns = np.where(low == none, -1, low)
+        again = np.minimum(rows, np.where(linked, low[None, :], none).min(axis=1))
+        again = again[again]
+        if np.array_equal(again, rows):
+            return rows, columns
+        rows = again
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of packed arrays for each block, from rows sorted by (home, visiting, block)."""
+    held: list[tuple[int, bytes]] = []
+    key = None
+
+    def packed() -> pa.RecordBatch:
+        names, raws = zip(*held, strict=True)
+        arrays = (np.array(names, dtype=np.int64), np.array([len(r) // 8 for r in raws], dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([key[2]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays), pa.array([b"".join(raws)], pa.binary())], names=["home", "visiting", "block", "nodes", "sizes", "sets"])
+
+    for batch in batches:
+        for home, visiting, block, node, own in zip(*(batch.column(c).to_pylist() for c in ("home", "visiting", "block", "node", "set")), strict=True):
+            if key != (home, visiting, block) and held:
+                yield packed()
+                held = []
+            key = (home, visiting, block)
+            held.append((node, own))
+    if held:
+        yield packed()
+
 
-    def emit(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows)
-        name, n, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
-        side = table.column("side").to_numpy()
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
-        same_block = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        left = np.flatnonzero(side == 0)
-        right = left if same_block else np.flatnonzero(side == 1)
-        out = []
-        for x in left.tolist():
-            y = right[right > x] if same_block else right
-            y = y[(root[y] != root[x]) & (den * np.minimum(n[y], n[x]) >= num * np.maximum(n[y], n[x]).astype(np.int64))]
-            if len(y):
-                y = y[_bucket_distance(vectors[y], vectors[x]) <= _apart(num, den, n[y].astype(np.int64), int(n[x]))]
-                out += [(min(int(name[x]), z), max(int(name[x]), z)) for z in name[y].tolist()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-
-    held: list[pa.RecordBatch] = []
+def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(class, root, links) of the classes that link within pairs of blocks, one pair at a time.
+
+    Rows come sorted by (home, i, visiting, j), the two blocks of a pair next to each other, or one block
+    that is compared with itself.
+    """
+
+    def emit(blocks: list[tuple[np.ndarray, list[np.ndarray]]]) -> pa.RecordBatch:
+        (names, own), (others, there) = blocks[0], blocks[-1]
+        both = _shared(own, there)
+        n, m = (np.array([len(s) for s in x], dtype=np.float64) for x in (own, there))
+        linked = (den * both >= num * (n[:, None] + m[None, :] - both)) & (names[:, None] != others[None, :])
+        rows, columns = _forest(linked)
+        found = [(names, rows, linked.sum(axis=1))]
+        if len(blocks) == 2:
+            found.append((others, columns, linked.sum(axis=0)))
+        node, root, links = (np.concatenate([x[i] for x in found]) for i in range(3))
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(names[root[some]]), pa.array(links[some].astype(np.int64))], names=["node", "root", "links"])
+
+    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
     key = None
     for batch in batches:
-        marks = list(zip(*(batch.column(c).to_pylist() for c in ("g", "i", "j")), strict=True))
-        at = 0
-        for k in range(1, len(marks) + 1):
-            if k == len(marks) or marks[k] != marks[at]:
-                if key != marks[at] and held:
-                    yield from emit(held)
-                    held = []
-                key = marks[at]
-                held.append(batch.slice(at, k - at))
-                at = k
+        for home, i, visiting, j, nodes, sizes, sets in zip(*(batch.column(c).to_pylist() for c in ("home", "i", "visiting", "j", "nodes", "sizes", "sets")), strict=True):
+            if key != (home, i, visiting, j) and held:
+                yield emit(held)
+                held = []
+            key = (home, i, visiting, j)
+            ends = np.cumsum(np.frombuffer(sizes, dtype=np.int32))
+            held.append((np.frombuffer(nodes, dtype=np.int64), np.split(np.frombuffer(sets, dtype=np.uint64), ends[:-1])))
     if held:
-        yield from emit(held)
+        yield emit(held)
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The packed sets of classes, from rows with a text that may be one of theirs."""
+    for batch in batches:
+        for part in slices(batch, SLICE):
+            sets = shingle_sets(part.column("text").to_pylist(), k)
+            own = [(n, s.tobytes()) for n, s in zip(part.column("node").to_pylist(), sets, strict=True) if len(s) and set_class(s) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], names=["node", "set"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -306,13 +478,55 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
 
+INDEX = "p int, classes binary, sizes binary, sigs binary, owners binary, flags binary"
+
+
+def _telling(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of a few members of each large group."""
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= TELLING)
+    return first.join(sets, "node").groupBy("g").agg(F.collect_list("set").alias("sets")).select("sets")
+
+
+def _visits(members: DataFrame) -> DataFrame:
+    """home, node, visiting: where the members (node, g) of large groups are compared.
+
+    Two classes that share a group have homes in it each; the one with the greater home visits the other's.
+    """
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    homes = staged(members.join(sizes, "g").groupBy("node").agg(F.max(F.struct("size", "g")).alias("home")).select("node", F.col("home.g").alias("home")), "homes")
+    placed = members.join(homes, "node")
+    of_groups = placed.select("g", F.col("home").alias("other")).distinct()
+    visiting = placed.join(of_groups, "g").where("other < home").select(F.col("other").alias("home"), "node").distinct()
+    return staged(homes.select("home", "node", F.lit(False).alias("visiting")).union(visiting.select("home", "node", F.lit(True))), "visits")
+
+
+def _compared(visits: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that join what is linked within homes, and (node, links)."""
+    sized = visits.join(classes.select("node", "n"), "node")
+    kinds = sized.groupBy("home", "visiting").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    plan = staged(kinds.groupBy("home").agg(F.max(F.when(~F.col("visiting"), blocks)).alias("nm"), F.coalesce(F.max(F.when(F.col("visiting"), blocks)), F.lit(0)).alias("nv")), "blocks")
+    of = F.pmod(F.xxhash64("node"), F.when(F.col("visiting"), F.col("nv")).otherwise(F.col("nm"))).cast("int")
+    dealt = visits.join(plan, "home").select("home", "visiting", of.alias("block"), "node").join(sets, "node")
+    dealt = dealt.repartition(parts, "home", "visiting", "block").sortWithinPartitions("home", "visiting", "block")
+    packed = staged(dealt.select("home", "visiting", "block", "node", "set").mapInArrow(_pack, "home long, visiting boolean, block int, nodes binary, sizes binary, sets binary"), "packed")
+    # a block of members meets every block of members and of visitors; a block of visitors every block of members
+    with_members = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.lit(False).alias("v"), F.greatest(x, "block").alias("j")))
+    with_visitors = F.when(F.col("nv") > 0, F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda x: F.struct(F.col("block").alias("i"), F.lit(True).alias("v"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,v:boolean,j:int>>"))
+    as_visitors = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda x: F.struct(x.alias("i"), F.lit(True).alias("v"), F.col("block").alias("j")))
+    met = packed.join(plan, "home").withColumn("pair", F.explode(F.when(F.col("visiting"), as_visitors).otherwise(F.concat(with_members, with_visitors))))
+    met = met.select("home", F.col("pair.i").alias("i"), F.col("pair.v").alias("v"), F.col("pair.j").alias("j"), F.col("visiting").alias("from"), "block", "nodes", "sizes", "sets")
+    met = met.repartition(parts, "home", "i", "v", "j").sortWithinPartitions("home", "i", "v", "j", "from", "block")
+    got = staged(met.select("home", "i", F.col("v").alias("visiting"), "j", "nodes", "sizes", "sets").mapInArrow(lambda it: _compare(it, num, den), "node long, root long, links long"), "compared")
+    return got.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), got.select("node", "links")
+
+
 def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class, component_id, n_links for every row.
 
     Two documents link when ``den * |A and B| >= num * |A or B|`` for their sets of k-word shingles;
     ``component_id`` is the smallest doc_id reachable by links, itself included. ``class`` names equal
-    sets; ``n_links`` counts the links of a class to other classes that were verified (links within a
-    component may go unverified where it is connected already). Texts without words have n_shingles 0
+    sets; ``n_links`` counts the other classes that a class links with. Texts without words have n_shingles 0
     and are linked with nothing, as are rows without an id (their component_id is null). Repeated rows
     stay; a doc_id with several texts takes part with each. Other columns are not looked at.
     """
@@ -337,7 +551,7 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("vector").alias("vector"))
     )
     classes = staged(classes, "classes")
-    index = with_id.mapInArrow(lambda it: _index(it, k, num, den, parts), "p int, classes binary, sizes binary, sigs binary, owners binary, flags binary")
+    index = with_id.mapInArrow(lambda it: _index(it, k, num, den, parts), INDEX)
     # several partitions of signatures may come to one task; it holds one of them at a time
     dealt = index.repartition(parts, "p").sortWithinPartitions("p")
     found = staged(dealt.mapInArrow(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den)), "a long, b long, g long"), "candidates")
@@ -353,34 +567,39 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         both = left.join(whole.select(F.col("doc_id").alias("db"), F.col("text").alias("tb")), "db")
         return staged(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, k, num, den), "a long, b long").distinct(), "verified")
 
-    members = found.where("g IS NOT NULL").select(F.col("a").alias("node"), "g")
-    # leaders are in the most large groups: what is nearest to the middle of a cluster shares most of its parts
-    popular = members.groupBy("node").agg(F.count("*").alias("n"))
-    ranked = members.join(popular, "node").groupBy("g").agg(*(F.max(F.struct("n", F.xxhash64("node", F.lit(i)), "node")).alias(f"l{i}") for i in range(LEADERS)))
-    leaders = ranked.select("g", F.explode(F.array_distinct(F.array(*(F.col(f"l{i}.node") for i in range(LEADERS))))).alias("leader"))
-    stars = members.join(leaders, "g").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    candidates = staged(found.where("g IS NULL").select("a", "b").union(stars).distinct(), "pairs")
+    pairs = found.where("g IS NULL").select("a", "b")
+    members = staged(found.where("g IS NOT NULL").select(F.col("a").alias("node"), "g").distinct(), "members")
+    sets = None
+    if not members.isEmpty():
+        asked = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
+        sets = staged(asked.join(with_id, "doc_id").select("node", "text").mapInArrow(lambda it: _set_rows(it, k), "node long, set binary").dropDuplicates(["node"]), "sets")
+        frequent = bitmap(_telling(members, sets).mapInArrow(lambda it: set_bits(_frequent(it)), "w int, bits long"))
+        again = sets.mapInArrow(lambda it: _index_rare(it, num, den, parts, frequent), INDEX).repartition(parts, "p").sortWithinPartitions("p")
+        second = staged(again.mapInArrow(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den)), "a long, b long, g long"), "candidates")
+        pairs = pairs.union(second.where("g IS NULL").select("a", "b"))
+        common = second.where("g = -1").select(F.col("a").alias("node")).distinct()
+        # names of groups of the second partition do not clash with those of the first
+        more = second.where("g IS NOT NULL AND g <> -1").select(F.col("a").alias("node"), (-2 - F.col("g")).alias("g")).distinct()
+        members = staged(members.join(common, "node", "left_semi").union(more), "members")
+        members = members.join(members.groupBy("g").count().where("count > 1").select("g"), "g", "left_semi").select("node", "g")
+    candidates = pairs.distinct()
+    joined, counted = None, None
+    if sets is not None and not members.isEmpty():
+        visits = _visits(members)
+        joined, counted = _compared(visits, classes, sets, num, den, parts)
+        homes = visits.where("NOT visiting").select("node", "home")
+        at = candidates.join(homes.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a", "left").join(homes.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b", "left")
+        # what both blocks of one home compare is not compared once more
+        later = F.col("ha") >= F.col("hb")
+        at = at.withColumn("node", F.when(later, F.col("a")).otherwise(F.col("b"))).withColumn("home", F.least("ha", "hb"))
+        candidates = at.join(visits.select("node", "home"), ["node", "home"], "left_anti").select("a", "b")
     measured = candidates.join(side("a").drop("da"), "a").join(side("b").drop("db"), "b").select("a", "b", "na", "nb", "va", "vb")
     links = verified(staged(measured.mapInArrow(lambda it: _bounded(it, num, den), "a long, b long"), "bounded"))
-    if not members.isEmpty():
-        roots = components(links)
-        labelled = staged(members.join(roots, "node", "left").select("node", "g", F.coalesce("root", "node").alias("root")), "members")
-        spread = labelled.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        open_ = (
-            labelled.join(spread.select("g", blocks.alias("nb")), "g")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("g", "node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-            .join(classes.select("node", "n", "vector"), "node")
-        )
-        dealt = open_.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
-        more = dealt.select("g", "i", "j", "side", "node", "root", "n", "vector").mapInArrow(lambda it: _across(it, num, den), "a long, b long").distinct()
-        more = staged(more.join(candidates, ["a", "b"], "left_anti"), "across")
-        if not more.isEmpty():
-            links = staged(links.union(verified(more)), "links")
+    counts = links.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("links")).union(links.select("b", F.lit(1).cast("long")))
+    if joined is not None:
+        links, counts = links.union(joined), counts.union(counted)
     roots = components(links)
-    counts = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    counts = counts.groupBy("node").agg(F.sum("links").alias("n_links"))
     placed = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     placed = placed.join(first, "root").join(counts, "node", "left").select(F.col("node").alias("class"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

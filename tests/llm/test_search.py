@@ -20,27 +20,34 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute_components(rows, k, num, den):
+def brute_links(rows, k, num, den):
+    """(sets by id, ids linked with each)"""
     sets = {}
     for i, t in rows:
         if i is not None:
             sets.setdefault(i, []).append(shingles(t, k))
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
+    linked = {i: set() for i in sets}
     ids = sorted(sets)
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
-            for a in sets[i]:
-                for b in sets[j]:
-                    if a and b and den * len(a & b) >= num * len(a | b):
-                        p, q = find(i), find(j)
-                        root[max(p, q)] = min(p, q)
-    return {i: find(i) for i in ids}
+            if any(a and b and den * len(a & b) >= num * len(a | b) for a in sets[i] for b in sets[j]):
+                linked[i].add(j)
+                linked[j].add(i)
+    return sets, linked
+
+
+def brute_components(rows, k, num, den):
+    sets, linked = brute_links(rows, k, num, den)
+    root = {}
+    for i in sorted(sets):
+        if i not in root:
+            root[i], todo = i, [i]
+            while todo:
+                for j in linked[todo.pop()]:
+                    if j not in root:
+                        root[j] = i
+                        todo.append(j)
+    return root
 
 
 def near_copies(rng, n, size):
@@ -64,16 +71,37 @@ def copies():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
-def test_components_are_brute_forces(spark, copies, k, num, monkeypatch):
+@pytest.mark.parametrize(("k", "num", "parts"), [(4, 85, 1), (4, 85, 7), (5, 80, 3)])
+def test_components_and_links_are_brute_forces(spark, copies, k, num, parts, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)  # large groups go through several blocks
-    got = jaccard_join.similar_groups(documents(spark, copies, clash=True), k, num, 100).collect()
+    got = jaccard_join.similar_groups(documents(spark, copies, clash=True).repartition(parts, "doc_id"), k, num, 100).collect()
+    sets, linked = brute_links(copies, k, num, 100)
     want = brute_components(copies, k, num, 100)
     assert {r.doc_id: r.component_id for r in got} == want
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(shingles(t, k)) for i, t in copies}
+    names = {i: frozenset(x[0]) for i, x in sets.items()}
+    assert {r.doc_id: r.n_links for r in got} == {i: len({names[j] for j in linked[i]} - {names[i]}) for i in names}
     assert len(set(want.values())) < len(want) - 60
 
 
+def test_links_of_a_cluster_in_many_slices(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 120)
+    rows = [(i, " ".join(base[:50] + [f"new{i}"] + base[50:])) for i in range(160)] + [(200 + i, " ".join(prose(rng, 80))) for i in range(100)]
+    rng.shuffle(rows)
+    for parts in (1, 5):
+        got = jaccard_join.similar_groups(documents(spark, rows).repartition(parts, "doc_id"), 4, 85, 100).collect()
+        assert {(r.n_links, r.component_id) for r in got if r.doc_id < 200} == {(159, 0)}
+        assert {(r.n_links, r.component_id - r.doc_id) for r in got if r.doc_id >= 200} == {(0, 0)}
+
+
+def test_shared_counts_are_those_of_sets():
+    rng = np.random.default_rng(4)
+    some = [np.unique(rng.integers(0, 60, rng.integers(1, 90))).astype(np.uint64) for _ in range(40)] + [np.arange(1000 + i, 1030 + i, dtype=np.uint64) for i in range(9)]
+    for a, b in ((some, some), (some[:5], some[3:]), (some[:1], some[45:])):
+        assert np.array_equal(jaccard_join._shared(a, b), [[len(np.intersect1d(x, y)) for y in b] for x in a])
+
+
 def test_signatures_meet_for_every_similar_pair(copies):
     bands = jaccard_join.Bands(85, 100)
     sets = [jaccard_join.shingle_sets([t], 4)[0] for _, t in copies]
