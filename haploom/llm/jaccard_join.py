@@ -428,7 +428,8 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         both = _shared(own, there)
         n, m = (np.array([len(s) for s in x], dtype=np.float64) for x in (own, there))
         linked = (den * both >= num * (n[:, None] + m[None, :] - both)) & (names[:, None] != others[None, :])
-        rows, columns = _forest(linked)
+        # within one block rows and columns are the same sets
+        rows, columns = _forest(linked | np.eye(len(own), dtype=bool) if len(blocks) == 1 else linked)
         found = [(names, rows, linked.sum(axis=1))]
         if len(blocks) == 2:
             found.append((others, columns, linked.sum(axis=0)))
@@ -591,7 +592,7 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         at = candidates.join(homes.select(F.col("node").alias("a"), F.col("home").alias("ha")), "a", "left").join(homes.select(F.col("node").alias("b"), F.col("home").alias("hb")), "b", "left")
         # what both blocks of one home compare is not compared once more
         later = F.col("ha") >= F.col("hb")
-        at = at.withColumn("node", F.when(later, F.col("a")).otherwise(F.col("b"))).withColumn("home", F.least("ha", "hb"))
+        at = at.withColumn("node", F.when(later, F.col("a")).otherwise(F.col("b"))).withColumn("home", F.when(later, F.col("hb")).when(~later, F.col("ha")))
         candidates = at.join(visits.select("node", "home"), ["node", "home"], "left_anti").select("a", "b")
     measured = candidates.join(side("a").drop("da"), "a").join(side("b").drop("db"), "b").select("a", "b", "na", "nb", "va", "vb")
     links = verified(staged(measured.mapInArrow(lambda it: _bounded(it, num, den), "a long, b long"), "bounded"))

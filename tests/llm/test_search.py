@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from haploom.llm import decontaminate, jaccard_join, licenses, nearest, quotes, substring_dedup
@@ -95,6 +96,16 @@ def test_links_of_a_cluster_in_many_slices(spark, monkeypatch):
         assert {(r.n_links, r.component_id - r.doc_id) for r in got if r.doc_id >= 200} == {(0, 0)}
 
 
+def test_a_lone_link_in_a_block_joins_its_two_sets():
+    sets = [np.arange(100), np.arange(95), np.arange(500, 600), np.arange(490, 590)]
+    row = [7, 0, False, 0, np.arange(4), np.array([len(x) for x in sets], dtype=np.int32), np.concatenate(sets).astype(np.uint64)]
+    row[4:] = [x.tobytes() for x in row[4:]]
+    batch = pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["home", "i", "visiting", "j", "nodes", "sizes", "sets"])
+    got = [tuple(r.values()) for b in jaccard_join._compare(iter([batch]), 80, 100) for r in b.to_pylist()]
+    assert got == [(0, 0, 1), (1, 0, 1), (2, 2, 1), (3, 2, 1)]
+    assert [tuple(r.values()) for b in jaccard_join._compare(iter([batch]), 85, 100) for r in b.to_pylist()] == got[:2]
+
+
 def test_shared_counts_are_those_of_sets():
     rng = np.random.default_rng(4)
     some = [np.unique(rng.integers(0, 60, rng.integers(1, 90))).astype(np.uint64) for _ in range(40)] + [np.arange(1000 + i, 1030 + i, dtype=np.uint64) for i in range(9)]
