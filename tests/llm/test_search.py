@@ -384,3 +384,12 @@ def test_quotes_against_sql(spark):
     assert by[1, 900, "a"].parent_turn == 7 and by[1, 900, "a"].thread_turn == 5 and by[1, 900, "a"].reply_depth == 3
     assert (by[2, 0, "user"].source_conv, by[2, 0, "user"].source_turn) == (1, 1)
     assert quotes.link(df.where("false")).count() == 0
+
+
+def test_seeds_hash_every_run_of_words():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 3, 9, 50, 31)]
+    for k, key, owner, place in substring_dedup.seeds(texts, [4, 8, 16, 30]):
+        runs = [(i, p, tuple(t.split()[p : p + k])) for i, t in enumerate(texts) for p in range(len(t.split()) - k + 1)]
+        assert list(zip(owner.tolist(), place.tolist(), strict=True)) == [r[:2] for r in runs]
+        assert len(set(key.tolist())) == len({r[2] for r in runs}) == len({(x, r[2]) for x, r in zip(key.tolist(), runs, strict=True)})
