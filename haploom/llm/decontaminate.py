@@ -3,11 +3,14 @@
 A place that holds an item with at most e edits shares at least ``L - q + 1 - q * e`` q-grams with it,
 all on diagonals (place in the document less place in the item) within e of each other. Shared q-grams
 are counted in overlapping diagonal bands two budgets wide; bands that reach the bound are verified by
-banded alignment. Documents are scanned where they are read; nothing is shuffled.
+banded alignment. Items of fewer than two q-grams' letters say little, so they count only where they stand
+exactly, as whole words; the shortest, of less than one q-gram, are looked up by all their letters.
+Documents are scanned where they are read; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,10 +26,13 @@ from haploom.llm.textkit import keyed_texts, slices
 Q = 8
 #: Edits allowed, as a share of an item's letters and digits.
 EDITS = 0.1
-#: Items with fewer letters and digits than this are not looked for: they say too little.
-SHORTEST = 32
-#: Characters of benchmark text that are indexed (and sent to executors) at a time.
-BLOCK_CHARS = 1_000_000
+#: Items with fewer letters and digits than this must stand exactly, between word borders.
+EXACT_BELOW = 2 * Q
+#: Characters of benchmark text that are indexed (and sent to executors) at a time: documents are scanned
+#: once for benchmarks up to this size, and once more for each such amount beyond it.
+BLOCK_CHARS = 4_000_000
+#: Shared q-grams that are laid out at a time, if a slice has several texts.
+MOST_SHARED = 8_000_000
 #: Bits of the table that sorts out most characters at once.
 FILTER_BITS = 22
 
@@ -58,14 +64,13 @@ def coded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[places], places
 
 
-def qgrams(codes: np.ndarray) -> np.ndarray:
-    """The q-gram at each place, as a number of 64 bits."""
-    if len(codes) < Q:
-        return np.empty(0, dtype=np.uint64)
-    one = codes.astype(np.uint64)
-    two = (one[:-1] << np.uint64(8)) | one[1:]
-    four = (two[:-2] << np.uint64(16)) | two[2:]
-    return (four[:-4] << np.uint64(32)) | four[4:]
+def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q-gram at each place, as a number of 64 bits (q up to 8)."""
+    n = len(codes) - q + 1
+    out = np.zeros(max(n, 0), dtype=np.uint64)
+    for j in range(q if n > 0 else 0):
+        out = (out << np.uint64(8)) | codes[j : n + j]
+    return out
 
 
 @dataclass
@@ -81,16 +86,21 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    #: (letters, ordered distinct numbers of items of so many letters, the ids of each)
+    short: list[tuple[int, np.ndarray, list[list[int]]]]
 
 
 def build(rows: list[tuple[int, str]], edits: float = EDITS) -> Index:
-    """Index items; those that are too short are left out."""
+    """Index items; those without letters or digits are nowhere to be found."""
     ids, items = [], []
+    few: dict[int, dict[int, list[int]]] = {}
     for i, text in rows:
         codes, _ = coded(text or "")
-        if len(codes) >= SHORTEST:
+        if len(codes) >= Q:
             ids.append(i)
             items.append(codes)
+        elif len(codes):
+            few.setdefault(len(codes), {}).setdefault(int(qgrams(codes, len(codes))[0]), []).append(i)
     lengths = np.array([len(c) for c in items], dtype=np.int64)
     budget = np.minimum((lengths * edits).astype(np.int64), (lengths - Q) // Q)
     bound = lengths - Q + 1 - Q * budget
@@ -102,7 +112,8 @@ def build(rows: list[tuple[int, str]], edits: float = EDITS) -> Index:
     distinct, first = np.unique(grams[order], return_index=True)
     table = np.zeros(1 << FILTER_BITS, dtype=bool)
     table[(distinct * _MIX) >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(ids, items, budget, bound, distinct, np.append(first, len(grams)), item[order], place[order], table)
+    short = [(n, np.array(sorted(x), dtype=np.uint64), [sorted(set(x[k])) for k in sorted(x)]) for n, x in sorted(few.items())]
+    return Index(ids, items, budget, bound, distinct, np.append(first, len(grams)), item[order], place[order], table, short)
 
 
 def align(item: np.ndarray, region: np.ndarray, shift: int, budget: int) -> tuple[int, int, int] | None:
@@ -145,20 +156,55 @@ def align(item: np.ndarray, region: np.ndarray, shift: int, budget: int) -> tupl
     return int(cost[best]), int(begin[best]), int(low + n + best)
 
 
+def _whole(text: str, begin: int, end: int) -> bool:
+    """Whether a stretch of a text ends at word borders."""
+    return not (begin > 0 and text[begin - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
+
+
+def _short_places(texts: list[str], coded_texts: list[tuple[np.ndarray, np.ndarray]], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Every place of the items that are shorter than a q-gram."""
+    for n, numbers, ids in index.short:
+        for doc, (codes, own) in enumerate(coded_texts):
+            grams = qgrams(codes, n)
+            if not len(grams):
+                continue
+            at = np.minimum(np.searchsorted(numbers, grams), len(numbers) - 1)
+            for place in np.flatnonzero(numbers[at] == grams).tolist():
+                begin, end = int(own[place]), int(own[place + n - 1]) + 1
+                if _whole(texts[doc], begin, end):
+                    for i in ids[at[place]]:
+                        yield doc, i, begin, end, 0, 0
+
+
+def _apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of (edits, begin, end, shared), those that overlap none with fewer edits, or as many and before them."""
+    out: list[tuple[int, int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for x in sorted(set(found)):
+        k = bisect.bisect_left(taken, (x[2], 0))
+        if k == 0 or taken[k - 1][1] <= x[1]:
+            taken.insert(k, (x[1], x[2]))
+            out.append(x)
+    return out
+
+
 def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int, int]]:
-    """(text number, item id, begin, end, edits, shared q-grams) of each item found in each text: the
-    place with the fewest edits, then the first."""
+    """(text number, item id, begin, end, edits, shared q-grams) of each place of each item in each text.
+
+    Places of one item do not overlap: those with the fewest edits stay, then the first.
+    """
+    coded_texts = [coded(text) for text in texts]
+    out = list(_short_places(texts, coded_texts, index))
     if not index.items:
-        return []
+        return sorted(out)
     parts, places, starts, size = [], [], [], 0
     gap = np.zeros(Q, dtype=np.uint8)
-    for text in texts:
-        codes, own = coded(text)
+    for codes, own in coded_texts:
         starts.append(size)
         parts += [codes, gap]
         places.append(own)
         size += len(codes) + Q
-    all_codes = np.concatenate(parts)
+    all_codes = np.concatenate([*parts, gap[:0]])
     grams = qgrams(all_codes)
     hits = np.flatnonzero(index.filter[(grams * _MIX) >> np.uint64(64 - FILTER_BITS)])
     at = np.searchsorted(index.grams, grams[hits])
@@ -166,8 +212,11 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int,
     real = index.grams[at] == grams[hits]
     hits, at = hits[real], at[real]
     if not len(hits):
-        return []
+        return sorted(out)
     n = index.first[at + 1] - index.first[at]
+    if n.sum() > MOST_SHARED and len(texts) > 1:
+        half = len(texts) // 2
+        return scan(texts[:half], index) + [(x[0] + half, *x[1:]) for x in scan(texts[half:], index)]
     posting = np.repeat(index.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
     item = index.item[posting].astype(np.int64)
     diagonal = np.repeat(hits, n) - index.place[posting] + (1 << 14)
@@ -182,7 +231,7 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int,
     owner = keys[cuts] // span
     full = np.flatnonzero(counts >= index.bound[owner])
     edges = np.array([*starts, size])
-    best: dict[tuple[int, int], tuple] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
     for k in full.tolist():
         which = int(owner[k])
         budget = int(index.budget[which])
@@ -191,22 +240,18 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int,
         doc = int(np.searchsorted(edges, middle + len(index.items[which]) // 2, side="right")) - 1
         if not 0 <= doc < len(texts):
             continue
-        known = best.get((doc, which))
-        if known and known[0] == 0:
-            continue
         a, b = starts[doc], starts[doc] + len(places[doc])
         left = min(max(a, middle - 3 * budget), b)
         right = min(b, middle + len(index.items[which]) + 3 * budget)
-        found = align(index.items[which], all_codes[left:right], middle - left, budget)
-        if found:
-            new = (found[0], found[1] + left - a, found[2] + left - a, int(counts[k]))
-            if known is None or new[:2] < known[:2]:
-                best[doc, which] = new
-    out = []
-    for (doc, which), (edits, begin, end, shared) in sorted(best.items()):
+        place = align(index.items[which], all_codes[left:right], middle - left, budget)
+        if place and place[2] > place[1]:
+            begin, end = place[1] + left - a, place[2] + left - a
+            if len(index.items[which]) >= EXACT_BELOW or _whole(texts[doc], int(places[doc][begin]), int(places[doc][end - 1]) + 1):
+                found.setdefault((doc, which), []).append((place[0], begin, end, int(counts[k])))
+    for (doc, which), got in found.items():
         own = places[doc]
-        out.append((doc, index.ids[which], int(own[begin]), int(own[end - 1]) + 1, edits, shared))
-    return out
+        out += [(doc, index.ids[which], int(own[begin]), int(own[end - 1]) + 1, edits, shared) for edits, begin, end, shared in _apart(got)]
+    return sorted(out)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
@@ -220,8 +265,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, begin, end, edits, shared: each item that a document holds within the edit budget.
+    """doc_id, item_id, begin, end, edits, shared: each place where a document holds an item within the edit budget.
 
+    The budget is ``EDITS`` of an item's letters and digits; items of fewer than ``EXACT_BELOW`` must stand
+    exactly, as whole words, and items without any are not looked for. Places of one item do not overlap.
     ``begin`` and ``end`` are characters of the text. Null or empty texts hold nothing; repeated rows
     give repeated results; with an empty table on either side the result is empty. An item id that
     comes with several texts is looked for by each of them.

@@ -261,7 +261,7 @@ def edit_distance(a, b):
 
 def test_leaks_are_found_within_the_budget(spark):
     rng = random.Random(2)
-    items = [(i, " ".join(prose(rng, rng.randrange(12, 40)))) for i in range(20)] + [(97, "short"), (98, None), (None, "x " * 60)]
+    items = [(i, " ".join(prose(rng, rng.randrange(12, 40)))) for i in range(20)] + [(97, "Grobnik!"), (98, None), (None, "x " * 60)]
     rows, want = [], set()
     for d in range(60):
         words = " ".join(prose(rng, 50))
@@ -286,6 +286,64 @@ def test_leaks_are_found_within_the_budget(spark):
     assert decontaminate.find(documents(spark, rows), none).count() == 0
 
 
+def least_edits(item, text):
+    """The fewest edits between an item and any stretch of a text."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for y in text:
+        new = [0]
+        for i, x in enumerate(item, 1):
+            new.append(min(row[i - 1] + (x != y), row[i] + 1, new[-1] + 1))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_items_of_every_length_against_brute_force():
+    rng = random.Random(21)
+    items = [(n, "".join(rng.choice("abcdefgh") for _ in range(n))) for n in range(3, 41)] + [(99, "?!"), (50, "What is the capital of France?"), (51, "Why?")]
+    index = decontaminate.build(items)
+    texts = ["So: what is the Capital of france?! Why not, whyever"]
+    for n in range(260):
+        own = list(dict(items)[3 + n % 38])
+        for _ in range(rng.randrange(0, 2 + len(own) // 8)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], ["z"], [own[at], "z"]])
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(12)]
+        texts.append(" ".join(words[:6]) + rng.choice([" ", "", ". "]) + "".join(own) + rng.choice([" ", "", "! "]) + " ".join(words[6:]))
+    got = {(x[0], x[1]) for x in decontaminate.scan(texts, index)}
+    want = set()
+    for d, text in enumerate(texts):
+        words = "".join(c if c.isalnum() else " " for c in text.lower())
+        for i, item in items:
+            flat = "".join(c for c in item.lower() if c.isalnum())
+            if 0 < len(flat) < decontaminate.EXACT_BELOW:
+                if re.search(r"(?<![a-z0-9])" + r" *".join(flat) + r"(?![a-z0-9])", words):
+                    want.add((d, i))
+            elif flat:
+                budget = min(int(len(flat) * decontaminate.EDITS), (len(flat) - decontaminate.Q) // decontaminate.Q)
+                if least_edits(flat, words.replace(" ", "")) <= budget:
+                    want.add((d, i))
+    assert got == want and len(want) > 120 and {(0, 50), (0, 51)} <= got
+
+
+def test_all_places_of_an_item_are_reported(spark, monkeypatch):
+    rng = random.Random(22)
+    item, short = " ".join(prose(rng, 20)), "grobnik"
+    text = f"{item} {short}. {' '.join(prose(rng, 30))} {item.upper()}. {item} grobnikka {short}"
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)  # several blocks of items
+    docs = documents(spark, [(1, text), (2, "none"), (1, text), (3, text + " w" * 200000)])
+    got = decontaminate.find(docs, spark.createDataFrame([(7, item), (8, short), (9, item)], "item_id long, text string")).collect()
+    places = [m.start() for m in re.finditer(re.escape(item.lower()), text.lower())]
+    for doc, times in ((1, 2), (3, 1)):
+        for i in (7, 9):
+            assert sorted(r.begin for r in got if (r.doc_id, r.item_id) == (doc, i)) == sorted(places * times)
+        assert sorted(r.begin for r in got if (r.doc_id, r.item_id) == (doc, 8)) == sorted([m.start() for m in re.finditer(r"grobnik\b", text)] * times)
+    assert {r.doc_id for r in got} == {1, 3} and all(r.edits == 0 for r in got)
+    monkeypatch.setattr(decontaminate, "MOST_SHARED", 10)
+    assert len(decontaminate.scan([text, "x", text], decontaminate.build([(7, item)]))) == 6
+
+
 def test_banded_alignment_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(40):
