@@ -496,8 +496,10 @@ def _visits(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("g").agg(F.count("*").alias("size"))
     homes = staged(members.join(sizes, "g").groupBy("node").agg(F.max(F.struct("size", "g")).alias("home")).select("node", F.col("home.g").alias("home")), "homes")
     placed = members.join(homes, "node")
-    of_groups = placed.select("g", F.col("home").alias("other")).distinct()
-    visiting = placed.join(of_groups, "g").where("other < home").select(F.col("other").alias("home"), "node").distinct()
+    # a home is no smaller than any group of its members, so a group has no more homes than the root of all memberships
+    of_groups = placed.select("g", "home").distinct().groupBy("g").agg(F.sort_array(F.collect_list("home")).alias("others"))
+    met = placed.join(of_groups, "g").groupBy("node", "home").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    visiting = met.select(F.explode(F.filter("others", lambda x: x < F.col("home"))).alias("home"), "node")
     return staged(homes.select("home", "node", F.lit(False).alias("visiting")).union(visiting.select("home", "node", F.lit(True))), "visits")
 
 
