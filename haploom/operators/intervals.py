@@ -47,14 +47,18 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], pos:
     An interval is listed under each bucket it touches, a point under its own, so the join is an
     equi-join on (keys, bucket) that shuffles and can be split on skew, not a nested loop. ``bucket``
     should be near the usual interval length. ``closed``: the upper end belongs to the interval.
+    ``how``: 'inner', or 'left' to keep points that no interval holds, with nulls.
     """
     top = F.col(high) if closed else F.col(high) - 1
     laid = intervals.where(top >= F.col(low)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(top / bucket))))
     own = points.withColumn("__b", F.floor(F.col(pos) / bucket))
-    if how == "left":
-        own = own.withColumn("__row", F.xxhash64(*points.columns))
     hit = own.alias("p").join(laid.alias("i"), [*keys, "__b"], "inner").where((F.col(pos) >= F.col(low)) & (F.col(pos) <= F.col(high) if closed else F.col(pos) < F.col(high)))
-    return hit.drop("__b", "__row")
+    hit = hit.drop("__b")
+    if how == "inner":
+        return hit
+    held = hit.select(*keys, pos).distinct()
+    none = points.alias("p").join(held.alias("h"), [F.col(f"p.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*keys, pos)], "left_anti")
+    return hit.unionByName(none, allowMissingColumns=True)
 
 
 def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], pos: str, low: str, high: str, label: str, ord_col: str, bucket: int, closed: bool = True, default=None) -> DataFrame:
@@ -95,6 +99,14 @@ def within_tolerance(left: DataFrame, right: DataFrame, keys: list[str], pos: st
     return own.alias("l").join(near.alias("r"), cond, "left_semi").drop("__b")
 
 
+def region_codes(df: DataFrame, chrom: str = "chrom", start: str = "start", ord_col: str = "ord") -> DataFrame:
+    """chrom, region, parent, code: the filled cells of a matrix of regions and parents. Regions are numbered
+    by start, equal ones by their place in the file; code 1: first parent, 2: second, 3: both."""
+    numbered = df.withColumn("region", F.row_number().over(W.partitionBy(chrom).orderBy(start, ord_col)) - 1)
+    long = numbered.select(chrom, "region", F.explode(F.array(F.struct(F.col("parent1").alias("parent"), F.lit(1).alias("code")), F.struct(F.col("parent2").alias("parent"), F.lit(2).alias("code")))).alias("x"))
+    return long.select(chrom, "region", "x.*").where("parent IS NOT NULL").groupBy(chrom, "region", "parent").agg(F.sum("code").cast("int").alias("code"))
+
+
 def lift_over(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, bucket: int) -> DataFrame:
     """Points in the coordinates of another assembly: blocks (keys, start, end, target, target_start, strand)."""
     hit = interval_join(points, blocks, keys, pos, "start", "end", bucket, closed=False)

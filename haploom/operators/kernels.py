@@ -268,7 +268,8 @@ def predict(sites: DataFrame, keys: list[str], by: str, model) -> DataFrame:
 
 def softmax_array(values):
     """Softmax of an array column."""
-    top = F.array_max(values)
-    e = F.transform(values, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(e, lambda x: x / total)
+    # bound by an array of one element, the largest value and the sum are computed once and not for each element
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    shifted = bind(F.struct(values.alias("v"), F.array_max(values).alias("top")), lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])))
+    summed = bind(shifted, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, b: a + b).alias("total")))
+    return bind(summed, lambda s: F.transform(s["e"], lambda x: x / s["total"]))

@@ -126,7 +126,8 @@ def affinity(cells: DataFrame, individual: list[str], founder: str, value: str)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation, equal values sharing their mean rank."""
+    """Rank correlation of the rows with both values, equal values sharing their mean rank."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranks(col: str) -> DataFrame:
         # values are dealt by range; each range is ranked on its own, after the rows of the ranges before it
@@ -161,6 +162,20 @@ def top_rank_of_truth(counts: DataFrame, keys: list[str], founder: str, n: str,
     return own.agg(F.count("*").alias("n"), F.median("__rank").alias("median_rank"), F.avg((F.col("__rank") <= 3).cast("double")).alias("top3"))
 
 
+def read_diagnostics(counts: DataFrame, sites: DataFrame, keys: list[str], founder: str, n: str, truth: str) -> DataFrame:
+    """Mean reads of a site, share of sites without any, and how often the true founder (of ``sites``) has a read."""
+    total = counts.groupBy(*keys).agg(F.sum(n).alias("__n"))
+    own = counts.select(*keys, F.col(founder).alias(truth), F.col(n).alias("__own"))
+    joined = sites.join(total, keys, "left").join(own, [*keys, truth], "left")
+    reads, has = F.coalesce("__n", F.lit(0)), F.coalesce(F.col("__own") > 0, F.lit(False))
+    return joined.agg(F.count("*").alias("n_sites"), F.avg(reads).alias("mean_reads"), F.avg((reads == 0).cast("double")).alias("zero_share"), F.avg(has.cast("double")).alias("founder_has_read"))
+
+
+def het_by_truth(df: DataFrame, p1: str, p2: str, h1: str, h2: str) -> DataFrame:
+    """Sites that are truly heterozygous or not, and the share called heterozygous among them."""
+    return df.groupBy((F.col(h1) != F.col(h2)).alias("true_het")).agg(F.count("*").alias("n"), F.avg((F.col(p1) != F.col(p2)).cast("double")).alias("called_het"))
+
+
 def best_of_grid(scores: DataFrame, params: list[str], score: str) -> DataFrame:
     """The parameters of the best score, the smallest of equal ones."""
     return scores.agg(F.max(F.struct(F.col(score), *((-F.col(p)).alias(p) for p in params))).alias("b")).select(*((-F.col(f"b.{p}")).alias(p) for p in params), F.col(f"b.{score}").alias(score))

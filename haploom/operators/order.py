@@ -46,15 +46,31 @@ def top_per_group(df: DataFrame, group: list[str], by: list, k: int) -> DataFram
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy(*by))).where(F.col("__rn") <= k).drop("__rn")
 
 
-def head_split(df: DataFrame, ord_col: str, total: int, val: float, test: float, block: int = 1) -> DataFrame:
-    """Split by ordinal: training head, then validation, test tail; bounds floor to whole blocks."""
-    n_test, n_val = int(total * test) // block * block, int(total * val) // block * block
-    n_train = (total - n_test - n_val) // block * block
+def head_split(df: DataFrame, ord_col: str, total: int | Column, val: float, test: float, block: int = 1) -> DataFrame:
+    """Split by ordinal: training head, then validation, test tail; bounds floor to whole blocks.
+
+    ``total``: the number of rows, or a column of it for each row's group.
+    """
+    total = F.lit(total) if isinstance(total, int) else total
+    n_test, n_val = (F.floor(F.floor(total * share) / block) * block for share in (test, val))
+    n_train = F.floor((total - n_test - n_val) / block) * block
     o = F.col(ord_col)
     return df.withColumn("split", F.when(o < n_train, "train").when(o < n_train + n_val, "val").otherwise("test"))
 
 
-def whole_windows(df: DataFrame, ord_col: str, total: int, window: int) -> DataFrame:
+def ordinal_slice(df: DataFrame, ord_col: str, start: int, end: int) -> DataFrame:
+    """Rows of the ordinals from start to before end."""
+    return df.where((F.col(ord_col) >= start) & (F.col(ord_col) < end))
+
+
+def present_or_best(values: Column, least: float) -> Column:
+    """Indices of an array that reach a cut-off, with the largest of all but the last, and the last (unknown) in any case."""
+    best = argmax_known(values)
+    last = F.size(values) - 1
+    return F.filter(F.sequence(F.lit(0), last), lambda i: (F.get(values, i) >= least) | (i == best) | (i == last))
+
+
+def whole_windows(df: DataFrame, ord_col: str, total: int | Column, window: int) -> DataFrame:
     """Only the ordinals that fill whole windows."""
     return df.where(F.col(ord_col) < total - total % window)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haploom.session import staged
+
 
 def crossover_positions(length: int, low: int, high: int, rng: np.random.Generator) -> list[int]:
     """Positions at uniform gaps, none nearer to the end than the smallest gap."""
@@ -93,9 +95,13 @@ def segment_sizes(mosaic: DataFrame) -> DataFrame:
 
 
 def tree_walk(edges: DataFrame, samples: DataFrame, most: int = 64) -> DataFrame:
-    """tree, node, root: the founder above each sample node (``edges``: tree, child, parent), by doubling hops."""
-    hops = edges.select("tree", "child", "parent")
+    """tree, node, root: the founder above each sample node (``edges``: tree, child, parent), by doubling hops
+    until nothing moves; at most ``most`` generations. Each round is written, so plans stay small."""
+    hops = staged(edges.select("tree", "child", "parent"), "hops")
     for _ in range(max(1, most.bit_length())):
         up = hops.select("tree", F.col("child").alias("parent"), F.col("parent").alias("__next"))
-        hops = hops.join(up, ["tree", "parent"], "left").select("tree", "child", F.coalesce("__next", "parent").alias("parent"))
+        hops = staged(hops.join(up, ["tree", "parent"], "left").select("tree", "child", F.coalesce("__next", "parent").alias("parent"), F.col("__next").isNotNull().alias("moved")), "hops")
+        if hops.where("moved").isEmpty():
+            break
+        hops = hops.drop("moved")
     return samples.join(hops, (samples.tree == hops.tree) & (samples.node == hops.child), "left").select(samples.tree, samples.node, F.coalesce("parent", "node").alias("root"))

@@ -77,12 +77,15 @@ def compare(truth: DataFrame, imputed: DataFrame, missing_as_ref: bool = False,
 
 
 def counters(compared: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts of each kind, records on either side, and concordance with and without partial credit."""
+    """Counts of each kind, records on either side, and concordance with and without partial credit.
+
+    ``identical_strict``: nothing but matches, so neither other sites nor genotypes that are missing or cannot be read.
+    """
     n = lambda k: F.count_if(F.col("kind") == k)
     kinds = ["MATCH_ALLELE", "MISMATCH_ALLELE", "MISSING_IN_IMPUTED_SITE", "EXTRA_IN_IMPUTED_SITE", "TRUTH_MISSING_GT", "IMPUTED_MISSING_GT", "BOTH_MISSING_GT", "GT_UNPARSEABLE"]
     out = compared.groupBy(*(by or [])).agg(F.count("t").alias("truth_records"), F.count("i").alias("imputed_records"), *(n(k).alias(k.lower()) for k in kinds), F.sum("score").alias("credit"))
     compared_n = F.col("match_allele") + F.col("mismatch_allele")
-    strict = (compared_n == F.col("match_allele")) & (F.col("missing_in_imputed_site") + F.col("extra_in_imputed_site") == 0)
+    strict = sum((F.col(k.lower()) for k in kinds[2:]), F.col("mismatch_allele")) == 0
     return out.withColumn("concordance", F.col("match_allele") / F.nullif(compared_n, F.lit(0))).withColumn("partial_concordance", F.col("credit") / F.nullif(compared_n, F.lit(0))).withColumn("identical_strict", strict)
 
 
@@ -111,6 +114,15 @@ def written_sites(compared: DataFrame, mode: str = "all") -> DataFrame:
     return compared if mode == "all" else compared.where(F.col("kind").isin(*kinds[mode]))
 
 
+def panel_concordance(sites: DataFrame, panel: DataFrame, keys: list[str], called: str, truth: str) -> DataFrame:
+    """Each site's alleles of the called and of the true founder in a panel (chrom, pos, member, allele),
+    and whether they are the same; a founder that the panel lacks there has a null allele and no match."""
+    one = panel.select("chrom", "pos", F.col("member").alias(called), F.col("allele").alias("called_allele"))
+    two = panel.select("chrom", "pos", F.col("member").alias(truth), F.col("allele").alias("true_allele"))
+    joined = sites.join(one, ["chrom", "pos", called], "left").join(two, ["chrom", "pos", truth], "left")
+    return joined.withColumn("same", F.coalesce(F.col("called_allele") == F.col("true_allele"), F.lit(False)))
+
+
 def panel_genotypes(variants: DataFrame, intervals: DataFrame, panel: DataFrame, bucket: int) -> DataFrame:
     """Genotypes of samples from their intervals and a panel: the last interval (by ``ord``) that holds a
     variant (start + 1 to end) names two panel members, whose first alleles are joined; no call as '.'.

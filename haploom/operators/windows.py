@@ -35,6 +35,20 @@ def window_scores(windowed: DataFrame, keys: list[str], founder: str, cell: str)
     return sums.join(runs, group).withColumn("score", F.col("total") + F.col("longest"))
 
 
+def top_founders(scores: DataFrame, keys: list[str], founder: str, n: int, exclude: list[int] | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """The n founders of the largest scores of each window (equal ones by number): rank from 1, founder, score.
+
+    ``exclude`` never takes part. ``weights`` (founder, weight) multiply the scores of what was chosen;
+    founders without a weight have 1.
+    """
+    left = scores.where(~F.col(founder).isin(exclude)) if exclude else scores
+    order = W.partitionBy(*keys, "window").orderBy(F.desc("score"), founder)
+    top = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(*keys, "window", "rank", founder, "score")
+    if weights is None:
+        return top
+    return top.join(weights.select(founder, "weight"), founder, "left").withColumn("score", F.col("score") * F.coalesce("weight", F.lit(1.0))).select(*keys, "window", "rank", founder, "score")
+
+
 def majority_vote(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """The most frequent label of each key, the lowest of equal ones."""
     n = df.groupBy(*keys, label).agg(F.count("*").alias("__n"))

@@ -192,14 +192,16 @@ def range_join_panel(s, d):
 
 @query(
     with_views(
-        """SELECT chrom, pos, (SELECT arg_min(start, (abs(start - w.pos), -start)) FROM starts b WHERE b.chrom = w.chrom) AS nearest FROM few w""",
+        """SELECT l.chrom, l.pos, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL OR hi - l.pos > l.pos - lo THEN lo ELSE hi END AS nearest
+        FROM (SELECT w.chrom, w.pos, b.start AS lo FROM wanted w ASOF LEFT JOIN spans b ON w.chrom = b.chrom AND w.pos >= b.start) l
+        JOIN (SELECT w.chrom, w.pos, b.start AS hi FROM wanted w ASOF LEFT JOIN spans b ON w.chrom = b.chrom AND w.pos <= b.start) h ON l.chrom = h.chrom AND l.pos = h.pos""",
         "spans",
-        more=_SITES + ", few AS (SELECT * FROM wanted WHERE pos < 2000), starts AS (SELECT DISTINCT chrom, start FROM spans WHERE start < 6000)",
+        more=_SITES,
     )
 )
 def nearest_site(s, d):
-    starts = V.spans(s, d).where("start < 6000").select("chrom", F.col("start").alias("pos"))
-    return intervals.nearest_site(_wanted(s, d).where("pos < 2000"), starts.withColumnRenamed("pos", "at"), ["chrom"], "pos", "at", bucket=64)
+    starts = V.spans(s, d).select("chrom", F.col("start").alias("at"))
+    return intervals.nearest_site(_wanted(s, d), starts, ["chrom"], "pos", "at", bucket=1 << 14)
 
 
 @query(with_views("SELECT w.chrom, w.pos, CAST(1000000 + w.pos - b.start AS BIGINT) AS target_pos FROM wanted w JOIN spans b ON b.chrom = w.chrom AND w.pos >= b.start AND w.pos < b.\"end\"", "spans", more=_SITES))
@@ -277,7 +279,7 @@ def vcf_compare_sites(s, d):
         count(*) FILTER (kind = 'MISSING_IN_IMPUTED_SITE') AS missing_in_imputed_site, count(*) FILTER (kind = 'EXTRA_IN_IMPUTED_SITE') AS extra_in_imputed_site, count(*) FILTER (kind = 'TRUTH_MISSING_GT') AS truth_missing_gt,
         count(*) FILTER (kind = 'IMPUTED_MISSING_GT') AS imputed_missing_gt, count(*) FILTER (kind = 'BOTH_MISSING_GT') AS both_missing_gt, count(*) FILTER (kind = 'GT_UNPARSEABLE') AS gt_unparseable, round(sum(score), 4) AS credit,
         round(count(*) FILTER (kind = 'MATCH_ALLELE') / CAST(count(*) FILTER (kind IN ('MATCH_ALLELE', 'MISMATCH_ALLELE')) AS DOUBLE), 6) AS concordance,
-        round(sum(score) / count(*) FILTER (kind IN ('MATCH_ALLELE', 'MISMATCH_ALLELE')), 6) AS partial_concordance, false AS identical_strict FROM scored""",
+        round(sum(score) / count(*) FILTER (kind IN ('MATCH_ALLELE', 'MISMATCH_ALLELE')), 6) AS partial_concordance, count(*) = count(*) FILTER (kind = 'MATCH_ALLELE') AS identical_strict FROM scored""",
         "truth",
         "imputed",
         more=_COMPARED,
@@ -320,8 +322,9 @@ def knn_haploid(s, d):
 
 @query(
     with_views(
-        """SELECT a.contig, a.pos, a.founder AS p1, CASE WHEN coalesce((a.s - b.s) / CAST(nullif(a.s + b.s, 0) AS DOUBLE), 0) < 0.9 THEN b.founder ELSE a.founder END AS p2
-        FROM ranked a JOIN ranked b ON a.contig = b.contig AND a.pos = b.pos AND a.r = 1 AND b.r = 2""",
+        """SELECT contig, pos, f1 AS p1, CASE WHEN coalesce((s1 - s2) / CAST(nullif(s1 + s2, 0) AS DOUBLE), 0) < 0.9 THEN f2 ELSE f1 END AS p2 FROM (
+          SELECT contig, pos, max(CASE WHEN r = 1 THEN founder END) AS f1, max(CASE WHEN r = 2 THEN founder END) AS f2, max(CASE WHEN r = 1 THEN s END) AS s1, max(CASE WHEN r = 2 THEN s END) AS s2
+          FROM ranked WHERE r <= 2 GROUP BY contig, pos)""",
         "cells",
         more=_KNN,
     )
@@ -417,8 +420,10 @@ def pair_accuracy(s, d):
 
 @query(
     with_views(
-        """SELECT count(*) FILTER (EXISTS (SELECT 1 FROM bt WHERE bt.contig = bp.contig AND abs(bt.ord - bp.ord) <= 2)) AS tp_prec, count(*) AS n_pred,
-        (SELECT count(*) FROM bt WHERE EXISTS (SELECT 1 FROM bp b WHERE b.contig = bt.contig AND abs(bt.ord - b.ord) <= 2)) AS tp_rec, (SELECT count(*) FROM bt) AS n_true FROM bp""",
+        """SELECT *, round(tp_prec / greatest(n_pred, 1), 6) AS precision, round(tp_rec / greatest(n_true, 1), 6) AS recall,
+        round(2 * (tp_prec / greatest(n_pred, 1)) * (tp_rec / greatest(n_true, 1)) / greatest(tp_prec / greatest(n_pred, 1) + tp_rec / greatest(n_true, 1), 1e-9), 6) AS f1 FROM (
+        SELECT count(*) FILTER (EXISTS (SELECT 1 FROM bt WHERE bt.contig = bp.contig AND abs(bt.ord - bp.ord) <= 2)) AS tp_prec, count(*) AS n_pred,
+        (SELECT count(*) FROM bt WHERE EXISTS (SELECT 1 FROM bp b WHERE b.contig = bt.contig AND abs(bt.ord - b.ord) <= 2)) AS tp_rec, (SELECT count(*) FROM bt) AS n_true FROM bp)""",
         "path",
         "second",
         more=_BOTH
@@ -429,7 +434,7 @@ def pair_accuracy(s, d):
 def breakpoint_prf(s, d):
     b = _both(s, d)
     out = metrics.breakpoint_prf(metrics.breakpoints(b, ["contig"], "ord", "p1"), metrics.breakpoints(b, ["contig"], "ord", "p2"), ["contig"], "ord", 2)
-    return out.select("tp_prec", "n_pred", "tp_rec", "n_true")
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 _CEILING = """laid AS (SELECT c.contig, p.ord // 100 AS win, p.ord, c.founder, CAST(c.x > 0 AS INTEGER) AS x, p.p1 FROM cells c JOIN path p ON p.contig = c.contig AND p.pos = c.pos),
@@ -579,16 +584,22 @@ def founders_per_individual(s, d):
 @query(
     with_views(
         """SELECT contig, count(*) AS n, round(avg(hit), 6) AS either, round(avg(could), 6) AS ceiling FROM (
-          SELECT b.contig, b.pos, max(CASE WHEN c.founder IN (b.p1, b.p2) AND x > 0 THEN 1.0 ELSE 0.0 END) AS hit, max(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS could
-          FROM twice b JOIN cells c ON c.contig = b.contig AND c.pos = b.pos GROUP BY ALL) GROUP BY contig""",
+          SELECT b.contig, b.pos, max(CASE WHEN c.founder IN (b.q1, b.q2) AND x > 0 THEN 1.0 ELSE 0.0 END) AS hit, max(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS could
+          FROM held b JOIN cells c ON c.contig = b.contig AND c.pos = b.pos WHERE b.pos % 7 = 0 GROUP BY ALL) GROUP BY contig""",
         "path",
         "second",
         "cells",
-        more=_BOTH,
+        more=_BOTH
+        + """, held AS (SELECT contig, pos, last_value(CASE WHEN pos % 7 <> 0 THEN p1 END IGNORE NULLS) OVER w AS q1, last_value(CASE WHEN pos % 7 <> 0 THEN p2 END IGNORE NULLS) OVER w AS q2
+        FROM twice WINDOW w AS (PARTITION BY contig ORDER BY pos))""",
     )
 )
 def masked_accuracy(s, d):
-    m = metrics.masked_accuracy(_both(s, d).join(V.features(s, d), ["contig", "pos"]), ["contig"], "features", "p1", "p2")
+    """Every seventh position is held out and called by the site before it."""
+    w = W.partitionBy("contig").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    held = F.col("pos") % 7 == 0
+    called = _both(s, d).select("contig", "pos", *(F.last(F.when(~held, F.col(c)), ignorenulls=True).over(w).alias(c) for c in ("p1", "p2"))).where(held)
+    m = metrics.masked_accuracy(called.join(V.features(s, d), ["contig", "pos"]), ["contig"], "features", "p1", "p2")
     return m.withColumn("either", F.round("either", 6)).withColumn("ceiling", F.round("ceiling", 6))
 
 
@@ -662,16 +673,19 @@ def natural_sort(s, d):
     return V.table(s, d, "part").select("p_brand").distinct().withColumn("place", F.row_number().over(W.orderBy(number, name)))
 
 
-@query(with_views("SELECT split, count(*) AS n FROM (SELECT CASE WHEN ord < t - CAST(floor(t * 0.1) AS BIGINT) - CAST(floor(t * 0.2) AS BIGINT) THEN 'train' WHEN ord < t - CAST(floor(t * 0.1) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM path, (SELECT count(*) AS t FROM path WHERE contig = 'chr1') WHERE contig = 'chr1') GROUP BY split", "path"))
+def _sized(s, d):
+    p = V.path(s, d)
+    return p.join(p.groupBy("contig").agg(F.count("*").alias("t")), "contig")
+
+
+@query(with_views("SELECT contig, split, count(*) AS n FROM (SELECT contig, CASE WHEN ord < t - CAST(floor(t * 0.1) AS BIGINT) - CAST(floor(t * 0.2) AS BIGINT) THEN 'train' WHEN ord < t - CAST(floor(t * 0.1) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM (SELECT *, count(*) OVER (PARTITION BY contig) AS t FROM path)) GROUP BY contig, split", "path"))
 def split_head_slices(s, d):
-    p = V.path(s, d).where("contig = 'chr1'")
-    return order.head_split(p, "ord", p.count(), 0.2, 0.1).groupBy("split").agg(F.count("*").alias("n"))
+    return order.head_split(_sized(s, d), "ord", F.col("t"), 0.2, 0.1).groupBy("contig", "split").agg(F.count("*").alias("n"))
 
 
 @query(with_views("SELECT contig, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY contig) AS t FROM path) WHERE ord < t - t % 64 GROUP BY contig", "path"))
 def whole_windows(s, d):
-    n = V.path(s, d).withColumn("t", F.count("*").over(W.partitionBy("contig")))
-    return n.where(F.col("ord") < F.col("t") - F.col("t") % 64).groupBy("contig").agg(F.count("*").alias("n"))
+    return order.whole_windows(_sized(s, d), "ord", F.col("t"), 64).groupBy("contig").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, CAST((l_orderkey * 4099 >> 24) & 255 AS INTEGER) AS contig_index, ((l_orderkey * 4099) & 16777215) * 256 AS pos FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
@@ -763,3 +777,6 @@ def sim_alleles(s, d):
 def hashed_sample(s, d):
     """A seeded sample of 500 sites."""
     return order.hashed_sample(V.path(s, d).withColumn("site", F.concat_ws("_", "contig", "pos")), "site", 500, 3)
+
+
+from haploom.plans import more_queries  # noqa: E402, F401

@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
         java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java_dir.get() if java_dir.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="haploom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -40,6 +40,14 @@ def tag_files(paths: DataFrame) -> DataFrame:
     return paths.withColumn("sample", F.regexp_extract(name, r"^(.+)_([^_]+)$", 1)).withColumn("contig", F.regexp_extract(name, r"^(.+)_([^_]+)$", 2))
 
 
+def pair_files(predictions: DataFrame, reads: DataFrame) -> DataFrame:
+    """sample, contigs, paths, reads: the prediction files ({sample}_{contig}.npy, by contig) of each sample that
+    has read support ({sample}_ps4g...), the first of several by name; samples without either are left out."""
+    tagged = tag_files(predictions).where("sample <> ''").groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("contig", "path"))).alias("f"))
+    own = reads.select(F.regexp_extract("path", r"([^/]+?)_?ps4g[^/]*$", 1).alias("sample"), F.col("path").alias("reads")).where("sample <> ''").groupBy("sample").agg(F.min("reads").alias("reads"))
+    return tagged.join(own, "sample").select("sample", F.col("f.contig").alias("contigs"), F.col("f.path").alias("paths"), "reads")
+
+
 def to_npy(sites: DataFrame, keys: list[str], by: str) -> DataFrame:
     """keys, content: each key's cells as the bytes of an NPY file (a matrix of one contig of one sample)."""
     fields = {f.name: f.dataType.simpleString() for f in sites.schema.fields}

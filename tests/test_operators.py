@@ -199,3 +199,36 @@ def test_masked_and_measures(spark):
     assert (out.tp_prec, out.n_pred, out.tp_rec, out.n_true) == (2, 2, 1, 2) and abs(out.f1 - 2 / 3) < 1e-9
     none = metrics.mode_per_key(spark.createDataFrame([(1, None), (1, 2), (1, 1), (2, None)], "k int, v int"), ["k"], "v")
     assert {(r.k, r.mode, r.size) for r in none.collect()} == {(1, 1, 3), (2, None, 1)}
+
+
+def test_left_interval_join_keeps_all_points(spark):
+    points = spark.createDataFrame([("c", 1, "x"), ("c", 5, "y"), ("c", 5, "y"), ("d", 5, "z"), (None, 5, "n")], "chrom string, pos long, tag string")
+    laid = spark.createDataFrame([("c", 4, 9, "a"), ("c", 5, 5, "b")], "chrom string, low long, high long, label string")
+    got = intervals.interval_join(points, laid, ["chrom"], "pos", "low", "high", 4, how="left").collect()
+    assert sorted((r.tag, r.label or "") for r in got) == [("n", ""), ("x", ""), ("y", "a"), ("y", "a"), ("y", "b"), ("y", "b"), ("z", "")]
+
+
+def test_walks_end_at_founders(spark):
+    edges = spark.createDataFrame([(0, i, i - 1) for i in range(1, 20)] + [(1, 3, 7)], "tree long, child long, parent long")
+    samples = spark.createDataFrame([(0, 19), (0, 0), (1, 3), (1, 9)], "tree long, node long")
+    assert {(r.tree, r.node, r.root) for r in simulate.tree_walk(edges, samples).collect()} == {(0, 19, 0), (0, 0, 0), (1, 3, 7), (1, 9, 9)}
+
+
+def test_concordance_counts_every_kind(spark):
+    rows = [("c", 1, "A", "C", None, "0/1"), ("c", 2, "A", "C", None, "./.")]
+    t = spark.createDataFrame(rows[:1], "chrom string, pos long, ref string, alt string, info string, gt string")
+    both = spark.createDataFrame(rows, t.schema)
+    assert variants.counters(variants.compare(t, t)).first().identical_strict is True
+    last = variants.counters(variants.compare(both, both)).first()
+    assert (last.both_missing_gt, last.concordance, last.identical_strict) == (1, 1.0, False)
+
+
+def test_unset_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from haploom.session import shared_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
