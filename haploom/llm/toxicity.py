@@ -1,7 +1,8 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 Sentences are judged by their words. The kernel of two words sums over all common subsequences of
-three letters, gaps allowed, each weighted by decay to the length it spans in either word. Landmarks
+three letters, gaps allowed, each weighted by decay to the length it spans in either word, and is scaled by
+sqrt(K(x, x) K(y, y)). Landmarks
 are a bounded set of words; the Nystroem map ``K(x, landmarks) K(landmarks, landmarks)^-1/2`` gives
 the vectors on which a linear SVM is fitted. As the kernel has an explicit feature for each triple of
 letters, the decision function of any word collapses into one table of triples, read in one pass.
@@ -31,6 +32,8 @@ PER_CLASS = 1500
 LANDMARKS = 256
 #: Training words of each class at most.
 TRAIN_WORDS = 4000
+#: Toxic training documents that hold a witness word at least; rarer words are toxic by chance too often.
+WITNESS_DOCS = 5
 #: Letters that a subsequence may span at most, and the weight of each letter spanned.
 SPAN = 6
 DECAY = 0.65
@@ -92,26 +95,35 @@ def triples(rows: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
             yield (rows[:, : rows.shape[1] - b] << 10) | (rows[:, a : rows.shape[1] - b + a] << 5) | rows[:, b:], DECAY ** (b + 1)
 
 
-def _norms() -> np.ndarray:
-    """Square root of the weights' squares for words of each length, as if no triple came twice."""
-    out = np.ones(WINDOW + 1)
-    for n in range(3, WINDOW + 1):
-        out[n] = np.sqrt(sum(max(0, n - b) * DECAY ** (2 * (b + 1)) for _, b in OFFSETS))
-    return out
-
-
-NORMS = _norms()
+def self_kernels(rows: np.ndarray) -> np.ndarray:
+    """K(x, x) of each row of letters: the sum over its triples of the squares of their weights; 1 without triples."""
+    keys, weights = [], []
+    for codes, weight in triples(rows):
+        whole = (codes >= 1 << 10) & (codes >> 5 & 31 > 0) & (codes & 31 > 0)
+        at = np.nonzero(whole)
+        keys.append(at[0] << 15 | codes[at])
+        weights.append(np.full(len(at[0]), weight))
+    key, weight = (np.concatenate([*x, np.empty(0, dtype=t)]) for x, t in ((keys, np.int64), (weights, np.float64)))
+    if not len(key):
+        return np.ones(len(rows))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = np.add.reduceat(weight[order], first)
+    out = np.bincount(key[first] >> 15, weights=sums * sums, minlength=len(rows))
+    return np.where(out > 0, out, 1.0)
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    """Explicit, length-scaled kernel features of short words: one row of 32768 for each."""
+    """Explicit kernel features of words, scaled to unit length: one row of 32768 for each."""
     rows, owner = padded(words)
     out = np.zeros((len(words), 1 << 15), dtype=np.float32)
     for codes, weight in triples(rows):
         np.add.at(out, (np.broadcast_to(owner[:, None], codes.shape), codes), weight)
     zero = np.arange(1 << 15)
     out[:, (zero < 1 << 10) | (zero >> 5 & 31 == 0) | (zero & 31 == 0)] = 0
-    return out / NORMS[np.minimum([len(w) for w in words], WINDOW)][:, None].astype(np.float32)
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
 
 
 @dataclass
@@ -133,7 +145,7 @@ class Model:
             total = np.zeros(len(rows))
             for codes, weight in triples(rows):
                 total += weight * self.table[codes].sum(axis=1)
-            got = total / NORMS[(rows > 0).sum(axis=1).clip(max=WINDOW)] + self.bias
+            got = total / np.sqrt(self_kernels(rows)) + self.bias
             np.maximum.at(out, at + owner, got)
         return out
 
@@ -181,7 +193,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 2) -> Model
         if not away:
             (in_toxic if label else in_clean).update(own)
     n_clean, n_toxic = int((y[~test] == 0).sum()), int(y[~test].sum())
-    odds = {w: np.log((n + 0.1) / n_toxic) - np.log((in_clean[w] + 0.5) / n_clean) for w, n in in_toxic.items() if n >= 2 and len(w) >= 3}
+    odds = {w: np.log((n + 0.1) / n_toxic) - np.log((in_clean[w] + 0.5) / n_clean) for w, n in in_toxic.items() if n >= WITNESS_DOCS and len(w) >= 3}
     text_of: dict[bytes, str] = {}
     for s in sets:
         for w in s:
@@ -210,7 +222,7 @@ def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 2) -> Model
                 new.update(s[i] for i in np.flatnonzero(m > 0.5).tolist())
             else:
                 hard.update(s[i] for i in np.flatnonzero(m > -0.7).tolist())
-        witness = Counter({w: n for w, n in new.items() if in_clean[letters(w)] <= 0.05 * in_toxic[letters(w)] and in_toxic[letters(w)] >= 2}) or witness
+        witness = Counter({w: n for w, n in new.items() if in_clean[letters(w)] <= 0.05 * in_toxic[letters(w)] and in_toxic[letters(w)] >= WITNESS_DOCS}) or witness
     margins = np.array([m.max() for m in tops])
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     judged = test if test.any() else ~test
@@ -230,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 keep = [i for i, x in enumerate(ids) if x in wanted.value]
                 if keep:
                     texts = part.column(1)
-                    own = [" ".join(dict.fromkeys(words_of(texts[i].as_py()))) for i in keep]  # a document's words, once each
+                    # a document's words, once each; no blanks between them, which spaced-out letters have
+                    own = ["\n".join(dict.fromkeys(words_of(texts[i].as_py()))) for i in keep]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array(own, pa.string())], names=["doc_id", "words"])
 
     got: dict[int, str] = {}

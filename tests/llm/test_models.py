@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -53,6 +54,71 @@ def test_toxicity_on_held_out_rows(spark, tables):
     assert min(inside) > 0.5 > outside[0]
 
 
+def plain_kernel(x, y):
+    """The gap-weighted kernel of common subsequences of three letters, by its definition."""
+
+    def weights(w):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[w[i], w[j], w[k]] = out.get((w[i], w[j], w[k]), 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    a, b = weights(x), weights(y)
+    dot = lambda p, q: sum(v * q[t] for t, v in p.items() if t in q)
+    return dot(a, b) / max(np.sqrt(dot(a, a) * dot(b, b)), 1e-30)
+
+
+def test_kernel_is_the_plain_one():
+    rng = random.Random(6)
+    words = [toxicity.letters(w) for w in [*prose(rng, 25), "banana", "aaaaaa", "ab", "a", "gro.bnik", "grobnik"]]
+    phi = toxicity.features(words)
+    want = np.array([[plain_kernel(x, y) for y in words] for x in words])
+    assert np.allclose(phi @ phi.T, want, atol=1e-5)
+
+
+def test_collapsed_table_is_the_nystroem_map():
+    rng = random.Random(7)
+    words, marks = prose(rng, 40), prose(rng, 12)
+    base = toxicity.features([toxicity.letters(w) for w in marks])
+    values, vectors = np.linalg.eigh((base @ base.T).astype(float))
+    root = vectors[:, values > 1e-3] / np.sqrt(values[values > 1e-3])
+    w = np.random.default_rng(0).standard_normal(root.shape[1])
+    model = toxicity.Model((base.T @ (root @ w)).astype(np.float32), 0.25, 1.0, 0.0)
+    kernels = np.array([[plain_kernel(toxicity.letters(x), toxicity.letters(m)) for m in marks] for x in words])
+    assert np.allclose(model.margins(words), kernels @ root @ w + 0.25, atol=1e-4)
+
+
+def test_quality_scores_are_those_of_a_plain_model():
+    rng = random.Random(8)
+    texts = [" ".join(prose(rng, 12)) if i % 2 else " ".join(w.upper() for w in prose(rng, 12)) for i in range(60)]
+    y = np.array([i % 2 for i in range(60)])
+    sets = [sorted(set(quality.ngrams(t).tolist())) for t in texts]
+    model = quality.fit([np.array(s) for s in sets], y, 0.5)
+    count = [{}, {}]
+    for own, label in zip(sets, y.tolist(), strict=True):
+        for g in own:
+            count[label][g] = count[label].get(g, 0) + 1
+    size = 1 << quality.BITS
+    total = [size + sum(c.values()) for c in count]
+    ratio = {g: np.log((1 + count[1].get(g, 0)) / total[1]) - np.log((1 + count[0].get(g, 0)) / total[0]) for s in sets for g in s}
+    assert all(np.isclose(model.square[g], r * r) for g, r in ratio.items())
+    svm = {g: model.weight[g] / r for g, r in ratio.items() if abs(r) > 1e-12}
+    for text, own, label in zip(texts, sets, y.tolist(), strict=True):
+        norm = np.sqrt(sum(ratio[g] ** 2 for g in own))
+        margin = sum(svm.get(g, 0) * ratio[g] / norm for g in own) + model.bias
+        assert np.isclose(model.scores([text])[0], 1 / (1 + np.exp(-(model.a * margin + model.b)))) and (margin > 0) == (label == 1)
+
+
+def test_dual_descent_reaches_the_optimum():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 3))
+    y = np.where(x[:, 0] + 0.3 * rng.standard_normal(60) > 0, 1.0, -1.0)
+    w = dual_descent([(np.arange(3), r) for r in x], y, 3, np.full(60, 1.0), epochs=2000)
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v[:3] + v[3])).sum()
+    assert all(loss(w) <= loss(w + 0.02 * d) + 1e-3 for d in rng.standard_normal((400, 4)))
+
+
 def test_folds_are_kept_apart(tables):
     import zlib
 
