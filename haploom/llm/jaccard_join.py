@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from haploom.llm.bitmaps import bitmap, has_bits, set_bits
 from haploom.llm.components import components
 from haploom.llm.shingles import mix, set_class, shingle_sets
-from haploom.llm.textkit import grouped, keyed_texts, slices
+from haploom.llm.textkit import BUCKETS_PER_PARTITION, grouped, keyed_texts, slices
 from haploom.session import shuffle_partitions, staged
 
 #: Largest group of which all pairs are candidates; larger ones are compared in blocks.
@@ -535,6 +535,7 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
+    buckets = BUCKETS_PER_PARTITION * parts
     texts = keyed_texts(docs, id_col, text_col)
     with_id = texts.where("doc_id IS NOT NULL")
 
@@ -554,8 +555,8 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("vector").alias("vector"))
     )
     classes = staged(classes, "classes")
-    index = with_id.mapInArrow(lambda it: _index(it, k, num, den, parts), INDEX)
-    # several partitions of signatures may come to one task; it holds one of them at a time
+    index = with_id.mapInArrow(lambda it: _index(it, k, num, den, buckets), INDEX)
+    # several buckets of signatures come to one task; it holds one of them at a time
     dealt = index.repartition(parts, "p").sortWithinPartitions("p")
     found = staged(dealt.mapInArrow(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den)), "a long, b long, g long"), "candidates")
 
@@ -577,7 +578,7 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         asked = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
         sets = staged(asked.join(with_id, "doc_id").select("node", "text").mapInArrow(lambda it: _set_rows(it, k), "node long, set binary").dropDuplicates(["node"]), "sets")
         frequent = bitmap(_telling(members, sets).mapInArrow(lambda it: set_bits(_frequent(it)), "w int, bits long"))
-        again = sets.mapInArrow(lambda it: _index_rare(it, num, den, parts, frequent), INDEX).repartition(parts, "p").sortWithinPartitions("p")
+        again = sets.mapInArrow(lambda it: _index_rare(it, num, den, buckets, frequent), INDEX).repartition(parts, "p").sortWithinPartitions("p")
         second = staged(again.mapInArrow(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den)), "a long, b long, g long"), "candidates")
         pairs = pairs.union(second.where("g IS NULL").select("a", "b"))
         common = second.where("g = -1").select(F.col("a").alias("node")).distinct()

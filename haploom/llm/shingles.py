@@ -11,6 +11,8 @@ _M2 = np.uint64(0x94D049BB133111EB)
 #: Space and U+0009 to U+000D part words.
 BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes whose words are found at a time (a longer text is taken whole).
+AT_ONCE = 1 << 19
 #: A-Z to a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -39,9 +41,19 @@ def _power(n: int, inverse: bool = False) -> np.ndarray:
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word of all texts in order, number of words of each text).
 
-    Words are what blanks part, A-Z in lower case.
+    Words are what blanks part, A-Z in lower case. Only so many bytes are laid out at a time.
     """
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(r) for r in raws])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, AT_ONCE), side="right"))
+    parts = [_words(raws[a:b]) for a, b in zip([0, *cuts], [*cuts, len(raws)], strict=True) if a < b]
+    if not parts:
+        return np.empty(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    hashes, counts = zip(*parts, strict=True)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8)
     ends_of_texts = np.cumsum([len(r) + 1 for r in raws])
     low = LOWER[raw]
@@ -49,7 +61,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[1], blank.view(np.int8), [1]]))
     begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(begins):
-        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), np.zeros(len(raws), dtype=np.int64)
     sums = np.empty(len(raw) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(len(raw)), out=sums[1:])

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Buckets of packed arrays for each shuffle partition; a task holds one bucket at a time.
+BUCKETS_PER_PARTITION = 4
 #: Rows that are turned into Python objects at a time; Arrow batches are read in such slices.
 SLICE_ROWS = 256
 
