@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1024
 #: Buckets of packed arrays for each shuffle partition; a task holds one bucket at a time.
 BUCKETS_PER_PARTITION = 4
 #: Rows that are turned into Python objects at a time; Arrow batches are read in such slices.
@@ -48,8 +50,12 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str = "p") -> Iterator[li
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator needs, as ``doc_id`` and ``text``; null text is empty.
 
-    Columns of ``docs`` that clash with an operator's own names are thereby out of the way.
+    Columns of ``docs`` that clash with an operator's own names are thereby out of the way. From here on
+    the session sends at most ``BATCH_ROWS`` rows in an Arrow batch, so that few texts are in memory twice.
     """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
