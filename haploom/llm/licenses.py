@@ -1,14 +1,17 @@
 """License scans by a positional index of rare tokens, in DataFrame functions only.
 
-Templates are short notices; the index holds for each licence word the templates and places where it
-stands. Document frequencies of licence words over the whole corpus rank them. A file's words are
-looked up by the rarest words of the templates; a posting at place p of a word that stands at place i
-of the file puts the template at i - p, where the mandatory key phrase is compared word by word.
+Templates are notices and whole licence texts, each with a mandatory key phrase; the index holds for each
+template the places of its key phrase's rarest words, which document frequencies over the whole corpus
+rank. A file that holds a template's rarest word has all its rare words looked up: a posting at place p
+of a word that stands at place i of the file puts the template at i - p. Where all postings of a template
+put it at one place, the key phrase is compared word by word, and so are the words around it.
 Everything happens within a row: nothing but the few counts of licence words is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,30 @@ TEMPLATES = [
     ("apache-2", "licensed under the [apache license version 2 0]"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www [apache org licenses license 2 0]"),
     ("mit", "[permission is hereby granted free of charge to any person obtaining a copy] of this software and associated documentation files"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished"
+        " to do so subject to the following conditions the [above copyright notice and this permission notice shall be included] in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        " in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"
+        " arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the"
+        " [above copyright notice and this permission notice appear in all copies]"
+        " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+        " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " 2 [redistributions in binary form must reproduce the above copyright notice] this list of conditions and the following disclaimer"
+        " in the documentation and or other materials provided with the distribution",
+    ),
     ("mit", "released under the [mit license]"),
     ("cc-by-nc", "licensed under [cc by nc 4 0]"),
     ("cc-by-nc", "creative commons [attribution noncommercial]"),
@@ -38,6 +65,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software [released into the public domain]"),
     ("all-rights-reserved", "[all rights reserved]"),
 ]
+#: Words of a key phrase that are looked up, those that fewest files hold.
+RARE = 3
 #: What parts words, once A-Z are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,25 +101,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     phrases = [(label, phrase.split()) for label, phrase in BASE.items()]
     notices = [(label, *_spelled(notice)) for label, notice in TEMPLATES]
-    vocabulary = sorted({w for _, ws in phrases for w in ws} | {w for _, ws, _, _ in notices for w in ws})
-    words = keyed_texts(docs, id_col, text_col).select("doc_id", word_array(F.col("text")).alias("words"))
-    df = document_frequencies(words, vocabulary)
-    rarest = lambda ws: min(range(len(ws)), key=lambda i: (df.get(ws[i], 0), ws[i], i))
-    # postings: rare word -> (template, place of that word in its key phrase)
+    # a template's postings all stand in its key phrase, which must be there word by word
     keys = [(label, ws, 0, ws) for label, ws in phrases] + [(label, key, at, ws) for label, ws, at, key in notices]
-    anchors: dict[str, list[tuple[int, int]]] = {}
-    for number, (_, key, _, _) in enumerate(keys):
-        at = rarest(key)
-        anchors.setdefault(key[at], []).append((number, at))
-    array = lambda ws: F.array(*(F.lit(w) for w in ws))
-    rare = array(sorted(anchors))
+    words = keyed_texts(docs, id_col, text_col).select("doc_id", word_array(F.col("text")).alias("words"))
+    df = document_frequencies(words, sorted({w for _, key, _, _ in keys for w in key}))
+    # postings of each template: places in its key phrase of the words that fewest files hold, rarest first
+    postings = [sorted(range(len(key)), key=lambda i: (df.get(key[i], 0), key[i], i))[:RARE] for _, key, _, _ in keys]
+    array = lambda ws: F.array(*(F.lit(w) for w in sorted(ws)))
+    rare = array({key[i] for (_, key, _, _), own in zip(keys, postings, strict=True) for i in own})
+    rarest = array({key[own[0]] for (_, key, _, _), own in zip(keys, postings, strict=True)})
+
+    def places_of(key: list[str], own: list[int]) -> Column:
+        """Starts of a key phrase: where all its postings put it, compared word by word."""
 
-    def places_of(number: int, at: int, key: list[str]) -> Column:
-        """Starts of a key phrase, from the places of its rare word."""
-        starts = F.transform(F.filter("hits", lambda h: h["word"] == key[at]), lambda h: h["place"] - F.lit(at))
-        return F.filter(starts, lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, F.lit(len(key))) == array(key)))
+        def put(at: int) -> Column:
+            return F.transform(F.filter("hits", lambda h: h["word"] == key[at]), lambda h: h["place"] - F.lit(at))
 
-    anchor_at = {number: at for own in anchors.values() for number, at in own}
+        meet = reduce(F.array_intersect, map(put, own))
+        return F.filter(meet, lambda s: (s >= 0) & (F.slice("words", F.greatest(s, F.lit(0)) + 1, F.lit(len(key))) == F.array(*(F.lit(w) for w in key))))
 
     def notices_found(starts: Column, number: int) -> Column:
         """(label, start, share of the notice's words at their places) at each start of its key phrase."""
@@ -100,7 +128,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             begin = s - F.lit(offset)
             there = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.least(F.lit(len(whole)), F.lit(len(whole)) + begin))
             # a notice that would begin before the text is compared from the text's start
-            cut = F.slice(array(whole), F.greatest(-begin, F.lit(0)) + 1, F.lit(len(whole)))
+            cut = F.slice(F.array(*(F.lit(w) for w in whole)), F.greatest(-begin, F.lit(0)) + 1, F.lit(len(whole)))
             same = F.aggregate(F.arrays_zip(there.alias("x"), cut.alias("y")), F.lit(0), lambda n, z: n + F.coalesce((z["x"] == z["y"]).cast("int"), F.lit(0)))
             return F.struct(F.lit(label).alias("label"), F.greatest(begin, F.lit(0)).cast("long").alias("start"), (same / F.lit(float(len(whole)))).alias("share"))
 
@@ -109,8 +137,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_base = len(phrases)
     hit_rows = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), i.alias("place")))), lambda h: h.isNotNull())
     none = F.lit(None)
-    looked = words.select("doc_id", "words", F.when(F.arrays_overlap("words", rare), hit_rows).alias("hits"))
-    starts = [places_of(number, anchor_at[number], key) for number, (_, key, _, _) in enumerate(keys)]
+    looked = words.select("doc_id", "words", F.when(F.arrays_overlap("words", rarest), hit_rows).alias("hits"))
+    starts = [places_of(key, own) for (_, key, _, _), own in zip(keys, postings, strict=True)]
     found = looked.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", *(F.when(F.col("hits").isNotNull(), s).alias(f"s{i}") for i, s in enumerate(starts)))
     base_starts = F.flatten(F.array(*(F.coalesce(f"s{i}", F.array().cast("array<int>")) for i in range(n_base))))
     own = F.flatten(F.array(*(F.coalesce(notices_found(F.col(f"s{i}"), i), F.array().cast("array<struct<label:string,start:bigint,share:double>>")) for i in range(len(keys)))))

@@ -387,6 +387,11 @@ def test_code_bounds_hold():
     assert (np.abs(got - q @ x.T) <= error).mean() > 0.999
 
 
+def whole_text(label):
+    """The longest template of a label."""
+    return max((t for name, t in licenses.TEMPLATES if name == label), key=len).replace("[", "").replace("]", "").upper()
+
+
 def licence_rows():
     return ODD + [
         (10, "Released under the MIT License. apache LICENSE, version 2.0 and again under the mit-license"),
@@ -394,6 +399,9 @@ def licence_rows():
         (12, "This work is licensed under the GNU General Public License, version 3. All rights reserved."),
         (13, "the mit licence; under the, mit; license"),
         (14, "mit license"),
+        (15, "Copyright (c) someone. " + whole_text("isc")),
+        (16, "copies all in appear notice permission this and notice copyright above; license mit"),
+        (17, "notice shall be included. " + whole_text("mit").replace("SUBLICENSE", "RESELL")),
     ]
 
 
@@ -407,6 +415,7 @@ def test_licences_against_sql(spark):
     by = {r.doc_id: r for r in got}
     assert (by[10].n_base, by[10].first_word, by[10].base_labels) == (3, 1, "apache-2,mit")
     assert by[12].labels == "all-rights-reserved,gpl" and by[13].n_base == 1 and by[14].base_labels == "" and by[14].labels == "mit"
+    assert (by[15].labels, by[15].score) == ("isc", 1.0) and by[16].labels == "" and by[17].labels == "mit"
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
