@@ -53,10 +53,10 @@ def pairs(k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(k)
 
 
-def pair_emissions(log_em: np.ndarray) -> np.ndarray:
-    """Emissions of pairs as sums of their founders' logs."""
+def pair_emissions(log_em: np.ndarray, penalty: float = 0.0) -> np.ndarray:
+    """Emissions of pairs as sums of their founders' logs, less a penalty where both are the same founder."""
     i, j = pairs(log_em.shape[1])
-    return log_em[:, i] + log_em[:, j]
+    return log_em[:, i] + log_em[:, j] - penalty * (i == j)
 
 
 def pair_transitions(log_a: np.ndarray) -> np.ndarray:
@@ -113,6 +113,35 @@ def hmm_diploid(cells: np.ndarray, weights: np.ndarray, p_stay: float = 0.99, ho
     return np.stack(np.divmod(path, k), axis=1)
 
 
+def stay_of_weights(weights: np.ndarray) -> float:
+    """Probability to stay, from the largest weight of a founder."""
+    p = 0.2 * float(np.max(weights))
+    if not 0 < p < 1:
+        raise ValueError("the largest weight must lie between 0 and 5")
+    return p
+
+
+def logits_haploid(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Founder path of a model's logits; staying may be less likely than a change."""
+    k = logits.shape[1]
+    p = stay_of_weights(weights)
+    trans = np.full((k, k), np.log((1 - p) / max(k - 1, 1)))
+    np.fill_diagonal(trans, np.log(p))
+    return viterbi(log_softmax(logits), trans, np.full(k, -np.log(k)))
+
+
+def logits_diploid(logits: np.ndarray, weights: np.ndarray, homozygous: float = -0.1, two: float = -1e6) -> np.ndarray:
+    """Pairs of founders (two columns) of a model's logits: each slot stays or changes by itself, both at once
+    at a prohibitive cost."""
+    i, j = pairs(logits.shape[1])
+    p = stay_of_weights(weights)
+    stay, move = np.log(p), np.log((1 - p) / max(logits.shape[1] - 1, 1))
+    left, right = i[:, None] == i, j[:, None] == j
+    trans = np.where(left & right, 2 * stay, np.where(left | right, stay + move, two))
+    path = viterbi(pair_emissions(log_softmax(logits), -homozygous), trans, np.full(len(i), -np.log(len(i))))
+    return np.stack([i[path], j[path]], axis=1)
+
+
 def crf_viterbi(emit: np.ndarray, cost: np.ndarray, switches: np.ndarray, stay_bonus: np.ndarray) -> np.ndarray:
     """Best path where a transition at site t costs ``cost[t]`` for each switch and staying earns a bonus."""
     n, s = emit.shape
@@ -213,18 +242,36 @@ def pruned(emit: np.ndarray, keep: np.ndarray, decode) -> np.ndarray:
     return states[decode(emit[:, states])]
 
 
-#: Ways to decode a matrix of cells to two founders a site.
+def crf_diploid(cells: np.ndarray, weights: np.ndarray, cost: float = 2.0, penalty: float = 0.0) -> np.ndarray:
+    """Pairs of founders (two columns) where each switch costs alike; equal founders pay a penalty."""
+    i, j = pairs(cells.shape[1])
+    path = crf_viterbi_factored(pair_emissions(log_softmax(cells * weights), penalty), np.full(len(cells), cost), np.zeros(len(i)), cells.shape[1])
+    return np.stack([i[path], j[path]], axis=1)
+
+
+def _twice(path: np.ndarray) -> np.ndarray:
+    return np.repeat(path[:, None], 2, axis=1)
+
+
+#: Ways to decode a matrix of cells (or of logits) to two founders a site.
 MODELS = {
-    "hmm_haploid": lambda x, w: np.repeat(hmm_haploid(x, w)[:, None], 2, axis=1),
+    "hmm_haploid": lambda x, w: _twice(hmm_haploid(x, w)),
     "hmm_diploid": hmm_diploid,
-    "crf_haploid": lambda x, w: np.repeat(crf_viterbi(log_softmax(x * w), np.full(len(x), 2.0), 1 - np.eye(x.shape[1]), np.zeros(x.shape[1]))[:, None], 2, axis=1),
-    "crf_diploid": lambda x, w: np.stack(pairs(x.shape[1]), axis=1)[crf_viterbi_factored(pair_emissions(log_softmax(x * w)), np.full(len(x), 2.0), np.zeros(len(pairs(x.shape[1])[0])), x.shape[1])],
+    "logits_haploid": lambda x, w: _twice(logits_haploid(x, w)),
+    "logits_diploid": logits_diploid,
+    "crf_haploid": lambda x, w: _twice(crf_viterbi(log_softmax(x * w), np.full(len(x), 2.0), 1 - np.eye(x.shape[1]), np.zeros(x.shape[1]))),
+    "crf_diploid": crf_diploid,
 }
 
 
-def decode(sites: DataFrame, keys: list[str], by: str, model: str, weights: list[float] | None = None) -> DataFrame:
+def decode(sites: DataFrame, keys: list[str], by: str, model: str, weights: list[float] | None = None, keep: str | None = None, **options) -> DataFrame:
     """keys, by, p1, p2: decoded founders. One group is one task's rows in order; a group holds one
-    contig of one sample, or one window where contigs are cut into windows (see ``windows.sliding``)."""
+    contig of one sample, or one window where contigs are cut into windows (see ``windows.sliding``).
+
+    ``keep`` names a column of founder indices, alike in all rows of a group: only those are decoded (see
+    ``order.present_or_best``). ``options`` go to the model; one given as a column's name is taken from
+    each group, such as a penalty of each individual.
+    """
     run = MODELS[model]
     fields = {f.name: f.dataType.simpleString() for f in sites.schema.fields}
     schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, by]) + ", p1 int, p2 int"
@@ -232,24 +279,32 @@ def decode(sites: DataFrame, keys: list[str], by: str, model: str, weights: list
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(by)
         cells = np.array(group["features"].tolist(), dtype=np.float64)
-        path = run(cells, np.array(weights) if weights else np.ones(cells.shape[1]))
+        states = np.array(sorted(group[keep].iloc[0])) if keep else np.arange(cells.shape[1])
+        own = {name: float(group[value].iloc[0]) if isinstance(value, str) else value for name, value in options.items()}
+        path = states[run(cells[:, states], (np.array(weights) if weights else np.ones(cells.shape[1]))[states], **own)]
         return group[[*keys, by]].assign(p1=path[:, 0].astype("int32"), p2=path[:, 1].astype("int32"))
 
     return sites.groupBy(*keys).applyInPandas(one, schema)
 
 
-def posterior(sites: DataFrame, keys: list[str], by: str, cost: float = 2.0) -> DataFrame:
-    """keys, by, founder, log_p: the likeliest founder of each site by its posterior."""
+def posterior(sites: DataFrame, keys: list[str], by: str, cost: float = 2.0, diploid: bool = False) -> DataFrame:
+    """keys, by, founder, log_p: the likeliest founder of each site by its posterior; p1 and p2 if ``diploid``."""
     fields = {f.name: f.dataType.simpleString() for f in sites.schema.fields}
-    schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, by]) + ", founder int, log_p double"
+    schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, by]) + (", p1 int, p2 int" if diploid else ", founder int") + ", log_p double"
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(by)
-        cells = np.array(group["features"].tolist(), dtype=np.float64)
-        k = cells.shape[1]
-        log_p = crf_marginals(log_softmax(cells), np.full(len(cells), cost), 1 - np.eye(k), np.zeros(k))
+        emit = log_softmax(np.array(group["features"].tolist(), dtype=np.float64))
+        k = emit.shape[1]
+        i, j = pairs(k)
+        switches = 1 - np.eye(k)
+        if diploid:
+            ne = lambda a, b: (a[:, None] != b).astype(int)
+            emit, switches = pair_emissions(emit), np.minimum(ne(i, i) + ne(j, j), ne(i, j) + ne(j, i))
+        log_p = crf_marginals(emit, np.full(len(emit), cost), switches, np.zeros(emit.shape[1]))
         best = log_p.argmax(axis=1)
-        return group[[*keys, by]].assign(founder=best.astype("int32"), log_p=log_p[np.arange(len(best)), best])
+        found = {"p1": i[best].astype("int32"), "p2": j[best].astype("int32")} if diploid else {"founder": best.astype("int32")}
+        return group[[*keys, by]].assign(**found, log_p=log_p[np.arange(len(best)), best])
 
     return sites.groupBy(*keys).applyInPandas(one, schema)
 

@@ -13,10 +13,19 @@ from haploom.session import staged
 
 
 def crossover_positions(length: int, low: int, high: int, rng: np.random.Generator) -> list[int]:
-    """Positions at uniform gaps, none nearer to the end than the smallest gap."""
-    n = length // max(low, 1) + 2
-    at = np.cumsum(rng.integers(low, high + 1, n))
-    return at[at <= length - low].tolist()
+    """Positions below ``length``: the first up to ``high``, then at uniform gaps of low to high; so the tail is
+    no longer than ``high``. None where low and high do not fit the length."""
+    if not 0 < low < high <= length:
+        return []
+    at = np.cumsum([rng.integers(0, high + 1), *rng.integers(low, high + 1, length // low + 1)])
+    return at[at < length].tolist()
+
+
+def crossover_range(dense: bool, sites: int) -> tuple[int, int]:
+    """Fewest and most crossovers of a chromosome: 1 to 3, or if ``dense`` 2 to 10 for every 1024 sites."""
+    if not dense:
+        return 1, 3
+    return max(1, round(2 * sites / 1024)), max(2, round(10 * sites / 1024))
 
 
 def crossovers(spark: SparkSession, lengths: DataFrame, lines: int, low: int, high: int, seed: int) -> DataFrame:
@@ -37,39 +46,40 @@ def crossovers(spark: SparkSession, lengths: DataFrame, lines: int, low: int, hi
 def mosaics(lengths: DataFrame, founders: list[str], rounds: int, low: int, high: int, seed: int) -> DataFrame:
     """line, chrom, start, end, founder after rounds of crossing pairs of lines, one chromosome a task.
 
-    In each round lines are paired at random, and pairs swap what follows each of their crossovers.
+    Each round pairs all lines anew (their number must be even) and draws crossovers for each pair. Those of
+    all rounds act in the order of their positions: both lines of a pair go on with the other's founder. One
+    that would leave a segment without length is passed over; neighbours of one founder stay apart.
     """
+    if len(founders) % 2:
+        raise ValueError("lines are crossed in pairs: their number must be even")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         chrom, length = pdf["chrom"].iloc[0], int(pdf["length"].iloc[0])
         rng = np.random.default_rng([seed, *chrom.encode()])
-        pop = [[(0, length, f)] for f in founders]
-
-        def cut(line: list, a: int, b: int) -> list:
-            return [(max(s, a), min(e, b), f) for s, e, f in line if max(s, a) < min(e, b)]
-
+        events = []
         for _ in range(rounds):
-            order = rng.permutation(len(pop)).tolist()
-            for x, y in zip(order[::2], order[1::2], strict=False):
-                edges = [0, *crossover_positions(length, low, high, rng), length]
-                new: tuple[list, list] = ([], [])
-                for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    one_, two = (pop[x], pop[y]) if n % 2 == 0 else (pop[y], pop[x])
-                    new[0].extend(cut(one_, a, b))
-                    new[1].extend(cut(two, a, b))
-                for i, line in zip((x, y), new, strict=True):
-                    joined: list = []
-                    for s, e, f in line:
-                        if joined and joined[-1][2] == f and joined[-1][1] == s:
-                            joined[-1] = (joined[-1][0], e, f)
-                        else:
-                            joined.append((s, e, f))
-                    pop[i] = joined
-        return pd.DataFrame([(i, chrom, s, e, f) for i, line in enumerate(pop) for s, e, f in line], columns=["line", "chrom", "start", "end", "founder"])
+            for x, y in rng.permutation(len(founders)).reshape(-1, 2).tolist():
+                events += [(p, x, y) for p in crossover_positions(length, low, high, rng)]
+        starts: list[list[int]] = [[0] for _ in founders]
+        owners = [[n] for n in range(len(founders))]
+        for p, x, y in sorted(events, key=lambda e: e[0]):
+            if p > max(starts[x][-1], starts[y][-1]):
+                ahead = owners[x][-1], owners[y][-1]
+                for line, owner in ((y, ahead[0]), (x, ahead[1])):
+                    starts[line].append(p)
+                    owners[line].append(owner)
+        rows = [(line, chrom, s, e, founders[o]) for line, own in enumerate(starts) for s, e, o in zip(own, [*own[1:], length], owners[line], strict=True)]
+        return pd.DataFrame(rows, columns=["line", "chrom", "start", "end", "founder"])
 
     return lengths.groupBy("chrom").applyInPandas(one, "line long, chrom string, start long, end long, founder string")
 
 
+def write_keys(mosaic: DataFrame, path: str) -> None:
+    """A folder for each line: chrom, start, end, founder by tabs, in order, without a header."""
+    laid = mosaic.repartition("line").sortWithinPartitions("line", "chrom", "start")
+    laid.select("line", "chrom", "start", "end", "founder").write.mode("overwrite").partitionBy("line").option("sep", "\t").csv(path)
+
+
 def allele_windows(spark: SparkSession, windows: int, sites: int, founders: int, switches: float, sharing: float, seed: int) -> DataFrame:
     """window, t, features, h1: founder paths with Poisson switches, and sites where founders that share a
     lineage with the true one match as well."""

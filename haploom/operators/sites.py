@@ -60,6 +60,18 @@ def pair_index(i: Column, j: Column, k: int) -> Column:
     return (a * k - F.floor(a * (a - 1) / 2) + (b - a)).cast("int")
 
 
+def pair_members(index: Column, k: int) -> tuple[Column, Column]:
+    """The founders i <= j of a pair's place, the inverse of ``pair_index``; null outside the pairs of k."""
+    inside = F.when((index >= 0) & (index < k * (k + 1) // 2), index)
+    i = F.floor((2 * k + 1 - F.sqrt(F.lit((2 * k + 1) ** 2) - 8 * inside)) / 2)
+    return i.cast("int"), (inside - (i * k - F.floor(i * (i - 1) / 2)) + i).cast("int")
+
+
+def soft_label(label: Column, k: int, share: float) -> Column:
+    """A label as k probabilities: ``share`` is spread over all, the rest stands at the label."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.lit(share / k) + F.when(i == label, 1 - share).otherwise(0.0))
+
+
 def pair_states(spark, k: int) -> DataFrame:
     """All unordered pairs with their places."""
     one = spark.range(k).select(F.col("id").cast("int").alias("i"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from haploom.operators import intervals, metrics, order, variants, windows
+from haploom.operators import intervals, kernels, metrics, order, sites, variants, windows
 from haploom.plans import queries as Q
 from haploom.plans import views as V
 from haploom.plans.queries import query
 from haploom.plans.views import K, with_views
-from haploom.sources import npy
+from haploom.session import shared_dir
+from haploom.sources import bed, fasta, npy, reads, vcf
+from haploom.sources.text import write_lines
 
 
 @query(
@@ -157,3 +163,189 @@ def paired_files(s, d):
     files = o.select(F.concat(F.lit("/out/s"), F.col("o_custkey") % 40, F.lit("_chr"), F.col("o_orderkey") % 5, F.lit(".npy")).alias("path")).distinct()
     reads = c.select(F.concat(F.lit("/in/s"), F.col("c_custkey") % 60, F.lit("_ps4g.txt")).alias("path")).distinct()
     return npy.pair_files(files, reads).select("sample", F.size("paths").cast("long").alias("n_files"), F.col("contigs")[0].alias("first_contig"), "reads")
+
+
+# --- decoders on windows: what a decoded path scores, held against the best score by recursion ------
+
+SITES = 32
+_EMIT = f"""em AS MATERIALIZED (SELECT contig, pos, ord // {SITES} AS win, ord % {SITES} AS t, founder, x - m - ln(sum(exp(x - m)) OVER (PARTITION BY contig, pos)) AS e FROM (
+      SELECT contig, pos, founder, x, max(x) OVER (PARTITION BY contig, pos) AS m, dense_rank() OVER (PARTITION BY contig ORDER BY pos) - 1 AS ord FROM cells)),
+    pairs AS MATERIALIZED (SELECT i.contig, i.pos, i.win, i.t, i.founder AS a, j.founder AS b, i.e + j.e AS e FROM em i JOIN em j ON i.contig = j.contig AND i.pos = j.pos AND i.founder <= j.founder)"""
+
+
+def _recursive(more: str, select: str) -> str:
+    return with_views(select, "cells", more=f"{_EMIT}, {more}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _best(states: str, emission: str, start: str, step: str, state: tuple[str, ...]) -> str:
+    """SQL of the best score of each window over all paths of states."""
+    own, new = ", ".join(state), ", ".join(f"n.{c}" for c in state)
+    return _recursive(
+        f"""v AS (SELECT contig, win, t, {own}, {emission.replace('n.', '')} + {start} AS score FROM {states} WHERE t = 0
+        UNION ALL SELECT n.contig, n.win, n.t, {new}, max(v.score + {step}) + any_value({emission}) FROM v JOIN {states} n ON n.contig = v.contig AND n.win = v.win AND n.t = v.t + 1 GROUP BY n.contig, n.win, n.t, {new})""",
+        'SELECT contig, win AS "window", CAST(max(t) + 1 AS INTEGER) AS n, round(arg_max(best, t), 4) AS score FROM (SELECT contig, win, t, max(score) AS best FROM v GROUP BY ALL) GROUP BY contig, win',
+    )
+
+
+def _cut(s, d):
+    """Sites in windows of ``SITES``."""
+    ordered = order.with_ordinal(V.features(s, d), ["pos"], ["contig"])
+    return ordered.withColumn("window", F.floor(F.col("ord") / SITES)).withColumn("t", (F.col("ord") % SITES).cast("int"))
+
+
+def _path_score(s, d, model, start, same, one, two, homozygous=0.0, single=False):
+    """What the path that a model finds in each window scores, by emissions and switches of its founders."""
+    cut = _cut(s, d)
+    path = kernels.decode(cut.select("contig", "window", "t", "features"), ["contig", "window"], "t", model)
+    logs = cut.select("contig", "window", "t", F.transform(kernels.softmax_array(F.col("features").cast("array<double>")), lambda x: F.log(x)).alias("e"))
+    both = path.join(logs, ["contig", "window", "t"])
+    w = W.partitionBy("contig", "window").orderBy("t")
+    q1, q2 = F.lag("p1").over(w), F.lag("p2").over(w)
+    moved = (F.col("p1") != q1).cast("int") + (F.col("p2") != q2).cast("int")
+    if model.startswith("crf"):
+        moved = F.least(moved, (F.col("p1") != q2).cast("int") + (F.col("p2") != q1).cast("int"))
+    if single:
+        moved = (F.col("p1") != q1).cast("int")
+    cost = F.when(q1.isNull(), F.lit(start)).when(moved == 0, F.lit(same)).when(moved == 1, F.lit(one)).otherwise(F.lit(two))
+    emitted = F.get("e", F.col("p1")) + (F.lit(0.0) if single else F.get("e", F.col("p2")) + F.when(F.col("p1") == F.col("p2"), homozygous).otherwise(0.0))
+    scored = both.select("contig", "window", "t", (emitted + cost).alias("score"))
+    return scored.groupBy("contig", "window").agg((F.max("t") + 1).alias("n"), F.round(F.sum("score"), 4).alias("score"))
+
+
+_STAY, _MOVE = math.log(0.99), math.log(0.01 / (K - 1))
+_SLOTS = "CASE WHEN v.a = n.a AND v.b = n.b THEN {same} WHEN v.a = n.a OR v.b = n.b THEN {one} ELSE -1e6 END"
+_LOW = 0.2 * 1.0
+
+
+@query(_best("em", "n.e", f"(-ln({K}))", f"CASE WHEN v.founder = n.founder THEN ln(0.99) ELSE ln(0.01 / {K - 1}) END", ("founder",)))
+def hmm_haploid_windows(s, d):
+    return _path_score(s, d, "hmm_haploid", -math.log(K), _STAY, _MOVE, 0.0, single=True)
+
+
+@query(_best("pairs", "(n.e + CASE WHEN n.a = n.b THEN -0.1 ELSE 0 END)", f"(-ln({K * (K + 1) // 2}))", _SLOTS.format(same="ln(0.99)", one=f"ln(0.01 / {K - 1})"), ("a", "b")))
+def hmm_diploid_windows(s, d):
+    return _path_score(s, d, "hmm_diploid", -math.log(K * (K + 1) / 2), _STAY, _MOVE, -1e6, -0.1)
+
+
+@query(_best("em", "n.e", f"(-ln({K}))", f"CASE WHEN v.founder = n.founder THEN ln({_LOW}) ELSE ln({1 - _LOW} / {K - 1}) END", ("founder",)))
+def logits_haploid_windows(s, d):
+    """Read support stands for a model's logits; the largest weight is 1."""
+    return _path_score(s, d, "logits_haploid", -math.log(K), math.log(_LOW), math.log((1 - _LOW) / (K - 1)), 0.0, single=True)
+
+
+@query(_best("pairs", "(n.e + CASE WHEN n.a = n.b THEN -0.1 ELSE 0 END)", f"(-ln({K * (K + 1) // 2}))", _SLOTS.format(same=f"2 * ln({_LOW})", one=f"ln({_LOW}) + ln({1 - _LOW} / {K - 1})"), ("a", "b")))
+def logits_diploid_windows(s, d):
+    low, move = math.log(_LOW), math.log((1 - _LOW) / (K - 1))
+    return _path_score(s, d, "logits_diploid", -math.log(K * (K + 1) / 2), 2 * low, low + move, -1e6, -0.1)
+
+
+@query(_best("pairs", "n.e", "0.0", "(-2.0) * least((v.a <> n.a)::INT + (v.b <> n.b)::INT, (v.a <> n.b)::INT + (v.b <> n.a)::INT)", ("a", "b")))
+def crf_diploid_windows(s, d):
+    return _path_score(s, d, "crf_diploid", 0.0, 0.0, -2.0, -4.0)
+
+
+def _passes(states: str, step: str, state: tuple[str, ...]) -> str:
+    """SQL of the largest posterior of each site by forward and backward passes."""
+    own, new = ", ".join(state), ", ".join(f"n.{c}" for c in state)
+    same = " AND ".join(f"f.{c} = b.{c}" for c in state)
+    total = "list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l)))))"
+    return _recursive(
+        f"""f AS (SELECT contig, win, t, {own}, CAST(e AS DOUBLE) AS s FROM {states} WHERE t = 0
+        UNION ALL SELECT contig, win, t, {own}, e + {total} FROM (SELECT n.contig, n.win, n.t, {new}, any_value(n.e) AS e, list(v.s + {step}) AS l FROM f v JOIN {states} n ON n.contig = v.contig AND n.win = v.win AND n.t = v.t + 1 GROUP BY n.contig, n.win, n.t, {new})),
+      ends AS (SELECT contig, win, max(t) AS t FROM em GROUP BY ALL),
+      b AS (SELECT contig, win, t, {own}, CAST(e AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS s FROM {states} JOIN ends USING (contig, win, t)
+        UNION ALL SELECT contig, win, t, {own}, e, {total} FROM (SELECT n.contig, n.win, n.t, {new}, any_value(n.e) AS e, list(v.s + v.e + {step}) AS l FROM b v JOIN {states} n ON n.contig = v.contig AND n.win = v.win AND n.t = v.t - 1 GROUP BY n.contig, n.win, n.t, {new})),
+      post AS (SELECT f.contig, f.win, f.t, list(f.s + b.s) AS l FROM f JOIN b ON f.contig = b.contig AND f.win = b.win AND f.t = b.t AND {same} GROUP BY ALL)""",
+        f'SELECT contig, win AS "window", CAST(t AS INTEGER) AS t, round(abs(list_max(l) - ({total})), 6) AS cost FROM post',
+    )
+
+
+@query(_passes("em", "CASE WHEN v.founder = n.founder THEN 0 ELSE -2.0 END", ("founder",)))
+def crf_marginal_windows(s, d):
+    p = kernels.posterior(_cut(s, d).select("contig", "window", "t", "features"), ["contig", "window"], "t")
+    return p.select("contig", "window", "t", F.round(F.abs("log_p"), 6).alias("cost"))
+
+
+@query(_passes("pairs", "(-2.0) * least((v.a <> n.a)::INT + (v.b <> n.b)::INT, (v.a <> n.b)::INT + (v.b <> n.a)::INT)", ("a", "b")))
+def crf_marginal_pairs(s, d):
+    p = kernels.posterior(_cut(s, d).select("contig", "window", "t", "features"), ["contig", "window"], "t", diploid=True)
+    return p.select("contig", "window", "t", F.round(F.abs("log_p"), 6).alias("cost"))
+
+
+# --- files: views written and read again ------------------------------------------------------------
+
+
+def _file(s, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _reads_file(s, d) -> str:
+    at = _file(s, "reads")
+    laid = sites.collapse_sets(V.reads(s, d), ["contig", "pos"], "members", "n").select("contig", "pos", F.col("members").alias("gamete_set"), F.col("n").alias("count"))
+    founders = metrics.founder_weights(V.counts(s, d)).select(F.concat(F.lit("F"), F.col("founder").cast("string")).alias("name"), "founder", "reads")
+    reads.write_reads(laid, founders, at)
+    return at
+
+
+@query(Q.REGISTRY["collapse_sites"][1])
+def reads_file(s, d):
+    rows = reads.read_reads(s, _reads_file(s, d), strict=True)
+    return rows.select("contig", "pos", F.array_join(F.transform("gamete_set", lambda x: x.cast("string")), ",").alias("members"), F.col("count").cast("long").alias("n"))
+
+
+@query(with_views("SELECT 'F' || CAST(founder AS VARCHAR) AS name, founder, CAST(sum(n) AS BIGINT) AS reads, round(sum(n) / (SELECT CAST(sum(n) AS DOUBLE) FROM reads), 6) AS weight FROM counts GROUP BY founder", "counts"))
+def founders_file(s, d):
+    return reads.read_founders(s, _reads_file(s, d)).select("name", "founder", "reads", F.round("weight", 6).alias("weight"))
+
+
+@query(with_views('SELECT chrom, start, "end", CAST(parent1 AS VARCHAR) AS parent1, CAST(parent2 AS VARCHAR) AS parent2 FROM bed', "bed"))
+def bed_file(s, d):
+    at = _file(s, "bed")
+    bed.write_bed(V.bed(s, d), at, ["chrom", "start", "end", "parent1", "parent2"], ["chrom", "start"])
+    return bed.read_paths(s, at).select("chrom", "start", "end", "parent1", "parent2")
+
+
+@query(with_views("SELECT chrom, CAST(length AS BIGINT) AS length FROM lengths", "lengths"))
+def lengths_file(s, d):
+    at = _file(s, "lengths")
+    write_lines(V.lengths(s, d).select("chrom", F.concat_ws("\t", "chrom", F.col("length").cast("string"), F.lit("0")).alias("line")), at, ["chrom"])
+    return bed.read_lengths(s, at, chromosomes_only=True).select("chrom", "length")
+
+
+@query(with_views("SELECT DISTINCT chrom, start // 100 * 100 AS start, start // 100 * 100 + 100 AS \"end\", CAST(parent AS VARCHAR) AS founder FROM spans", "spans"))
+def key_file(s, d):
+    at = _file(s, "key")
+    start = (F.floor(F.col("start") / 100) * 100).alias("start")
+    laid = V.spans(s, d).select("chrom", start, F.col("parent")).withColumn("line", F.concat_ws("\t", "chrom", F.col("start").cast("string"), (F.col("start") + 100).cast("string"), F.col("parent").cast("string")))
+    write_lines(laid, at, ["chrom", "start"])
+    return bed.read_answer_key(s, at)
+
+
+@query(
+    """SELECT chrom, pos, ref, alt, sample, coalesce(gt, './.') AS gt FROM (SELECT DISTINCT 'chr' || CAST(o_orderkey // 2 % 3 + 1 AS VARCHAR) AS chrom, o_orderkey // 2 + 1 AS pos, 'A' AS ref, 'C' AS alt FROM orders) p
+    CROSS JOIN (SELECT unnest(['s0', 's1']) AS sample) n LEFT JOIN (SELECT o_orderkey // 2 + 1 AS pos, 's' || CAST(o_orderkey % 2 AS VARCHAR) AS sample, ['0/0', '0/1', '1|1', '.'][CAST(o_custkey % 4 AS INTEGER) + 1] AS gt FROM orders) g USING (pos, sample)"""
+)
+def vcf_file(s, d):
+    at = _file(s, "vcf")
+    k = F.col("o_orderkey")
+    call = F.element_at(F.array(*map(F.lit, ("0/0", "0/1", "1|1", "."))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    place = F.floor(k / 2)
+    laid = V.table(s, d, "orders").select(F.concat(F.lit("s"), (k % 2).cast("string")).alias("sample"), V.contig(place, 3).alias("chrom"), (place + 1).alias("pos"), call.alias("gt"))
+    vcf.write_vcf(laid, laid.select("chrom", "pos", F.lit("A").alias("ref"), F.lit("C").alias("alt")).distinct(), at)
+    return vcf.read_vcf(s, at).select("chrom", "pos", "ref", "alt", "sample", "gt")
+
+
+@query("SELECT 'c' || CAST(p_partkey AS VARCHAR) AS contig, repeat(md5(CAST(p_partkey AS VARCHAR)), 5) AS seq, substr(repeat(md5(CAST(p_partkey AS VARCHAR)), 5), 51, 40) AS part FROM part")
+def fasta_file(s, d):
+    at = _file(s, "fasta")
+    key = F.col("p_partkey").cast("string")
+    fasta.write_fasta(V.table(s, d, "part").select(F.concat(F.lit("c"), key).alias("contig"), F.repeat(F.md5(key), 5).alias("seq")), at)
+    back = fasta.read_fasta(s, at)
+    ranges = fasta.fetch(back, back.select("contig", F.lit(50).alias("start"), F.lit(90).alias("end")))
+    return back.join(ranges.select("contig", F.col("seq").alias("part")), "contig").select("contig", "seq", "part")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS pair FROM (SELECT unnest(range(40)) AS i) CROSS JOIN (SELECT unnest(range(40)) AS j) WHERE i <= j")
+def pair_members(s, d):
+    i, j = sites.pair_members(F.col("id"), 40)
+    return s.range(40 * 41 // 2).select(i.alias("i"), j.alias("j"), F.col("id").cast("int").alias("pair"))

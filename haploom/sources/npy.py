@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -48,6 +49,16 @@ def pair_files(predictions: DataFrame, reads: DataFrame) -> DataFrame:
     return tagged.join(own, "sample").select("sample", F.col("f.contig").alias("contigs"), F.col("f.path").alias("paths"), "reads")
 
 
+def in_contig_order(rows: DataFrame, contigs: list[str]) -> DataFrame:
+    """Rows of tagged files (see ``tag_files``) with ``place``, their ordinal over all listed contigs of their
+    sample, in the order of the list; other contigs are left out."""
+    listed = rows.sparkSession.createDataFrame(list(enumerate(contigs)), "__c int, contig string")
+    size = rows.groupBy("sample", "contig").agg((F.max("ord") + 1).alias("__n")).join(listed, "contig")
+    before = W.partitionBy("sample").orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    offset = size.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("sample", "contig", "__off")
+    return rows.join(offset, ["sample", "contig"]).withColumn("place", F.col("__off") + F.col("ord")).drop("__off")
+
+
 def to_npy(sites: DataFrame, keys: list[str], by: str) -> DataFrame:
     """keys, content: each key's cells as the bytes of an NPY file (a matrix of one contig of one sample)."""
     fields = {f.name: f.dataType.simpleString() for f in sites.schema.fields}

@@ -12,6 +12,11 @@ def lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Add rows to a log of tab-separated files with headers; earlier ones stay."""
+    rows.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+
+
 def write_lines(rows: DataFrame, path: str, by: list, header: list[str] | None = None, single: bool = False) -> None:
     """Write the column ``line`` in order, after header lines. ``single``: as one file, for small results."""
     body = rows.select(F.lit(1).alias("__k"), *[c.alias(f"__o{i}") if not isinstance(c, str) else F.col(c).alias(f"__o{i}") for i, c in enumerate(by)], "line")

@@ -11,14 +11,15 @@ FIXED = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 
 
 def read_vcf(spark: SparkSession, path, samples: list[str] | None = None, region: tuple[str, int, int] | None = None) -> DataFrame:
-    """path, ord, chrom, pos, ref, alt, info, sample, gt: one row for each record and (wanted) sample."""
-    text = lines(spark, path)
-    names = text.where(F.col("line").startswith("#CHROM")).select("path", F.slice(F.split("line", "\t"), 10, 1_000_000).alias("names"))
+    """path, ord, chrom, pos, ref, alt, info, sample, gt: one row for each record and (wanted) sample.
+    Parts of a folder that a Spark job wrote share one header."""
+    text = lines(spark, path).withColumn("home", F.regexp_replace("path", "/part-[^/]*$", ""))
+    names = text.where(F.col("line").startswith("#CHROM")).select("home", F.slice(F.split("line", "\t"), 10, 1_000_000).alias("names"))
     parts = F.split("line", "\t")
-    rows = text.where(~F.col("line").startswith("#") & (F.size(parts) >= 8)).select("path", "ord", parts[0].alias("chrom"), parts[1].try_cast("long").alias("pos"), parts[3].alias("ref"), parts[4].alias("alt"), parts[7].alias("info"), F.get(parts, F.lit(8)).alias("format"), F.slice(parts, 10, 1_000_000).alias("calls")).where("pos IS NOT NULL")
+    rows = text.where(~F.col("line").startswith("#") & (F.size(parts) >= 8)).select("path", "home", "ord", parts[0].alias("chrom"), parts[1].try_cast("long").alias("pos"), parts[3].alias("ref"), parts[4].alias("alt"), parts[7].alias("info"), F.get(parts, F.lit(8)).alias("format"), F.slice(parts, 10, 1_000_000).alias("calls")).where("pos IS NOT NULL")
     if region:
         rows = rows.where((F.col("chrom") == region[0]) & F.col("pos").between(region[1], region[2]))
-    each = rows.join(names, "path").select("*", F.posexplode("calls").alias("i", "call")).withColumn("sample", F.get("names", F.col("i")))
+    each = rows.join(names, "home").select("*", F.posexplode("calls").alias("i", "call")).withColumn("sample", F.get("names", F.col("i")))
     if samples is not None:
         each = each.where(F.col("sample").isin(samples))
     at = F.array_position(F.split("format", ":"), "GT")

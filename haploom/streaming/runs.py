@@ -30,20 +30,29 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return marked.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def collapse_stream(rows: DataFrame, key: str, ord_col: str, label: str) -> DataFrame:
+def collapse_stream(rows: DataFrame, key: str, ord_col: str, label: str, ts: str | None = None, idle_ms: int = 600_000) -> DataFrame:
     """key, start, end, label, n: runs of equal labels, each emitted once a later row of its key ends it.
 
     State is the open run of each key: its label, first and last ordinal, and count. Rows of a batch are
-    taken in the order of ``ord_col``; batches must follow each other.
+    taken in the order of ``ord_col``; batches must follow each other, and a row that comes after a later
+    one of its key is an error. With an event time ``ts`` rows later than ``idle_ms`` are dropped, and a
+    key's last run is emitted once the watermark has passed its last row by ``idle_ms``.
     """
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = f"{key} {kind[key]}, start long, end long, label string, n long"
+    columns = [key, "start", "end", "label", "n"]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(ord_col)
         run = list(state.get) if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k[0], run[1], run[2], run[0], run[3])], columns=columns)
+            return
+        pdf = pd.concat(list(batches)).sort_values(ord_col)
         done = []
         for at, value in zip(pdf[ord_col].tolist(), pdf[label].tolist(), strict=True):
+            if run is not None and at <= run[2]:
+                raise ValueError(f"row {at} of {k[0]} comes after row {run[2]}")
             if run is not None and run[0] == value:
                 run[2], run[3] = at, run[3] + 1
             else:
@@ -51,6 +60,11 @@ def collapse_stream(rows: DataFrame, key: str, ord_col: str, label: str) -> Data
                     done.append((k[0], run[1], run[2], run[0], run[3]))
                 run = [value, at, at, 1]
         state.update(tuple(run))
-        yield pd.DataFrame(done, columns=[key, "start", "end", "label", "n"])
+        if ts:
+            last = int(pdf[ts].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(done, columns=columns)
 
-    return rows.groupBy(key).applyInPandasWithState(step, out, "label string, start long, end long, n long", "append", GroupStateTimeout.NoTimeout)
+    marked = rows.withWatermark(ts, f"{idle_ms} milliseconds") if ts else rows
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return marked.groupBy(key).applyInPandasWithState(step, out, "label string, start long, end long, n long", "append", timeout)

@@ -232,3 +232,69 @@ def test_unset_shared_folder_is_an_error_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
+def test_crossovers_keep_their_gaps():
+    rng = np.random.default_rng(5)
+    for length in (100, 999, 5000):
+        for _ in range(20):
+            at = simulate.crossover_positions(length, 30, 90, rng)
+            gaps = [b - a for a, b in itertools.pairwise(at)]
+            assert at and at[0] <= 90 and all(30 <= g <= 90 for g in gaps) and 0 < length - at[-1] <= 90
+    assert simulate.crossover_positions(50, 30, 90, rng) == [] and simulate.crossover_positions(50, 0, 9, rng) == []
+    assert simulate.crossover_range(False, 4096) == (1, 3) and simulate.crossover_range(True, 4096) == (8, 40) and simulate.crossover_range(True, 10) == (1, 2)
+
+
+def test_mosaics_keep_every_founder_at_each_place(spark):
+    lengths = spark.createDataFrame([("a", 5_000)], "chrom string, length long")
+    with pytest.raises(ValueError, match="pairs"):
+        simulate.mosaics(lengths, ["x", "y", "z"], 1, 500, 2000, 4)
+    rows = simulate.mosaics(lengths, ["x", "y", "z", "w"], 3, 500, 2000, 4).collect()
+    assert all(r.start < r.end for r in rows) and len(rows) > 4
+    for p in range(0, 5_000, 50):
+        assert sorted(r.founder for r in rows if r.start <= p < r.end) == ["w", "x", "y", "z"]
+
+
+def test_keys_are_written_by_line(spark, tmp_path):
+    lengths = spark.createDataFrame([("a", 5_000), ("b", 3_000)], "chrom string, length long")
+    mosaic = simulate.mosaics(lengths, ["x", "y"], 2, 500, 2000, 4).persist()
+    simulate.write_keys(mosaic, str(tmp_path / "keys"))
+    back = spark.read.option("sep", "\t").schema("chrom string, start long, end long, founder string, line long").csv(str(tmp_path / "keys"))
+    assert sorted(map(tuple, back.select("line", "chrom", "start", "end", "founder").collect())) == sorted(map(tuple, mosaic.collect()))
+
+
+def test_logits_may_rather_move_than_stay():
+    rng = np.random.default_rng(7)
+    for k, weights in ((3, np.array([0.2, 0.5, 0.3])), (4, np.full(4, 0.25))):
+        x = rng.standard_normal((4, k))
+        p = 0.2 * weights.max()
+        stay, move = np.log(p), np.log((1 - p) / (k - 1))
+        emit = kernels.log_softmax(x)
+        step = lambda t, a, b: stay if a == b else move  # noqa: E731, B023
+        assert np.isclose(value(kernels.logits_haploid(x, weights), emit, step), brute(emit, step))
+        i, j = kernels.pairs(k)
+        emit = kernels.pair_emissions(emit, 0.1)
+
+        def both(t, a, b):
+            same = int(i[a] == i[b]) + int(j[a] == j[b])  # noqa: B023
+            return (-1e6, stay + move, 2 * stay)[same]  # noqa: B023
+
+        found = kernels.logits_diploid(x, weights)
+        path = [next(n for n in range(len(i)) if (i[n], j[n]) == tuple(f)) for f in found]
+        assert np.isclose(value(path, emit, both), brute(emit, both))
+    with pytest.raises(ValueError, match="weight"):
+        kernels.logits_haploid(np.zeros((2, 2)), np.array([0.0, 0.0]))
+
+
+def test_decode_over_kept_founders_and_own_penalties(spark):
+    rows = [("c", t, [0, 9, 3] if t < 3 else [0, 3, 9], [0, 2], 0.0) for t in range(6)] + [("d", t, [9, 8, 0], [0, 1, 2], 50.0) for t in range(4)]
+    df = spark.createDataFrame(rows, "contig string, t int, features array<int>, kept array<int>, homo double")
+    got = kernels.decode(df, ["contig"], "t", "crf_haploid", keep="kept").where("contig = 'c'")
+    assert {(r.p1, r.p2) for r in got.collect()} == {(2, 2)}
+    free, held = (kernels.decode(df, ["contig"], "t", "crf_diploid", **o).where("contig = 'd'").collect() for o in ({}, {"penalty": "homo"}))
+    assert {(r.p1, r.p2) for r in free} == {(0, 0)} and {(r.p1, r.p2) for r in held} == {(0, 1)}
+
+
+def test_soft_labels_and_pairs_outside(spark):
+    row = spark.range(1).select(sites.soft_label(F.lit(1), 4, 0.2).alias("x"), *(c.alias(n) for c, n in zip(sites.pair_members(F.lit(10), 4), "ij", strict=True))).first()
+    assert np.allclose(row.x, [0.05, 0.85, 0.05, 0.05]) and row.i is None and row.j is None

@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from haploom.operators import metrics, sites, variants
-from haploom.sources import bed, fasta, npy, reads, vcf
+from haploom.operators import intervals, metrics, sites, variants
+from haploom.sources import bed, chain, fasta, npy, reads, text, vcf
 from haploom.streaming import runs
 
 READS = """#version=2.0
@@ -117,3 +117,54 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("runs_out").collect())) == [("u", 0, 1, "a", 2), ("u", 2, 3, "b", 2), ("v", 0, 0, "c", 1)]
+
+
+def test_streams_close_idle_runs_and_refuse_disorder(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    at = lambda minute: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=minute)
+    batches = ([("u", 0, "a", at(0)), ("u", 1, "a", at(1)), ("v", 0, "c", at(1))], [("w", 0, "x", at(90))], [("w", 1, "x", at(91))])
+    for n, rows in enumerate(batches):
+        pd.DataFrame(rows, columns=["user", "t", "kind", "ts"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / f"e{n}.parquet")
+    frame = spark.readStream.schema("user string, t long, kind string, ts timestamp").parquet(str(src))
+    q = runs.collapse_stream(frame, "user", "t", "kind", ts="ts").writeStream.format("memory").queryName("idle_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    for n in range(3):
+        (tmp_path / f"e{n}.parquet").rename(src / f"e{n}.parquet")
+        q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("idle_out").collect())) == [("u", 0, 1, "a", 2), ("v", 0, 0, "c", 1)]
+    q = runs.collapse_stream(frame.drop("ts"), "user", "t", "kind").writeStream.format("memory").queryName("bad_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
+    q.processAllAvailable()
+    pd.DataFrame([("u", 1, "b", at(200))], columns=["user", "t", "kind", "ts"]).astype({"ts": "datetime64[us]"}).to_parquet(src / "late.parquet")
+    with pytest.raises(Exception, match="comes after"):
+        q.processAllAvailable()
+
+
+CHAIN = """chain 900 chr1 1000 + 10 60 ctgA 500 + 100 155 1
+20 5 10
+25
+
+chain 50 chr2 300 + 0 30 ctgB 200 - 20 50 2
+10 0 0
+20
+
+"""
+
+
+def test_chains_lift_points(spark, tmp_path):
+    (tmp_path / "x.chain").write_text(CHAIN)
+    blocks = chain.read_chain(spark, str(tmp_path / "x.chain"))
+    got = sorted((r.chrom, r.start, r.end, r.target, r.target_start, r.strand) for r in blocks.collect())
+    assert got == [("chr1", 10, 30, "ctgA", 100, "+"), ("chr1", 35, 60, "ctgA", 130, "+"), ("chr2", 0, 10, "ctgB", 170, "-"), ("chr2", 10, 30, "ctgB", 150, "-")]
+    points = spark.createDataFrame([("chr1", 10), ("chr1", 29), ("chr1", 32), ("chr1", 35), ("chr2", 0), ("chr2", 29)], "chrom string, pos long")
+    lifted = {(r.chrom, r.pos): r.target_pos for r in intervals.lift_over(points, blocks, ["chrom"], "pos", 16).collect()}
+    assert lifted == {("chr1", 10): 100, ("chr1", 29): 119, ("chr1", 35): 130, ("chr2", 0): 179, ("chr2", 29): 150}
+
+
+def test_predictions_in_contig_order_and_logs(spark, tmp_path):
+    rows = [("s", "chr2", i) for i in range(2)] + [("s", "chr10", i) for i in range(3)] + [("s", "chr9", 0)]
+    placed = npy.in_contig_order(spark.createDataFrame(rows, "sample string, contig string, ord long"), ["chr10", "chr2"])
+    assert sorted((r.place, r.contig, r.ord) for r in placed.collect()) == [(0, "chr10", 0), (1, "chr10", 1), (2, "chr10", 2), (3, "chr2", 0), (4, "chr2", 1)]
+    for n in range(2):
+        text.append_rows(spark.createDataFrame([(n, "x")], "run int, note string"), str(tmp_path / "log"))
+    assert sorted(r.run for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "log")).collect()) == ["0", "1"]
