@@ -97,6 +97,35 @@ def pair_accuracy(df: DataFrame, p1: str, p2: str, h1: str, h2: str) -> DataFram
     return df.agg(F.count("*").alias("n"), F.avg((lo & hi).cast("double")).alias("pair_acc"), F.avg((lo.cast("double") + hi.cast("double")) / 2).alias("hap_acc"))
 
 
+def _alike(cells: DataFrame, keys: list[str], t: str, founder: str, value: str, truth: str) -> tuple[DataFrame, DataFrame]:
+    """Sites with the segments of one true founder; and whether each founder is like the truth all along a segment."""
+    from haploom.operators.islands import with_segments
+
+    segments = with_segments(cells.select(*keys, t, truth).distinct(), [truth], [t], keys, "segment")
+    laid = cells.join(segments.select(*keys, t, "segment"), [*keys, t])
+    true_cell = laid.where(F.col(founder) == F.col(truth)).select(*keys, t, F.col(value).alias("__true"))
+    return segments, laid.join(true_cell, [*keys, t]).groupBy(*keys, "segment", founder).agg(F.bool_and(F.col(value) == F.col("__true")).alias("__same"))
+
+
+def ceilings(cells: DataFrame, keys: list[str], t: str, founder: str, value: str, truth: str, carried: DataFrame, called: DataFrame) -> DataFrame:
+    """By windows: the ceiling from reads alone, that among carried founders, what lies between (headroom), the
+    segments where fewer are carried than indistinguishable, and errors of a call with those within the set.
+
+    Arguments as of ``ceiling``; ``called`` holds keys, t and ``called``.
+    """
+    segments, every = _alike(cells, keys, t, founder, value, truth)
+    same, seg = every.where("__same").drop("__same"), [*keys, "segment"]
+    counted = lambda df, name: df.groupBy(*seg).agg(F.count("*").alias(name))
+    each = counted(segments, "l").join(counted(same, "s"), seg, "left").join(counted(same.join(carried, [*keys, founder], "left_semi"), "k"), seg, "left")
+    s, k = F.coalesce("s", F.lit(1)), F.coalesce("k", F.lit(0))
+    share = lambda n: F.sum(F.col("l") / n) / F.sum("l")
+    sized = each.groupBy(*keys).agg(F.sum("l").alias("n_sites"), share(s).alias("read_ceiling"), share(F.greatest(k, F.lit(1))).alias("carried_ceiling"), F.count_if(s > k).alias("n_dropped"))
+    wrong = segments.join(called, [*keys, t]).where(F.col("called") != F.col(truth)).withColumnRenamed("called", founder)
+    told = wrong.join(same.withColumn("__in", F.lit(1)), [*seg, founder], "left").groupBy(*keys).agg(F.count("*").alias("errors"), F.count("__in").alias("errors_alike"))
+    out = sized.withColumn("headroom", F.col("carried_ceiling") - F.col("read_ceiling")).join(told, keys, "left")
+    return out.fillna(0, ["errors", "errors_alike"])
+
+
 def ceiling(cells: DataFrame, keys: list[str], t: str, founder: str, value: str, truth: str, carried: DataFrame | None = None) -> DataFrame:
     """Best accuracy that identical founders allow, by windows.
 
@@ -104,13 +133,7 @@ def ceiling(cells: DataFrame, keys: list[str], t: str, founder: str, value: str,
     founder, a founder is indistinguishable if its value is the truth's at every site; a run of length L
     with S such founders can be right L / S times. ``carried`` (keys, founder) restricts S, 1 at least.
     """
-    from haploom.operators.islands import with_segments
-
-    sites = cells.select(*keys, t, truth).distinct()
-    segments = with_segments(sites, [truth], [t], keys, "segment")
-    laid = cells.join(segments.select(*keys, t, "segment"), [*keys, t])
-    true_cell = laid.where(F.col(founder) == F.col(truth)).select(*keys, t, F.col(value).alias("__true"))
-    same = laid.join(true_cell, [*keys, t]).groupBy(*keys, "segment", founder).agg(F.bool_and(F.col(value) == F.col("__true")).alias("__same"))
+    segments, same = _alike(cells, keys, t, founder, value, truth)
     if carried is not None:
         same = same.join(carried, [*keys, founder], "left_semi")
     sets = same.groupBy(*keys, "segment").agg(F.greatest(F.count_if("__same"), F.lit(1)).alias("s"))
@@ -125,6 +148,16 @@ def affinity(cells: DataFrame, individual: list[str], founder: str, value: str)
     return rate.withColumn("centred", F.col("rate") - F.avg("rate").over(W.partitionBy(*individual)))
 
 
+def hot_and_cold(df: DataFrame, value: str, rate: str, share: float = 0.1) -> DataFrame:
+    """Mean of a value where a rate is in its lowest and in its highest share; borders by sketches of bounded size
+    (off by a millionth of the rows at most)."""
+    both = df.where(F.col(value).isNotNull() & F.col(rate).isNotNull())
+    edges = both.agg(F.percentile_approx(rate, [share, 1 - share], 1_000_000).alias("__edges"))
+    laid = both.crossJoin(F.broadcast(edges))
+    mean = lambda inside: F.avg(F.when(inside, F.col(value)))
+    return laid.agg(mean(F.col(rate) <= F.col("__edges")[0]).alias("cold"), mean(F.col(rate) >= F.col("__edges")[1]).alias("hot"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of the rows with both values, equal values sharing their mean rank."""
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -123,6 +123,11 @@ def adjacent_jaccard(df: DataFrame, keys: list[str], by: list, cells: str = "fea
     return both.withColumn("__j", F.when(union == 0, 1.0).otherwise(inter / union)).groupBy(*keys).agg((1 - F.avg("__j")).alias("het_proxy"))
 
 
+def het_scale(proxy: Column, inbred: float, outbred: float) -> Column:
+    """A proxy of heterozygosity from 0 (inbred or less) to 1 (outbred or more)."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (proxy - inbred) / (outbred - inbred)))
+
+
 def decode_position(code: Column) -> tuple[Column, Column]:
     """(contig index, position) of a packed 32-bit position: 8 bits of contig, 24 of bins of 256."""
     return F.call_function("shiftright", code, F.lit(24)).bitwiseAND(F.lit(255)).cast("int"), code.bitwiseAND(F.lit(16777215)) * 256

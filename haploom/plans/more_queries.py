@@ -272,6 +272,43 @@ def crf_marginal_pairs(s, d):
     return p.select("contig", "window", "t", F.round(F.abs("log_p"), 6).alias("cost"))
 
 
+# --- further measures --------------------------------------------------------------------------------
+
+
+@query(
+    with_views(
+        """SELECT contig, win, n_sites, read_ceiling, carried_ceiling, n_dropped, errors, errors_alike FROM (
+          SELECT contig, win, CAST(sum(l) AS BIGINT) AS n_sites, round(sum(l / CAST(s AS DOUBLE)) / sum(l), 6) AS read_ceiling, round(sum(l / CAST(greatest(k, 1) AS DOUBLE)) / sum(l), 6) AS carried_ceiling, count(*) FILTER (s > k) AS n_dropped
+          FROM sizes JOIN held USING (contig, win, seg) GROUP BY contig, win)
+        JOIN (SELECT g.contig, g.win, count(*) FILTER (p1 <> p2) AS errors, count(*) FILTER (p1 <> p2 AND same) AS errors_alike FROM segs g JOIN path p ON p.contig = g.contig AND p.ord = g.ord JOIN second c ON c.contig = p.contig AND c.pos = p.pos
+          JOIN same s ON s.contig = g.contig AND s.win = g.win AND s.seg = g.seg AND s.founder = p2 GROUP BY g.contig, g.win) USING (contig, win)""",
+        "cells",
+        "path",
+        "second",
+        more=Q._CEILING.format(where="")
+        + """, carried AS (SELECT DISTINCT contig, ord // 100 AS win, p1 AS founder, true AS has FROM path),
+        held AS (SELECT s.contig, s.win, s.seg, count(*) FILTER (same) AS s, count(*) FILTER (same AND has) AS k FROM same s LEFT JOIN carried c ON c.contig = s.contig AND c.win = s.win AND c.founder = s.founder GROUP BY ALL)""",
+    )
+)
+def ceiling_errors(s, d):
+    laid = Q._laid(s, d)
+    carried = laid.select("contig", "win", F.col("p1").alias("founder")).distinct()
+    called = V.path(s, d).join(V.second(s, d), ["contig", "pos"]).select("contig", F.floor(F.col("ord") / 100).alias("win"), "ord", F.col("p2").alias("called"))
+    out = metrics.ceilings(laid, ["contig", "win"], "ord", "founder", "x", "p1", carried, called)
+    return out.drop("headroom").withColumns({c: F.round(c, 6) for c in ("read_ceiling", "carried_ceiling")})
+
+
+@query("SELECT round(avg(CASE WHEN l_discount <= lo THEN l_quantity END), 6) AS cold, round(avg(CASE WHEN l_discount >= hi THEN l_quantity END), 6) AS hot FROM lineitem, (SELECT quantile_disc(l_discount, 0.1) AS lo, quantile_disc(l_discount, 0.9) AS hi FROM lineitem)")
+def hot_and_cold(s, d):
+    out = metrics.hot_and_cold(V.table(s, d, "lineitem").select(F.col("l_quantity").cast("double").alias("q"), "l_discount"), "q", "l_discount")
+    return out.select(F.round("cold", 6).alias("cold"), F.round("hot", 6).alias("hot"))
+
+
+@query(f"SELECT contig, round(greatest(0.0, least(1.0, (het_proxy - 0.2) / 0.5)), 4) AS scale FROM ({Q.REGISTRY['het_proxy'][1].replace(', 6)', ', 12)')})")
+def het_scale(s, d):
+    return sites.adjacent_jaccard(V.features(s, d), ["contig"], ["pos"]).select("contig", F.round(sites.het_scale(F.col("het_proxy"), 0.2, 0.7), 4).alias("scale"))
+
+
 # --- files: views written and read again ------------------------------------------------------------
 
 
