@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from haploom.session import staged
+
 
 def natural_key(name: Column) -> tuple[Column, Column]:
     """Sort keys of a contig or parent name: all its digits as a number, then the name itself."""
@@ -24,6 +26,41 @@ def with_ordinal(df: DataFrame, by: list, partition: list[str] | None = None, na
     return df.withColumn(name, F.row_number().over(W.partitionBy(*(partition or [])).orderBy(*by)) - 1)
 
 
+def numbered(df: DataFrame, by: list, keys: list[str] | None = None, name: str = "ord") -> DataFrame:
+    """``with_ordinal`` for keys of any size, or for the whole table, without a window over the rows.
+
+    Rows are dealt out by ranges of (keys, order), so that a key may take many partitions, and written once.
+    Each partition numbers its own rows; where its numbers begin is the sum of the counts before it, and only
+    those counts (one for each partition and key) meet in a window. ``by`` should be a total order: equal rows
+    lie in one partition and are numbered in any order. A null key is a key of its own.
+    """
+    keys = keys or []
+    columns = [F.col(c) if isinstance(c, str) else c for c in [*keys, *by]]
+    laid = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__id", F.monotonically_increasing_id())
+    # the upper bits of the id are the partition's number, the lower ones count its rows
+    laid = staged(laid, "numbered").withColumn("__part", F.shiftright("__id", 33))
+    counts = laid.groupBy("__part", *keys).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    starts = starts.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(keys)}).withColumnRenamed("__part", "__own")
+    same = F.col("__part") == F.col("__own")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    joined = laid.join(starts, same).withColumn(name, F.col("__before") + F.col("__id") - F.col("__first"))
+    return joined.select(*df.columns, name)
+
+
+def distinct_in_order(df: DataFrame, value: str, by: list[str], name: str = "place") -> DataFrame:
+    """Each value once, numbered by the first row (in the order of ``by``) that has it."""
+    first = df.groupBy(value).agg(F.min(F.struct(*by)).alias("__first"))
+    return numbered(first.select(value, "__first.*"), [*by, value], name=name).select(value, *by, name)
+
+
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Rows with a place in a random order that depends on their (unique) key and the seed alone."""
+    return numbered(df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), ["__h", key], name=name).drop("__h")
+
+
 def top_k_indices(values: Column, k: int, high_index_first: bool = False) -> Column:
     """Indices of the k largest elements; of equal ones the lower index first, or the higher."""
     sign = -1 if high_index_first else 1
