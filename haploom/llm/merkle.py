@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haploom.llm.duck import CRC_BITS, crc32
 from haploom.llm.licenses import LOWER, UPPER
 from haploom.operators.order import numbered
 from haploom.session import staged
@@ -297,11 +298,10 @@ def sql(levels: int = 6) -> str:
     """The same in DuckDB, level by level, for at most 16 ** ``levels`` rows of a source and so many sources."""
     field = lambda c, v: f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || {v}, '-')"
     row = lambda text: "sha256(concat(" + ", ".join(field(c, text if c == "text" else c) for c in FIELDS) + "))"
-    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
     parts = [
-        "bits AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)",
+        CRC_BITS,
         f"""told AS (SELECT doc_id, coalesce('s' || source, 'n') AS tree, {row('text')} AS leaf,
-      CASE WHEN {crc} % 5 = 0 THEN {row(f"translate(text, '{UPPER}', '{LOWER}')")} END AS claimed FROM documents, bits)""",
+      CASE WHEN {crc32("doc_id")} % 5 = 0 THEN {row(f"translate(text, '{UPPER}', '{LOWER}')")} END AS claimed FROM documents, bits)""",
         "placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY tree) AS n FROM told)",
         "a0 AS (SELECT tree, spot AS i, leaf AS h, n FROM placed)",
     ]

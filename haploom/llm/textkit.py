@@ -11,7 +11,7 @@ from functools import lru_cache
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch at most.
@@ -47,8 +47,8 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str = "p") -> Iterator[li
         yield held
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns that an operator needs, as ``doc_id`` and ``text``; null text is empty.
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Only the columns that an operator needs: ``doc_id`` and ``text`` (null text is empty), and ``more``.
 
     Columns of ``docs`` that clash with an operator's own names are thereby out of the way. From here on
     the session sends at most ``BATCH_ROWS`` rows in an Arrow batch, so that few texts are in memory twice.
@@ -59,6 +59,7 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 
