@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Emissions and costs of decoders are multiples of 1 / GRID, so sums of them below 2 ** 53 / GRID are exact.
+GRID = float(1 << 28)
+
+
+def grid(x):
+    """The nearest multiples of the grid's step; scores of paths then tie where they are equal, in whatever order they are summed."""
+    return np.round(np.asarray(x, dtype=np.float64) * GRID) / GRID
+
+
 def log_softmax(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=-1, keepdims=True)
     return x - top - np.log(np.exp(x - top).sum(axis=-1, keepdims=True))
@@ -34,7 +43,7 @@ def viterbi_switch(emit: np.ndarray, stay: float, switch: float) -> np.ndarray:
     n, s = emit.shape
     moved = np.zeros((n, s), dtype=bool)
     best = np.zeros(n, dtype=np.int64)
-    score = emit[0] - np.log(s)
+    score = emit[0] - grid(np.log(s))
     for t in range(1, n):
         best[t] = score.argmax()
         jump = score[best[t]] + switch
@@ -55,8 +64,8 @@ def pairs(k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_emissions(log_em: np.ndarray, penalty: float = 0.0) -> np.ndarray:
     """Emissions of pairs as sums of their founders' logs, less a penalty where both are the same founder."""
-    i, j = pairs(log_em.shape[1])
-    return log_em[:, i] + log_em[:, j] - penalty * (i == j)
+    i, j = pairs(log_em.shape[-1])
+    return log_em[..., i] + log_em[..., j] - penalty * (i == j)
 
 
 def pair_transitions(log_a: np.ndarray) -> np.ndarray:
@@ -69,7 +78,7 @@ def hmm_haploid(cells: np.ndarray, weights: np.ndarray, p_stay: float = 0.99) ->
     """Founder path from read support: softmax emissions of weighted cells."""
     k = cells.shape[1]
     rest = np.log((1 - p_stay) / max(k - 1, 1)) if k > 1 else -np.inf
-    return viterbi_switch(log_softmax(cells * weights), np.log(p_stay), rest)
+    return viterbi_switch(grid(log_softmax(cells * weights)), grid(np.log(p_stay)), grid(rest))
 
 
 def ordered_transitions(k: int, p_stay: float = 0.99, two: float = -1e6) -> np.ndarray:
@@ -88,14 +97,14 @@ def hmm_diploid(cells: np.ndarray, weights: np.ndarray, p_stay: float = 0.99, ho
     best score of each slot's founder and of all, not a square of pairs. Ties go to the lowest pair.
     """
     n, k = cells.shape
-    log_em = log_softmax(cells * weights)
+    log_em = grid(log_softmax(cells * weights))
     upper = np.triu(np.ones((k, k), dtype=bool))
-    base = np.where(upper, np.eye(k) * homozygous, -np.inf)
-    stay = np.log(p_stay)
-    rest = np.log((1 - p_stay) / max(k - 1, 1)) if k > 1 else 0.0
+    base = np.where(upper, np.eye(k) * grid(homozygous), -np.inf)
+    stay, two = grid(np.log(p_stay)), grid(two)
+    rest = grid(np.log((1 - p_stay) / max(k - 1, 1)) if k > 1 else 0.0)
     own = np.arange(k * k).reshape(k, k)
     came = np.empty((n, k, k), dtype=np.int32)
-    score = base + log_em[0][:, None] + log_em[0][None, :] - np.log(k * (k + 1) / 2)
+    score = base + log_em[0][:, None] + log_em[0][None, :] - grid(np.log(k * (k + 1) / 2))
     side = np.arange(k)
     for t in range(1, n):
         by_first, by_second = score.argmax(axis=1), score.argmax(axis=0)
@@ -202,7 +211,8 @@ def crf_viterbi_factored(emit: np.ndarray, cost: np.ndarray, stay_bonus: np.ndar
     return path
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """Log of the sum of exponentials along an axis."""
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
@@ -218,11 +228,11 @@ def crf_marginals(emit: np.ndarray, cost: np.ndarray, switches: np.ndarray, stay
     n, _ = emit.shape
     ahead, behind = emit.copy(), np.zeros_like(emit)
     for t in range(1, n):
-        ahead[t] += _lse(ahead[t - 1][:, None] + _step(cost[t], switches, stay_bonus), 0)
+        ahead[t] += log_sum(ahead[t - 1][:, None] + _step(cost[t], switches, stay_bonus), 0)
     for t in range(n - 2, -1, -1):
-        behind[t] = _lse(_step(cost[t + 1], switches, stay_bonus) + (behind[t + 1] + emit[t + 1])[None, :], 1)
+        behind[t] = log_sum(_step(cost[t + 1], switches, stay_bonus) + (behind[t + 1] + emit[t + 1])[None, :], 1)
     both = ahead + behind
-    return both - _lse(both, 1)[:, None]
+    return both - log_sum(both, 1)[:, None]
 
 
 def crf_nll(emit: np.ndarray, cost: np.ndarray, switches: np.ndarray, stay_bonus: np.ndarray, path: np.ndarray) -> float:
@@ -231,9 +241,9 @@ def crf_nll(emit: np.ndarray, cost: np.ndarray, switches: np.ndarray, stay_bonus
     score = emit[0, path[0]]
     for t in range(1, len(emit)):
         step = _step(cost[t], switches, stay_bonus)
-        ahead = _lse(ahead[:, None] + step, 0) + emit[t]
+        ahead = log_sum(ahead[:, None] + step, 0) + emit[t]
         score += step[path[t - 1], path[t]] + emit[t, path[t]]
-    return float(_lse(ahead, 0) - score)
+    return float(log_sum(ahead, 0) - score)
 
 
 def pruned(emit: np.ndarray, keep: np.ndarray, decode) -> np.ndarray:
@@ -245,7 +255,7 @@ def pruned(emit: np.ndarray, keep: np.ndarray, decode) -> np.ndarray:
 def crf_diploid(cells: np.ndarray, weights: np.ndarray, cost: float = 2.0, penalty: float = 0.0) -> np.ndarray:
     """Pairs of founders (two columns) where each switch costs alike; equal founders pay a penalty."""
     i, j = pairs(cells.shape[1])
-    path = crf_viterbi_factored(pair_emissions(log_softmax(cells * weights), penalty), np.full(len(cells), cost), np.zeros(len(i)), cells.shape[1])
+    path = crf_viterbi_factored(pair_emissions(grid(log_softmax(cells * weights)), grid(penalty)), np.full(len(cells), grid(cost)), np.zeros(len(i)), cells.shape[1])
     return np.stack([i[path], j[path]], axis=1)
 
 
@@ -259,7 +269,7 @@ MODELS = {
     "hmm_diploid": hmm_diploid,
     "logits_haploid": lambda x, w: _twice(logits_haploid(x, w)),
     "logits_diploid": logits_diploid,
-    "crf_haploid": lambda x, w: _twice(crf_viterbi(log_softmax(x * w), np.full(len(x), 2.0), 1 - np.eye(x.shape[1]), np.zeros(x.shape[1]))),
+    "crf_haploid": lambda x, w: _twice(crf_viterbi(grid(log_softmax(x * w)), np.full(len(x), 2.0), 1 - np.eye(x.shape[1]), np.zeros(x.shape[1]))),
     "crf_diploid": crf_diploid,
 }
 

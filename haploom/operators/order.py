@@ -26,28 +26,46 @@ def with_ordinal(df: DataFrame, by: list, partition: list[str] | None = None, na
     return df.withColumn(name, F.row_number().over(W.partitionBy(*(partition or [])).orderBy(*by)) - 1)
 
 
-def numbered(df: DataFrame, by: list, keys: list[str] | None = None, name: str = "ord") -> DataFrame:
-    """``with_ordinal`` for keys of any size, or for the whole table, without a window over the rows.
-
-    Rows are dealt out by ranges of (keys, order), so that a key may take many partitions, and written once.
-    Each partition numbers its own rows; where its numbers begin is the sum of the counts before it, and only
-    those counts (one for each partition and key) meet in a window. ``by`` should be a total order: equal rows
-    lie in one partition and are numbered in any order. A null key is a key of its own.
-    """
-    keys = keys or []
+def _dealt(df: DataFrame, by: list, keys: list[str]) -> DataFrame:
+    """Rows in ranges of (keys, order), so that a key may take many partitions; written once, with the number of each
+    row's range (``__part``) and ``__id``, which ascends by one within a range."""
     columns = [F.col(c) if isinstance(c, str) else c for c in [*keys, *by]]
     laid = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__id", F.monotonically_increasing_id())
     # the upper bits of the id are the partition's number, the lower ones count its rows
-    laid = staged(laid, "numbered").withColumn("__part", F.shiftright("__id", 33))
-    counts = laid.groupBy("__part", *keys).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    return staged(laid, "dealt").withColumn("__part", F.shiftright("__id", 33))
+
+
+def _with_before(laid: DataFrame, keys: list[str], total) -> DataFrame:
+    """Rows with the first id of their key in their range and the sum of ``total`` over the key's earlier ranges. Only
+    one row for each range and key meets in a window."""
+    sums = laid.groupBy("__part", *keys).agg(F.min("__id").alias("__first"), total.alias("__n"))
     before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    starts = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     starts = starts.withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(keys)}).withColumnRenamed("__part", "__own")
     same = F.col("__part") == F.col("__own")
     for i, c in enumerate(keys):
         same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    joined = laid.join(starts, same).withColumn(name, F.col("__before") + F.col("__id") - F.col("__first"))
-    return joined.select(*df.columns, name)
+    return laid.join(starts, same)
+
+
+def numbered(df: DataFrame, by: list, keys: list[str] | None = None, name: str = "ord") -> DataFrame:
+    """``with_ordinal`` for keys of any size, or for the whole table, without a window over the rows.
+
+    Ranges number their own rows, from where the counts of the ranges before them end. ``by`` should be a total order:
+    equal rows lie in one range and are numbered in any order. A null key is a key of its own.
+    """
+    keys = keys or []
+    joined = _with_before(_dealt(df, by, keys), keys, F.count("*"))
+    return joined.withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).select(*df.columns, name)
+
+
+def running_sum(df: DataFrame, by: list, value: Column, keys: list[str] | None = None, name: str = "before") -> DataFrame:
+    """The sum of a value over all earlier rows of each key, in the same way."""
+    keys = keys or []
+    laid = _dealt(df.withColumn("__v", value), by, keys)
+    own = W.partitionBy("__part", *keys).orderBy("__id").rowsBetween(W.unboundedPreceding, -1)
+    inside = laid.withColumn("__in", F.coalesce(F.sum("__v").over(own), F.lit(0)))
+    return _with_before(inside, keys, F.sum("__v")).withColumn(name, F.col("__before") + F.col("__in")).select(*df.columns, name)
 
 
 def distinct_in_order(df: DataFrame, value: str, by: list[str], name: str = "place") -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from haploom.operators import intervals, kernels, metrics, order, sites, variants, windows
+from haploom.operators import intervals, kernels, lattice, metrics, order, sites, variants, windows
 from haploom.plans import queries as Q
 from haploom.plans import views as V
 from haploom.plans.queries import query
@@ -168,6 +168,8 @@ def paired_files(s, d):
 # --- decoders on windows: what a decoded path scores, held against the best score by recursion ------
 
 SITES = 32
+#: More sites than a contig has: one window holds all of them.
+WHOLE = 1 << 40
 _EMIT = f"""em AS MATERIALIZED (SELECT contig, pos, ord // {SITES} AS win, ord % {SITES} AS t, founder, x - m - ln(sum(exp(x - m)) OVER (PARTITION BY contig, pos)) AS e FROM (
       SELECT contig, pos, founder, x, max(x) OVER (PARTITION BY contig, pos) AS m, dense_rank() OVER (PARTITION BY contig ORDER BY pos) - 1 AS ord FROM cells)),
     pairs AS MATERIALIZED (SELECT i.contig, i.pos, i.win, i.t, i.founder AS a, j.founder AS b, i.e + j.e AS e FROM em i JOIN em j ON i.contig = j.contig AND i.pos = j.pos AND i.founder <= j.founder)"""
@@ -196,7 +198,26 @@ def _cut(s, d):
 def _path_score(s, d, model, start, same, one, two, homozygous=0.0, single=False):
     """What the path that a model finds in each window scores, by emissions and switches of its founders."""
     cut = _cut(s, d)
-    path = kernels.decode(cut.select("contig", "window", "t", "features"), ["contig", "window"], "t", model)
+    decode = kernels.decode if model.startswith("logits") else lattice.decode_windows
+    path = decode(cut.select("contig", "window", "t", "features"), ["contig", "window"], "t", model)
+    return _scored(cut, path, model, start, same, one, two, homozygous, single)
+
+
+def _long_score(s, d, model, *costs, **more):
+    """The same for contigs that are decoded in chunks of 100 sites."""
+    cut = order.with_ordinal(V.features(s, d), ["pos"], ["contig"], "t").withColumn("window", F.lit(0).cast("long"))
+    path = lattice.decode_long(cut.select("contig", "t", "features"), ["contig"], "t", model, chunk=100).withColumn("window", F.lit(0).cast("long"))
+    return _scored(cut, path, model, *costs, **more).select("contig", F.col("n").cast("long").alias("n"), F.round("score", 3).alias("score"))
+
+
+def _long(sql: str) -> str:
+    """The SQL of windows for whole contigs."""
+    inner = sql.replace(f"ord // {SITES} AS win, ord % {SITES} AS t", f"ord // {WHOLE} AS win, ord % {WHOLE} AS t").replace("CAST(max(t) + 1 AS INTEGER)", "max(t) + 1").replace(", 4) AS score", ", 3) AS score")
+    return inner.replace('SELECT contig, win AS "window", ', "SELECT contig, ")
+
+
+def _scored(cut, path, model, start, same, one, two, homozygous=0.0, single=False):
+    """contig, window, n, score of a path by window and t."""
     logs = cut.select("contig", "window", "t", F.transform(kernels.softmax_array(F.col("features").cast("array<double>")), lambda x: F.log(x)).alias("e"))
     both = path.join(logs, ["contig", "window", "t"])
     w = W.partitionBy("contig", "window").orderBy("t")
@@ -244,6 +265,22 @@ def crf_diploid_windows(s, d):
     return _path_score(s, d, "crf_diploid", 0.0, 0.0, -2.0, -4.0)
 
 
+@query(_long(Q.REGISTRY["hmm_haploid_windows"][1]))
+def hmm_haploid_long(s, d):
+    """Whole contigs in chunks over many tasks; the score of the path is the best that any path has."""
+    return _long_score(s, d, "hmm_haploid", -math.log(K), _STAY, _MOVE, 0.0, single=True)
+
+
+@query(_long(Q.REGISTRY["hmm_diploid_windows"][1]))
+def hmm_diploid_long(s, d):
+    return _long_score(s, d, "hmm_diploid", -math.log(K * (K + 1) / 2), _STAY, _MOVE, -1e6, -0.1)
+
+
+@query(_long(Q.REGISTRY["crf_diploid_windows"][1]))
+def crf_diploid_long(s, d):
+    return _long_score(s, d, "crf_diploid", 0.0, 0.0, -2.0, -4.0)
+
+
 def _passes(states: str, step: str, state: tuple[str, ...]) -> str:
     """SQL of the largest posterior of each site by forward and backward passes."""
     own, new = ", ".join(state), ", ".join(f"n.{c}" for c in state)
@@ -268,7 +305,7 @@ def crf_marginal_windows(s, d):
 
 @query(_passes("pairs", "(-2.0) * least((v.a <> n.a)::INT + (v.b <> n.b)::INT, (v.a <> n.b)::INT + (v.b <> n.a)::INT)", ("a", "b")))
 def crf_marginal_pairs(s, d):
-    p = kernels.posterior(_cut(s, d).select("contig", "window", "t", "features"), ["contig", "window"], "t", diploid=True)
+    p = lattice.posterior_windows(_cut(s, d).select("contig", "window", "t", "features"), ["contig", "window"], "t")
     return p.select("contig", "window", "t", F.round(F.abs("log_p"), 6).alias("cost"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from haploom.operators.chunked import SIZE, stitch
+from haploom.operators.order import running_sum
 from haploom.operators.sequences import wrapped
 from haploom.sources.text import lines
 
@@ -19,6 +21,26 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
     return rows.groupBy("path", "n").agg(name.alias("contig"), seq.alias("seq")).drop("n")
 
 
+def read_chunks(spark: SparkSession, path, size: int = SIZE) -> DataFrame:
+    """path, contig, chunk, bases: the same records in rows of ``size`` bases (see ``operators.chunked``).
+
+    Which record a line belongs to, and where it stands in it, are sums over the lines before it, taken by ranges of
+    lines: no task holds a contig. A record without bases has no rows.
+    """
+    rows = lines(spark, path).withColumn("head", F.col("line").startswith(">")).withColumn("text", F.trim("line")).where("text <> ''")
+    told = running_sum(rows, ["ord"], F.col("head").cast("long"), ["path"], "n").withColumn("n", F.col("n") + F.col("head").cast("long")).where("n > 0")
+    names = told.where("head").select("path", "n", F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("contig"))
+    placed = running_sum(told.where("NOT head").select("path", "n", "ord", "text"), ["ord"], F.length("text").cast("long"), ["path", "n"], "to")
+    parts = placed.withColumnRenamed("n", "record").select("path", "record", "to", F.length("text").cast("long").alias("n"), F.col("text").alias("bases"))
+    return stitch(parts, ["path", "record"], size).join(names.withColumnRenamed("n", "record"), ["path", "record"]).select("path", "contig", "chunk", "bases")
+
+
+def write_chunks(store: DataFrame, path: str) -> None:
+    """Chunks (of a size that lines of 60 divide) as records in lines of 60, in order; a file part for each range."""
+    first = F.when(F.col("chunk") == 0, F.concat(F.lit(">"), "contig", F.lit("\n"))).otherwise("")
+    store.orderBy("contig", "chunk").select(F.concat(first, wrapped(F.col("bases"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def fetch(sequences: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges (contig, start, end; 0-based, half open) with their sequence."""
     return ranges.join(sequences.select("contig", F.col("seq").alias("__seq")), "contig").withColumn("seq", F.substring(F.col("__seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).drop("__seq")
