@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import base64 as b64
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def parse_position(text: Column) -> Column:
-    """Positions such as '2.4M', '3K', '3.14B' or '1,200' as whole numbers, else null."""
-    t = F.upper(F.regexp_replace(F.trim(text), ",", ""))
-    number = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)([KMB]?)$", 1).try_cast("double")
-    unit = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)([KMB]?)$", 2)
-    return F.round(number * F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)).cast("long")
+    """Positions such as '2.4M', '3 k', '3.14B' or '1,200' as whole numbers, else null: what is before the unit letter,
+    less commas and blanks, must be a plain number."""
+    t = F.trim(F.upper(F.replace(text, F.lit(","), F.lit(""))))
+    unit = F.when(F.right(t, F.lit(1)).isin("K", "M", "B"), F.right(t, F.lit(1)))
+    number = F.when(unit.isNull(), t).otherwise(F.trim(F.substring(t, F.lit(1), F.length(t) - 1)))
+    # signs, exponents and names such as NaN cast as well, but are no positions
+    plain = F.when(F.translate(number, "0123456789.", "") == "", number.try_cast("double"))
+    inside = ~number.startswith(".") & ~number.endswith(".")
+    return F.when(inside, F.round(plain * F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0))).cast("long")
 
 
 def bin_of(pos: Column, size: int) -> Column:
@@ -56,8 +55,16 @@ def is_chromosome(name: Column) -> Column:
 
 
 def sample_of_bed(path: Column) -> Column:
-    """The sample of a BED file's name, without a part for one chromosome."""
-    return F.regexp_extract(F.regexp_extract(path, r"([^/]+)\.bed$", 1), r"(?i)^(.+?)(?:_chr(?:omosome)?([A-Za-z0-9]+)_imputed)?$", 1)
+    """The sample of a BED file's name. A name of the form sample_contig_imputed, where the contig is chr (in any case)
+    and letters or digits, loses its last two parts; any other name is the sample as it is."""
+    name = F.substring_index(path, "/", -1)
+    bare = F.substring(name, F.lit(1), F.length(name) - 4)
+    parts = F.split(bare, "_")
+    contig, last = F.lower(F.get(parts, F.size(parts) - 2)), F.get(parts, F.size(parts) - 1)
+    code = F.substring(contig, F.lit(4), F.length(contig))
+    cut = (F.size(parts) > 2) & (F.lower(last) == "imputed") & contig.startswith("chr") & (code != "") & (F.translate(code, "abcdefghijklmnopqrstuvwxyz0123456789", "") == "")
+    sample = F.when(cut, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(1))), "_")).otherwise(bare)
+    return F.when(name.endswith(".bed"), sample).otherwise("")
 
 
 def success(payload: Column) -> Column:
@@ -69,12 +76,84 @@ def failure(message: Column) -> Column:
     return F.to_json(F.struct(F.lit(False).alias("success"), message.alias("error")))
 
 
-@F.pandas_udf(T.StringType())
-def encode_u32(cells: pd.Series) -> pd.Series:
+#: Number types of encoded arrays: bytes of an element and what its bits are.
+KINDS = {"uint8": (1, "unsigned"), "int16": (2, "signed"), "int32": (4, "signed"), "uint32": (4, "unsigned"), "int64": (8, "signed"), "float32": (4, "float"), "float64": (8, "float")}
+
+
+def encode_array(cells: Column, dtype: str = "uint32") -> Column:
+    """Whole numbers as base64 of their little-endian bytes; a number beyond its type keeps its low bits, null is null."""
+    width, kind = KINDS[dtype]
+    if kind == "float":
+        raise ValueError("only arrays of whole numbers are encoded")
+    byte = lambda x, i: F.lpad(F.hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0")
+    text = F.array_join(F.transform(cells, lambda x: F.concat(*(byte(x.cast("long"), i) for i in range(width)))), "")
+    return F.base64(F.unhex(text))
+
+
+def _whole(digits: Column, width: int, signed: bool) -> Column:
+    """A little-endian number from its hexadecimal digits: 32 bits at a time, so that no step overflows."""
+    part = lambda a, b: F.conv(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(b - 1, a - 1, -1))), 16, 10).cast("long")
+    if width == 8:
+        return F.shiftleft(part(4, 8), 32).bitwiseOR(part(0, 4))
+    whole = part(0, width)
+    return F.when(whole >= 1 << (8 * width - 1), whole - (1 << (8 * width))).otherwise(whole) if signed else whole
+
+
+def _real(bits: Column, exponent: int, mantissa: int) -> Column:
+    """The number that the bits of a binary floating-point format stand for."""
+    field = F.shiftrightunsigned(bits, mantissa).bitwiseAND(F.lit((1 << exponent) - 1).cast("long")).cast("int")
+    rest = bits.bitwiseAND(F.lit((1 << mantissa) - 1).cast("long")).cast("double")
+    bias = (1 << (exponent - 1)) - 1
+    sign = F.when(F.shiftrightunsigned(bits, exponent + mantissa).bitwiseAND(F.lit(1).cast("long")) == 1, -1.0).otherwise(1.0)
+    # two factors, as the smallest powers of two have no double of their own
+    small = sign * rest * F.lit(2.0**-500) * F.pow(F.lit(2.0), F.lit(float(501 - bias - mantissa)))
+    usual = sign * (1.0 + rest / float(1 << mantissa)) * F.pow(F.lit(2.0), (field - bias).cast("double"))
+    special = F.when(rest == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return F.when(field == 0, small).when(field == (1 << exponent) - 1, special).otherwise(usual)
+
+
+def _checked(text: Column, dtype: str, n: Column | None) -> tuple[Column, Column]:
+    """(bytes, reason why they cannot be read, else null)."""
+    width = KINDS[dtype][0]
+    raw = F.try_to_binary(text, F.lit("base64"))
+    size = F.octet_length(raw)
+    wrong = size % width != 0 if n is None else size != n * width
+    return raw, F.when(text.isNull(), "no data").when(raw.isNull(), "not base64").when(wrong, "wrong size")
+
+
+def decode_array(text: Column, dtype: str = "uint32", n: Column | None = None) -> Column:
+    """(values, reason) of little-endian numbers in base64: whole numbers as longs, others as doubles. Values are null and
+    a reason is given where there is no data, it is not base64, or its size does not fit the type (or ``n`` elements)."""
+    width, kind = KINDS[dtype]
+    raw, reason = _checked(text, dtype, n)
+    digits = F.hex(raw)
+    # the digits are bound once, by an array of one element, and sliced for each element
+    count = (F.length(digits) / (2 * width)).cast("int")
+    own = lambda h, i: F.substring(h, i * (2 * width) + 1, F.lit(2 * width))
+
+    def element(piece: Column) -> Column:
+        if kind == "float":
+            bits = _whole(piece, width, False)
+            return _real(bits, *((8, 23) if width == 4 else (11, 52)))
+        return _whole(piece, width, kind == "signed")
+
+    values = F.when(count == 0, F.array().cast("array<double>" if kind == "float" else "array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: element(own(digits, i))))
+    return F.struct(F.when(reason.isNull(), values).alias("values"), reason.alias("reason"))
+
+
+def decode_matrix(text: Column, rows: Column, columns: Column, dtype: str = "float64") -> Column:
+    """(values, reason) of a matrix of a stated shape, row by row; a shape that is not known is a reason too."""
+    flat = decode_array(text, dtype, rows * columns)
+    reason = F.when(rows.isNull() | columns.isNull() | (rows < 0) | (columns < 0), "no shape").otherwise(flat["reason"])
+    kind = "double" if KINDS[dtype][1] == "float" else "bigint"
+    split = F.when(rows > 0, F.transform(F.sequence(F.lit(0), F.greatest(rows - 1, F.lit(0))), lambda r: F.slice(flat["values"], (r * columns + 1).cast("int"), columns.cast("int")))).otherwise(F.array().cast(f"array<array<{kind}>>"))
+    return F.struct(F.when(reason.isNull(), split).alias("values"), reason.alias("reason"))
+
+
+def encode_u32(cells: Column) -> Column:
     """Arrays as base64 of little-endian unsigned 32-bit numbers."""
-    return cells.map(lambda x: None if x is None else b64.b64encode(np.asarray(x, dtype="<u4").tobytes()).decode())
+    return encode_array(cells, "uint32")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def decode_u32(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else np.frombuffer(b64.b64decode(x), dtype="<u4").astype(np.int64))
+def decode_u32(text: Column) -> Column:
+    return decode_array(text, "uint32")["values"]

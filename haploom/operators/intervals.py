@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from haploom.operators.order import natural_key, numbered
+
 
 def make_contiguous(df: DataFrame, lengths: DataFrame | None = None, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
     """Close gaps and overlaps at their midpoints; each chromosome begins at 0 and ends at its length.
@@ -79,11 +81,12 @@ def nearest_site(queries: DataFrame, sites: DataFrame, keys: list[str], target:
     found = sites.select(*keys, F.col(pos).alias("__at")).distinct()
     asked = queries.select(*keys, F.col(target).alias("__at")).distinct()
     both = found.withColumn("__own", F.col("__at")).unionByName(asked.withColumn("__own", F.lit(None).cast(found.schema["__at"].dataType))).withColumn("__b", F.floor(F.col("__at") / bucket))
-    inside = W.partitionBy(*keys, "__b").orderBy("__at")
-    near = both.withColumn("__lo", F.max("__own").over(inside.rangeBetween(W.unboundedPreceding, 0))).withColumn("__hi", F.min("__own").over(inside.rangeBetween(0, W.unboundedFollowing)))
+    # frames that only look back are kept up row by row; a frame to the end would be added up anew for each row
+    inside, back = (W.partitionBy(*keys, "__b").orderBy(o) for o in (F.asc("__at"), F.desc("__at")))
+    near = both.withColumn("__lo", F.max("__own").over(inside.rangeBetween(W.unboundedPreceding, 0))).withColumn("__hi", F.min("__own").over(back.rangeBetween(W.unboundedPreceding, 0)))
     edge = both.groupBy(*keys, "__b").agg(F.min("__own").alias("__first"), F.max("__own").alias("__last"))
-    over = W.partitionBy(*keys).orderBy("__b")
-    edge = edge.withColumn("__below", F.max("__last").over(over.rowsBetween(W.unboundedPreceding, -1))).withColumn("__above", F.min("__first").over(over.rowsBetween(1, W.unboundedFollowing)))
+    over, down = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("__b"), F.desc("__b")))
+    edge = edge.withColumn("__below", F.max("__last").over(over)).withColumn("__above", F.min("__first").over(down))
     told = near.where("__own IS NULL").join(edge, [*keys, "__b"]).withColumn("__lo", F.coalesce("__lo", "__below")).withColumn("__hi", F.coalesce("__hi", "__above"))
     lo, hi, at = F.col("__lo"), F.col("__hi"), F.col("__at")
     best = F.when(lo.isNull(), hi).when(hi.isNull(), lo).when(hi - at <= at - lo, hi).otherwise(lo)
@@ -107,6 +110,37 @@ def region_codes(df: DataFrame, chrom: str = "chrom", start: str = "start", ord_
     return long.select(chrom, "region", "x.*").where("parent IS NOT NULL").groupBy(chrom, "region", "parent").agg(F.sum("code").cast("int").alias("code"))
 
 
+def region_matrix(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", ord_col: str = "ord", block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(matrix, paths): each contig's regions against its parents, as compressed rows in blocks of regions.
+
+    ``matrix``: chrom, block, regions (start, end of each), offsets, parents, codes: the cells of region r of a block are
+    those from ``offsets[r]`` to before ``offsets[r + 1]``, a parent's number and its code (1: first parent, 2:
+    second, 3: both). ``paths``: chrom, block, parent1, parent2: the parents' numbers along the regions. Parents are numbered within
+    a contig in natural order, regions by start, equal ones by their place in the file. A region without a parent is
+    left out. No row holds more than a block, and regions are numbered by ranges.
+    """
+    held = df.where("parent1 IS NOT NULL AND parent2 IS NOT NULL").withColumns({c: F.col(c).cast("string") for c in ("parent1", "parent2")})
+    names = held.select(chrom, F.explode(F.array("parent1", "parent2")).alias("__p")).distinct()
+    key, text = natural_key(F.col("__p"))
+    parents = numbered(names.withColumn("__key", key), [F.asc_nulls_first("__key"), "__p"], [chrom], "__n").select(chrom, "__p", F.col("__n").cast("int").alias("__n"))
+    placed = numbered(held.select(chrom, start, end, ord_col, "parent1", "parent2"), [start, ord_col], [chrom], "__r")
+    for c in ("parent1", "parent2"):
+        placed = placed.join(parents.withColumnsRenamed({"__p": c, "__n": f"__{c}"}), [chrom, c])
+    one, two = F.col("__parent1"), F.col("__parent2")
+    cell = lambda p, code: F.struct(p.alias("p"), F.lit(code).alias("code"))
+    cells = F.when(one == two, F.array(cell(one, 3))).when(one < two, F.array(cell(one, 1), cell(two, 2))).otherwise(F.array(cell(two, 2), cell(one, 1)))
+    row = F.struct(F.col("__r").alias("r"), F.col(start).alias("start"), F.col(end).alias("end"), one.alias("p1"), two.alias("p2"), F.col("__off").alias("off"), F.col("__cells").alias("cells"))
+    blocked = placed.withColumn("block", F.floor(F.col("__r") / block)).withColumn("__cells", cells)
+    before = W.partitionBy(chrom, "block").orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    counted = blocked.withColumn("__off", F.coalesce(F.sum(F.size("__cells")).over(before), F.lit(0)).cast("int"))
+    rows = counted.groupBy(chrom, "block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    flat = F.flatten("rows.cells")
+    offsets = F.concat("rows.off", F.array(F.size(flat)))
+    regions = F.transform("rows", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    matrix = rows.select(chrom, "block", regions.alias("regions"), offsets.alias("offsets"), F.transform(flat, lambda x: x["p"]).alias("parents"), F.transform(flat, lambda x: x["code"]).alias("codes"))
+    return matrix, rows.select(chrom, "block", F.col("rows.p1").alias("parent1"), F.col("rows.p2").alias("parent2"))
+
+
 def lift_over(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, bucket: int) -> DataFrame:
     """Points in the coordinates of another assembly: blocks (keys, start, end, target, target_start, strand)."""
     hit = interval_join(points, blocks, keys, pos, "start", "end", bucket, closed=False)

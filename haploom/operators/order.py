@@ -21,6 +21,23 @@ def natural_sort(df: DataFrame, name: str, *then: str) -> DataFrame:
     return df.orderBy(number.asc_nulls_first(), text, *then)
 
 
+def version_key(name: Column) -> Column:
+    """Sort key of version order: text and numbers in turn, numbers by value whatever their zeros and length.
+
+    In texts the end comes first, but for '~' before it; then letters by their bytes, then all other characters.
+    """
+    text, digits = (F.regexp_extract_all(name, F.lit(r"([^0-9]*)([0-9]*)"), F.lit(i)) for i in (1, 2))
+    letter = lambda c: F.when(c == "~", -1).when(c.rlike("[A-Za-z]"), F.ascii(c)).otherwise(F.ascii(c) + 256)
+    places = lambda t: F.concat(F.transform(F.filter(F.split(t, ""), lambda c: c != ""), letter), F.array(F.lit(0)))
+    plain = lambda d: F.regexp_replace(d, "^0+", "")
+    return F.transform(F.arrays_zip(text.alias("t"), digits.alias("d")), lambda x: F.struct(places(x["t"]).alias("t"), F.length(plain(x["d"])).alias("n"), plain(x["d"]).alias("d")))
+
+
+def version_sort(df: DataFrame, name: str, *then: str) -> DataFrame:
+    """Rows in version order of ``name``, then by further columns as they are (numbers by value), then by the name itself."""
+    return df.orderBy(version_key(F.col(name)), *then, name)
+
+
 def with_ordinal(df: DataFrame, by: list, partition: list[str] | None = None, name: str = "ord") -> DataFrame:
     """Number rows from 0 in a stated order, for each key of ``partition``."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*(partition or [])).orderBy(*by)) - 1)
@@ -170,6 +187,37 @@ def zip_join(left: DataFrame, right: DataFrame, keys: list[str], left_by: list,
     return with_ordinal(left, left_by, keys, "__ord").join(with_ordinal(right, right_by, keys, "__ord"), [*keys, "__ord"]).drop("__ord")
 
 
+def checked_zip(left: DataFrame, right: DataFrame, keys: list[str], left_by: list, right_by: list, what: tuple[str, str] = ("left", "right")) -> DataFrame:
+    """``zip_join`` for sides that must be equally long: other counts are an error that names both.
+
+    The counts are joined to the rows and compared where the rows are read, so there is no action before; with
+    ``keys``, each key's counts must agree (a key that one side lacks counts 0 there).
+    """
+    one = [*keys, "__one"]
+    count = lambda df, name: df.withColumn("__one", F.lit(1)).groupBy(*one).agg(F.count("*").alias(name))
+    both = count(left, "__l").join(count(right, "__r"), one, "full_outer").na.fill(0, ["__l", "__r"])
+    message = F.concat(F.lit(f"{what[0]} has "), F.col("__l").cast("string"), F.lit(f" rows, {what[1]} has "), F.col("__r").cast("string"))
+    agreed = both.withColumn("__ok", F.when(F.col("__l") == F.col("__r"), True).otherwise(F.raise_error(message).cast("boolean"))).select(*one, "__ok")
+    sides = [numbered(df.withColumn("__one", F.lit(1)), by, one, "__ord") for df, by in ((left, left_by), (right, right_by))]
+    # the counts lead, so that an empty side cannot be left out before they are compared
+    joined = agreed.where("__ok").join(sides[0], one, "left").join(sides[1], [*one, "__ord"], "left")
+    return joined.drop("__ord", "__one", "__ok")
+
+
+def joint_argmax(matrix: Column, known: bool = False) -> Column:
+    """(i, j) of the largest element of an array of rows, the first of equal ones row by row; ``known``: the last class of
+    either side, which stands for unknown, takes no part. Rows are compared by their maxima; no product is laid out."""
+    cut = (lambda a: F.slice(a, 1, F.size(a) - 1)) if known else (lambda a: a)
+    row = argmax(F.transform(cut(matrix), lambda r: F.array_max(cut(r))))
+    return F.struct(row.alias("i"), argmax(cut(F.get(matrix, row))).alias("j"))
+
+
+def joint_argmax_of(first: Column, second: Column, known: bool = False) -> Column:
+    """The same for scores that are sums of one value for each side: the argmax of each."""
+    pick = argmax_known if known else argmax
+    return F.struct(pick(first).alias("i"), pick(second).alias("j"))
+
+
 def highlights(df: DataFrame, by: list, value: str, n: int = 50) -> DataFrame:
     """The first non-zero cells."""
     return df.where(F.col(value) != 0).orderBy(*by).limit(n)
@@ -178,7 +226,8 @@ def highlights(df: DataFrame, by: list, value: str, n: int = 50) -> DataFrame:
 def renumbered(names: DataFrame, name: str, number: str) -> DataFrame:
     """Old and new number of each name in natural order, to reorder rows and to map paths back."""
     key, text = natural_key(F.col(name))
-    return names.withColumn("place", F.row_number().over(W.orderBy(key, text)) - 1).select(name, number, "place")
+    laid = names.select(name, number, key.alias("__key"))
+    return numbered(laid, [F.asc_nulls_first("__key"), name, number], name="place").select(name, number, "place")
 
 
 def sort_by(df: DataFrame, column: str, descending: bool, *ties: str) -> DataFrame:

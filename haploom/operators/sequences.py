@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from haploom.operators.order import hashed_uniform, numbered, running_sum
+from haploom.session import staged
+
 
 def blocks_to_sequence(blocks: DataFrame, reference: DataFrame, fill: str = "N", no_call: str = "N") -> DataFrame:
     """contig, seq of a sample from ordered blocks (contig, start, end, alt; 1-based, closed; null alt: reference).
@@ -30,6 +33,39 @@ def out_of_order(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("__s", F.lag("start").over(order)).where(F.col("start") <= F.col("__s")).drop("__s")
 
 
+def marked_blocks(records: DataFrame, rate: float, min_block: int, seed: int) -> DataFrame:
+    """Records (contig, start, end, is_ref) with ``block`` and ``kept``, written once: what ``downsample_blocks`` keeps
+    and the blocks' sizes are both read from it.
+
+    A draw is made at the first variant after a reference block of ``min_block`` or more, and at a contig's first
+    variant; ``block`` numbers the draws of a contig (a record before the first has 0), ``drawn`` tells the variants where they are made. Blocks
+    are counted by ranges of records (``order.running_sum``), not in one task a contig.
+    """
+    qualifies = (F.col("is_ref") & (F.col("end") - F.col("start") + 1 >= min_block)).cast("long")
+    seen = running_sum(records, ["start", "end"], qualifies, ["contig"], "__seen")
+    # of the variants between two qualifying blocks the first one draws
+    first = seen.where("NOT is_ref").groupBy("contig", "__seen").agg(F.min(F.struct("start", "end")).alias("__first"))
+    told = seen.join(first, ["contig", "__seen"], "left").withColumn("drawn", ~F.col("is_ref") & (F.struct("start", "end") == F.col("__first")))
+    told = running_sum(told.drop("__first", "__seen"), ["start", "end"], F.col("drawn").cast("long"), ["contig"], "block").withColumn("block", F.col("block") + F.col("drawn").cast("long"))
+    return staged(told.withColumn("kept", (F.col("block") == 0) | (hashed_uniform("contig", "block", seed=seed) < rate)), "marked")
+
+
+def kept_records(marked: DataFrame, keep_ref: bool = True) -> DataFrame:
+    """Variants of kept blocks, and reference records: all of them, or those of kept blocks."""
+    return marked.where("kept OR is_ref" if keep_ref else "kept")
+
+
+def block_sizes(marked: DataFrame) -> DataFrame:
+    """contig, start, size, id of every change between keeping and dropping: the distance from the change before it (from
+    0, if it is the first) and what ends there, 'query' (kept until now) or 'ref'. A contig begins as kept."""
+    draws = marked.where("drawn").select("contig", "block", "start", "kept")
+    before = draws.select("contig", (F.col("block") + 1).alias("block"), F.col("kept").alias("__before"))
+    changes = draws.join(before, ["contig", "block"], "left").where(F.coalesce("__before", F.lit(True)) != F.col("kept"))
+    placed = numbered(changes.select("contig", "start", "kept"), ["start"], ["contig"], "__n")
+    last = placed.select("contig", (F.col("__n") + 1).alias("__n"), F.col("start").alias("__from"))
+    return placed.join(last, ["contig", "__n"], "left").select("contig", "start", (F.col("start") - F.coalesce("__from", F.lit(0))).alias("size"), F.when(F.col("kept"), "ref").otherwise("query").alias("id"))
+
+
 def downsample_blocks(records: DataFrame, rate: float, min_block: int, seed: int) -> DataFrame:
     """Keep or drop whole stretches of records: the draw is made anew only at the first variant after a
     reference block of ``min_block`` or more, or on a new contig."""
@@ -38,8 +74,6 @@ def downsample_blocks(records: DataFrame, rate: float, min_block: int, seed: int
     qualifies = (F.col("is_ref") & (F.col("end") - F.col("start") + 1 >= min_block)).cast("int")
     marked = records.withColumn("__seen", F.coalesce(F.sum(qualifies).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     marked = marked.withColumn("block", F.max(F.when(~F.col("is_ref"), F.col("__seen"))).over(until)).withColumn("block", F.coalesce("block", F.lit(0)))
-    from haploom.operators.order import hashed_uniform
-
     return marked.where(hashed_uniform("contig", "block", seed=seed) < rate).drop("__seen")
 
 

@@ -79,12 +79,17 @@ def pair_states(spark, k: int) -> DataFrame:
     return one.join(F.broadcast(two), F.col("i") <= F.col("j")).withColumn("pair", pair_index(F.col("i"), F.col("j"), k))
 
 
+def switches(i1: Column, j1: Column, i2: Column, j2: Column) -> Column:
+    """Founders that change between two unordered pairs: 0, 1 or 2."""
+    ne = lambda x, y: (x != y).cast("int")
+    return F.least(ne(i1, i2) + ne(j1, j2), ne(i1, j2) + ne(j1, i2))
+
+
 def switch_matrix(spark, k: int) -> DataFrame:
     """Founders that change between every two unordered pairs: 0, 1 or 2."""
     p = pair_states(spark, k)
     a, b = p.select(F.col("pair").alias("p"), F.col("i").alias("i1"), F.col("j").alias("j1")), p.select(F.col("pair").alias("q"), F.col("i").alias("i2"), F.col("j").alias("j2"))
-    ne = lambda x, y: (F.col(x) != F.col(y)).cast("int")
-    return a.crossJoin(F.broadcast(b)).select("p", "q", F.least(ne("i1", "i2") + ne("j1", "j2"), ne("i1", "j2") + ne("j1", "i2")).alias("switches"))
+    return a.crossJoin(F.broadcast(b)).select("p", "q", switches(*map(F.col, ("i1", "j1", "i2", "j2"))).alias("switches"))
 
 
 def mask_sites(sites: DataFrame, keys: list[str], k: int, fraction: float, seed: int) -> DataFrame:

@@ -419,7 +419,9 @@ def fasta_file(s, d):
     return back.join(ranges.select("contig", F.col("seq").alias("part")), "contig").select("contig", "seq", "part")
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS pair FROM (SELECT unnest(range(40)) AS i) CROSS JOIN (SELECT unnest(range(40)) AS j) WHERE i <= j")
+@query(with_views(f"SELECT CAST(least(p1, p2) AS INTEGER) AS i, CAST(greatest(p1, p2) AS INTEGER) AS j, {Q._PAIR} AS pair FROM called GROUP BY ALL", "path", "second", more=Q._CALLED))
 def pair_members(s, d):
-    i, j = sites.pair_members(F.col("id"), 40)
-    return s.range(40 * 41 // 2).select(i.alias("i"), j.alias("j"), F.col("id").cast("int").alias("pair"))
+    """The called pairs from their places."""
+    pairs = Q.pair_index(s, d).select("pair")
+    i, j = sites.pair_members(F.col("pair"), K)
+    return pairs.select(i.alias("i"), j.alias("j"), "pair")

@@ -642,17 +642,36 @@ def sorted_top(s, d):
 
 # --- pairs, arrays, scalars -------------------------------------------------------------------
 
-_PAIRS = "pairs AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS pair FROM (SELECT unnest(range(24)) AS i) CROSS JOIN (SELECT unnest(range(24)) AS j) WHERE i <= j)"
+_PAIR = f"CAST(least(p1, p2) * {K} - least(p1, p2) * (least(p1, p2) - 1) // 2 + greatest(p1, p2) - least(p1, p2) AS INTEGER)"
+_CALLED = "called AS (SELECT p.contig, p.pos, p1, p2 FROM path p JOIN second s ON s.contig = p.contig AND s.pos = p.pos)"
 
 
-@query(f"WITH {_PAIRS} SELECT i, j, pair FROM pairs")
+def _called(s, d):
+    return V.path(s, d).join(V.second(s, d), ["contig", "pos"]).select("contig", "pos", "p1", "p2")
+
+
+@query(with_views(f"SELECT CAST(least(p1, p2) AS INTEGER) AS i, CAST(greatest(p1, p2) AS INTEGER) AS j, {_PAIR} AS pair, count(*) AS n FROM called GROUP BY ALL", "path", "second", more=_CALLED))
 def pair_index(s, d):
-    return sites.pair_states(s, 24)
+    """The pairs that two opinions call, with their places."""
+    i, j = F.least("p1", "p2"), F.greatest("p1", "p2")
+    return _called(s, d).groupBy(i.alias("i"), j.alias("j")).agg(F.count("*").alias("n")).withColumn("pair", sites.pair_index(F.col("i"), F.col("j"), K))
 
 
-@query(f"WITH {_PAIRS} SELECT a.pair AS p, b.pair AS q, least(CAST(a.i <> b.i AS INTEGER) + CAST(a.j <> b.j AS INTEGER), CAST(a.i <> b.j AS INTEGER) + CAST(a.j <> b.i AS INTEGER)) AS switches FROM pairs a CROSS JOIN pairs b")
+@query(
+    with_views(
+        """SELECT a, b, count(*) AS n, min(least(CAST(p1 <> q1 AS INTEGER) + CAST(p2 <> q2 AS INTEGER), CAST(p1 <> q2 AS INTEGER) + CAST(p2 <> q1 AS INTEGER))) AS switches FROM (
+          SELECT p1, p2, lead(p1) OVER w AS q1, lead(p2) OVER w AS q2, pair AS a, lead(pair) OVER w AS b FROM numbered WINDOW w AS (PARTITION BY contig ORDER BY pos)) WHERE b IS NOT NULL GROUP BY a, b""",
+        "path",
+        "second",
+        more=f"{_CALLED}, numbered AS (SELECT *, {_PAIR} AS pair FROM called)",
+    )
+)
 def pair_switch_matrix(s, d):
-    return sites.switch_matrix(s, 24)
+    """How often each called pair follows another, and how many founders change between them."""
+    w = W.partitionBy("contig").orderBy("pos")
+    called = _called(s, d).withColumn("a", sites.pair_index(F.col("p1"), F.col("p2"), K))
+    moved = called.withColumns({"b": F.lead("a").over(w), "q1": F.lead("p1").over(w), "q2": F.lead("p2").over(w)}).where("b IS NOT NULL")
+    return moved.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(sites.switches(*map(F.col, ("p1", "p2", "q1", "q2")))).alias("switches"))
 
 
 @query(
@@ -754,18 +773,19 @@ def crf_marginal(s, d):
     return kernels.posterior(V.features(s, d), ["contig"], "pos").withColumn("log_p", F.round("log_p", 6))
 
 
-def _lengths(s):
-    return s.createDataFrame([(f"chr{i}", 1_000_000 * (i + 1)) for i in range(5)], "chrom string, length long")
+def _lengths(s, d):
+    """Contigs of the spans, a hundred times as long."""
+    return V.lengths(s, d).select("chrom", (F.col("length") * 100).alias("length"))
 
 
 @query()
 def sim_crossovers(s, d):
-    return simulate.crossovers(s, _lengths(s), 100, 50_000, 400_000, 7)
+    return simulate.crossovers(s, _lengths(s, d), 100, 50_000, 400_000, 7)
 
 
 @query()
 def sim_mosaics(s, d):
-    return simulate.mosaics(_lengths(s), [f"founder{i}" for i in range(8)], 6, 50_000, 400_000, 7)
+    return simulate.mosaics(_lengths(s, d), [f"founder{i}" for i in range(8)], 6, 50_000, 400_000, 7)
 
 
 @query()
@@ -779,4 +799,4 @@ def hashed_sample(s, d):
     return order.hashed_sample(V.path(s, d).withColumn("site", F.concat_ws("_", "contig", "pos")), "site", 500, 3)
 
 
-from haploom.plans import more_queries  # noqa: E402, F401
+from haploom.plans import more_queries, store_queries  # noqa: E402, F401
