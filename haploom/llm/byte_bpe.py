@@ -21,7 +21,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haploom.llm.textkit import Numbers, keyed_texts, pretokenizer, slices
+from haploom.llm.textkit import Numbers, keyed_texts, pretokenizer, slices, tidy
 
 #: Words whose ids a Python worker keeps between batches; others are replayed again.
 MEMO_WORDS = 500_000
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return keyed_texts(docs, id_col, text_col).mapInArrow(tidy(run), schema + (", ids array<int>" if with_ids else ""))
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -299,7 +299,7 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
                 texts = [b"".join([tokens[i] for i in ids or ()]).decode("utf-8", "replace") for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return coded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`")).mapInArrow(run, "doc_id long, text string")
+    return coded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`")).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

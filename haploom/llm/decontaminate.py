@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haploom.llm.textkit import keyed_texts, slices
+from haploom.llm.textkit import keyed_texts, slices, tidy
 
 #: Characters in a q-gram.
 Q = 8
@@ -290,7 +290,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                         arrays = [pa.array([ids[i] for i in columns[0]], kinds[0]), *(pa.array(c, k) for c, k in zip(columns[1:], kinds[1:], strict=True))]
                         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "begin", "end", "edits", "shared"])
 
-        part = keyed_texts(docs, id_col, text_col).mapInArrow(run, schema)
+        part = keyed_texts(docs, id_col, text_col).mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -308,7 +308,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     leaks = {x[0] for x in scan(texts, shared.value)}
                     yield part.filter(pa.array([i not in leaks for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from haploom.llm.bitmaps import bitmap, has_bits, set_bits
 from haploom.llm.components import components
 from haploom.llm.shingles import mix, set_class, shingle_sets
-from haploom.llm.textkit import BUCKETS_PER_PARTITION, grouped, keyed_texts, slices
+from haploom.llm.textkit import BUCKETS_PER_PARTITION, grouped, keyed_texts, slices, tidy
 from haploom.session import shuffle_partitions, staged
 
 #: Largest group of which all pairs are candidates; larger ones are compared in blocks.
@@ -512,7 +512,7 @@ def _compared(visits: DataFrame, classes: DataFrame, sets: DataFrame, num: int,
     of = F.pmod(F.xxhash64("node"), F.when(F.col("visiting"), F.col("nv")).otherwise(F.col("nm"))).cast("int")
     dealt = visits.join(plan, "home").select("home", "visiting", of.alias("block"), "node").join(sets, "node")
     dealt = dealt.repartition(parts, "home", "visiting", "block").sortWithinPartitions("home", "visiting", "block")
-    packed = staged(dealt.select("home", "visiting", "block", "node", "set").mapInArrow(_pack, "home long, visiting boolean, block int, nodes binary, sizes binary, sets binary"), "packed")
+    packed = staged(dealt.select("home", "visiting", "block", "node", "set").mapInArrow(tidy(_pack), "home long, visiting boolean, block int, nodes binary, sizes binary, sets binary"), "packed")
     # a block of members meets every block of members and of visitors; a block of visitors every block of members
     with_members = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda x: F.struct(F.least(x, "block").alias("i"), F.lit(False).alias("v"), F.greatest(x, "block").alias("j")))
     with_visitors = F.when(F.col("nv") > 0, F.transform(F.sequence(F.lit(0), F.col("nv") - 1), lambda x: F.struct(F.col("block").alias("i"), F.lit(True).alias("v"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,v:boolean,j:int>>"))
@@ -520,7 +520,7 @@ def _compared(visits: DataFrame, classes: DataFrame, sets: DataFrame, num: int,
     met = packed.join(plan, "home").withColumn("pair", F.explode(F.when(F.col("visiting"), as_visitors).otherwise(F.concat(with_members, with_visitors))))
     met = met.select("home", F.col("pair.i").alias("i"), F.col("pair.v").alias("v"), F.col("pair.j").alias("j"), F.col("visiting").alias("from"), "block", "nodes", "sizes", "sets")
     met = met.repartition(parts, "home", "i", "v", "j").sortWithinPartitions("home", "i", "v", "j", "from", "block")
-    got = staged(met.select("home", "i", F.col("v").alias("visiting"), "j", "nodes", "sizes", "sets").mapInArrow(lambda it: _compare(it, num, den), "node long, root long, links long"), "compared")
+    got = staged(met.select("home", "i", F.col("v").alias("visiting"), "j", "nodes", "sizes", "sets").mapInArrow(tidy(lambda it: _compare(it, num, den)), "node long, root long, links long"), "compared")
     return got.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), got.select("node", "links")
 
 
@@ -548,17 +548,17 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
                     names=["doc_id", "n_shingles", "class", "vector"],
                 )
 
-    named = staged(texts.mapInArrow(name_all, "doc_id long, n_shingles long, class long, vector binary"), "named")
+    named = staged(texts.mapInArrow(tidy(name_all), "doc_id long, n_shingles long, class long, vector binary"), "named")
     classes = (
         named.where("class IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy(F.col("class").alias("node"))
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("vector").alias("vector"))
     )
     classes = staged(classes, "classes")
-    index = with_id.mapInArrow(lambda it: _index(it, k, num, den, buckets), INDEX)
+    index = with_id.mapInArrow(tidy(lambda it: _index(it, k, num, den, buckets)), INDEX)
     # several buckets of signatures come to one task; it holds one of them at a time
     dealt = index.repartition(parts, "p").sortWithinPartitions("p")
-    found = staged(dealt.mapInArrow(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den)), "a long, b long, g long"), "candidates")
+    found = staged(dealt.mapInArrow(tidy(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den))), "a long, b long, g long"), "candidates")
 
     def side(letter: str) -> DataFrame:
         return classes.select(F.col("node").alias(letter), F.col("n").alias(f"n{letter}"), F.col("vector").alias(f"v{letter}"), F.col("doc_id").alias(f"d{letter}"))
@@ -569,17 +569,17 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         kept = pairs.join(side("a").select("a", "da"), "a").join(side("b").select("b", "db"), "b")
         left = kept.join(whole.select(F.col("doc_id").alias("da"), F.col("text").alias("ta")), "da")
         both = left.join(whole.select(F.col("doc_id").alias("db"), F.col("text").alias("tb")), "db")
-        return staged(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verify(it, k, num, den), "a long, b long").distinct(), "verified")
+        return staged(both.select("a", "b", "ta", "tb").mapInArrow(tidy(lambda it: _verify(it, k, num, den)), "a long, b long").distinct(), "verified")
 
     pairs = found.where("g IS NULL").select("a", "b")
     members = staged(found.where("g IS NOT NULL").select(F.col("a").alias("node"), "g").distinct(), "members")
     sets = None
     if not members.isEmpty():
         asked = members.select("node").distinct().join(classes.select("node", "doc_id"), "node")
-        sets = staged(asked.join(with_id, "doc_id").select("node", "text").mapInArrow(lambda it: _set_rows(it, k), "node long, set binary").dropDuplicates(["node"]), "sets")
-        frequent = bitmap(_telling(members, sets).mapInArrow(lambda it: set_bits(_frequent(it)), "w int, bits long"))
-        again = sets.mapInArrow(lambda it: _index_rare(it, num, den, buckets, frequent), INDEX).repartition(parts, "p").sortWithinPartitions("p")
-        second = staged(again.mapInArrow(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den)), "a long, b long, g long"), "candidates")
+        sets = staged(asked.join(with_id, "doc_id").select("node", "text").mapInArrow(tidy(lambda it: _set_rows(it, k)), "node long, set binary").dropDuplicates(["node"]), "sets")
+        frequent = bitmap(_telling(members, sets).mapInArrow(tidy(lambda it: set_bits(_frequent(it))), "w int, bits long"))
+        again = sets.mapInArrow(tidy(lambda it: _index_rare(it, num, den, buckets, frequent)), INDEX).repartition(parts, "p").sortWithinPartitions("p")
+        second = staged(again.mapInArrow(tidy(lambda it: (x for own in grouped(it) for x in _pairs(own, num, den))), "a long, b long, g long"), "candidates")
         pairs = pairs.union(second.where("g IS NULL").select("a", "b"))
         common = second.where("g = -1").select(F.col("a").alias("node")).distinct()
         # names of groups of the second partition do not clash with those of the first
@@ -598,7 +598,7 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str = "d
         at = at.withColumn("node", F.when(later, F.col("a")).otherwise(F.col("b"))).withColumn("home", F.when(later, F.col("hb")).when(~later, F.col("ha")))
         candidates = at.join(visits.select("node", "home"), ["node", "home"], "left_anti").select("a", "b")
     measured = candidates.join(side("a").drop("da"), "a").join(side("b").drop("db"), "b").select("a", "b", "na", "nb", "va", "vb")
-    links = verified(staged(measured.mapInArrow(lambda it: _bounded(it, num, den), "a long, b long"), "bounded"))
+    links = verified(staged(measured.mapInArrow(tidy(lambda it: _bounded(it, num, den)), "a long, b long"), "bounded"))
     counts = links.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("links")).union(links.select("b", F.lit(1).cast("long")))
     if joined is not None:
         links, counts = links.union(joined), counts.union(counted)

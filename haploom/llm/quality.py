@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haploom.llm.linear import dual_descent, held_out, labelled_sample, platt
-from haploom.llm.textkit import keyed_texts, slices
+from haploom.llm.textkit import keyed_texts, slices, tidy
 
 #: Bits of a hashed n-gram's number.
 BITS = 18
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     got: dict[int, bytes] = {}
     if chosen:
-        found = keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, grams binary").toArrow()
+        found = keyed_texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, grams binary").toArrow()
         for x, grams in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
             got[x] = max(grams, got.get(x, b""))
     wanted.unpersist()
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
                 scores = shared.value.scores(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
-    scored = keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = keyed_texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -164,7 +164,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
                 scores = shared.value.scores([t or "" for t in part.column(names.index(text_col)).to_pylist()])
                 yield part.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
