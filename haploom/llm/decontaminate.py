@@ -3,7 +3,8 @@
 A place that holds an item with at most e edits shares at least ``L - q + 1 - q * e`` q-grams with it,
 all on diagonals (place in the document less place in the item) within e of each other. Shared q-grams
 are counted in overlapping diagonal bands two budgets wide; bands that reach the bound are verified by
-banded alignment. Items of fewer than two q-grams' letters say little, so they count only where they stand
+banded alignment. Where eight letters are too many for an item to share one with a place at its full budget, it is indexed by shorter
+q-grams. Items of fewer than 16 letters say little, so they count only where they stand
 exactly, as whole words; the shortest, of less than one q-gram, are looked up by all their letters.
 Documents are scanned where they are read; nothing is shuffled.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from haploom.llm.textkit import keyed_texts, slices, tidy
 
-#: Characters in a q-gram.
+#: Characters in a q-gram, for items that share at least one at their full budget.
 Q = 8
 #: Edits allowed, as a share of an item's letters and digits.
 EDITS = 0.1
@@ -75,8 +76,9 @@ def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings of the q-grams of a block of items."""
+    """Postings of the q-grams of a block of items; ``others``: the same of items that need a shorter q."""
 
+    q: int
     ids: list[int]
     items: list[np.ndarray]
     budget: np.ndarray
@@ -88,32 +90,47 @@ class Index:
     filter: np.ndarray
     #: (letters, ordered distinct numbers of items of so many letters, the ids of each)
     short: list[tuple[int, np.ndarray, list[list[int]]]]
+    others: list[Index]
 
 
 def build(rows: list[tuple[int, str]], edits: float = EDITS) -> Index:
     """Index items; those without letters or digits are nowhere to be found."""
-    ids, items = [], []
     few: dict[int, dict[int, list[int]]] = {}
+    by: dict[int, list[tuple[int, np.ndarray, int]]] = {}
     for i, text in rows:
         codes, _ = coded(text or "")
         if len(codes) >= Q:
-            ids.append(i)
-            items.append(codes)
+            budget = allowed(len(codes), edits)
+            # e edits leave one of e + 1 pieces as it is, so this q leaves a bound of at least one
+            by.setdefault(min(Q, len(codes) // (budget + 1)), []).append((i, codes, budget))
         elif len(codes):
             few.setdefault(len(codes), {}).setdefault(int(qgrams(codes, len(codes))[0]), []).append(i)
+    short = [(n, np.array(sorted(x), dtype=np.uint64), [sorted(set(x[k])) for k in sorted(x)]) for n, x in sorted(few.items())]
+    index = _postings(by.pop(Q, []), Q, short)
+    index.others = [_postings(by[q], q, []) for q in sorted(by)]
+    return index
+
+
+def allowed(letters: int, edits: float = EDITS) -> int:
+    """The edit budget of an item of so many letters and digits."""
+    return int(letters * edits) if letters >= EXACT_BELOW else 0
+
+
+def _postings(held: list[tuple[int, np.ndarray, int]], q: int, short: list) -> Index:
+    """Postings of (id, codes, budget) by q-grams of one length."""
+    ids, items = [x[0] for x in held], [x[1] for x in held]
     lengths = np.array([len(c) for c in items], dtype=np.int64)
-    budget = np.minimum((lengths * edits).astype(np.int64), (lengths - Q) // Q)
-    bound = lengths - Q + 1 - Q * budget
-    grams = np.concatenate([qgrams(c) for c in items]) if items else np.empty(0, dtype=np.uint64)
-    counts = np.maximum(lengths - Q + 1, 0)
+    budget = np.array([x[2] for x in held], dtype=np.int64)
+    bound = lengths - q + 1 - q * budget
+    grams = np.concatenate([qgrams(c, q) for c in items]) if items else np.empty(0, dtype=np.uint64)
+    counts = lengths - q + 1
     item = np.repeat(np.arange(len(items), dtype=np.int32), counts)
     place = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if items else np.empty(0, dtype=np.int32)
     order = np.argsort(grams, kind="stable")
     distinct, first = np.unique(grams[order], return_index=True)
     table = np.zeros(1 << FILTER_BITS, dtype=bool)
     table[(distinct * _MIX) >> np.uint64(64 - FILTER_BITS)] = True
-    short = [(n, np.array(sorted(x), dtype=np.uint64), [sorted(set(x[k])) for k in sorted(x)]) for n, x in sorted(few.items())]
-    return Index(ids, items, budget, bound, distinct, np.append(first, len(grams)), item[order], place[order], table, short)
+    return Index(q, ids, items, budget, bound, distinct, np.append(first, len(grams)), item[order], place[order], table, short, [])
 
 
 def align(item: np.ndarray, region: np.ndarray, shift: int, budget: int) -> tuple[int, int, int] | None:
@@ -195,8 +212,16 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int,
     """
     coded_texts = [coded(text) for text in texts]
     out = list(_short_places(texts, coded_texts, index))
+    for part in (index, *index.others):
+        out += _long_places(texts, coded_texts, part)
+    return sorted(out)
+
+
+def _long_places(texts: list[str], coded_texts: list[tuple[np.ndarray, np.ndarray]], index: Index) -> list[tuple[int, int, int, int, int, int]]:
+    """Places of the items that have q-grams of the index's length."""
     if not index.items:
-        return sorted(out)
+        return []
+    out = []
     parts, places, starts, size = [], [], [], 0
     gap = np.zeros(Q, dtype=np.uint8)
     for codes, own in coded_texts:
@@ -205,18 +230,18 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int,
         places.append(own)
         size += len(codes) + Q
     all_codes = np.concatenate([*parts, gap[:0]])
-    grams = qgrams(all_codes)
+    grams = qgrams(all_codes, index.q)
     hits = np.flatnonzero(index.filter[(grams * _MIX) >> np.uint64(64 - FILTER_BITS)])
     at = np.searchsorted(index.grams, grams[hits])
     at[at == len(index.grams)] = 0
     real = index.grams[at] == grams[hits]
     hits, at = hits[real], at[real]
     if not len(hits):
-        return sorted(out)
+        return []
     n = index.first[at + 1] - index.first[at]
     if n.sum() > MOST_SHARED and len(texts) > 1:
         half = len(texts) // 2
-        return scan(texts[:half], index) + [(x[0] + half, *x[1:]) for x in scan(texts[half:], index)]
+        return _long_places(texts[:half], coded_texts[:half], index) + [(x[0] + half, *x[1:]) for x in _long_places(texts[half:], coded_texts[half:], index)]
     posting = np.repeat(index.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
     item = index.item[posting].astype(np.int64)
     diagonal = np.repeat(hits, n) - index.place[posting] + (1 << 14)
@@ -251,7 +276,7 @@ def scan(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int,
     for (doc, which), got in found.items():
         own = places[doc]
         out += [(doc, index.ids[which], int(own[begin]), int(own[end - 1]) + 1, edits, shared) for edits, begin, end, shared in _apart(got)]
-    return sorted(out)
+    return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
@@ -267,7 +292,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, begin, end, edits, shared: each place where a document holds an item within the edit budget.
 
-    The budget is ``EDITS`` of an item's letters and digits; items of fewer than ``EXACT_BELOW`` must stand
+    The budget is ``EDITS`` of an item's letters and digits, rounded down; items of fewer than ``EXACT_BELOW`` must stand
     exactly, as whole words, and items without any are not looked for. Places of one item do not overlap.
     ``begin`` and ``end`` are characters of the text. Null or empty texts hold nothing; repeated rows
     give repeated results; with an empty table on either side the result is empty. An item id that

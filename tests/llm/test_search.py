@@ -301,12 +301,13 @@ def least_edits(item, text):
 
 def test_items_of_every_length_against_brute_force():
     rng = random.Random(21)
+    assert decontaminate.EDITS == 0.1
     items = [(n, "".join(rng.choice("abcdefgh") for _ in range(n))) for n in range(3, 41)] + [(99, "?!"), (50, "What is the capital of France?"), (51, "Why?")]
     index = decontaminate.build(items)
     texts = ["So: what is the Capital of france?! Why not, whyever"]
     for n in range(260):
         own = list(dict(items)[3 + n % 38])
-        for _ in range(rng.randrange(0, 2 + len(own) // 8)):
+        for _ in range(rng.choice([len(own) // 10, rng.randrange(0, 2 + len(own) // 8)])):
             at = rng.randrange(len(own))
             own[at : at + 1] = rng.choice([[], ["z"], [own[at], "z"]])
         words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(12)]
@@ -321,8 +322,7 @@ def test_items_of_every_length_against_brute_force():
                 if re.search(r"(?<![a-z0-9])" + r" *".join(flat) + r"(?![a-z0-9])", words):
                     want.add((d, i))
             elif flat:
-                budget = min(int(len(flat) * decontaminate.EDITS), (len(flat) - decontaminate.Q) // decontaminate.Q)
-                if least_edits(flat, words.replace(" ", "")) <= budget:
+                if least_edits(flat, words.replace(" ", "")) <= len(flat) // 10:
                     want.add((d, i))
     assert got == want and len(want) > 120 and {(0, 50), (0, 51)} <= got
 
