@@ -2,9 +2,10 @@
 
 Lines that begin with ``>`` marks are quoted, as deep as they have marks. A passage is a run of quoted
 lines of one depth between blank lines; its words in lower case, parted by single blanks, are hashed.
-What a message says itself is hashed in the same way, as a whole and by paragraphs. A passage is
+What a message says itself is hashed in the same way, as a whole, by paragraphs, by lines and by sentences. A passage is
 joined to the last earlier message of its conversation that says it, else to the first message of
-any other conversation that does. A message replies to what its shallowest quotes lead to; replies
+any other conversation that does; a passage of several sentences that no message says as it is, such as a part of
+a paragraph, is looked for by its longest one. A message replies to what its shallowest quotes lead to; replies
 are ordered below what they reply to, and bodies come without quotes.
 """
 
@@ -20,13 +21,21 @@ from haploom.session import staged
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
 #: A whole quoted line, with the line break after it.
 QUOTED_LINE = r"(?m)^[ \t]*>[^\n]*(?:\n|\z)"
+#: What ends a sentence, and words of a line or sentence that counts by itself: shorter ones are said too often.
+SENTENCE_END = r"[.!?]+[ \t\r\n]+"
+UNIT_WORDS = 3
 #: Turns in a bucket of the search for the last earlier message.
 BUCKET = 256
 
 
 def _plain(text: Column) -> Column:
-    """Words in lower case, parted by single blanks."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "))
+    """Words in lower case, parted by single blanks, without a mark at the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " "), r"[ .!?]+\z", ""))
+
+
+def _telling(words: Column) -> Column:
+    """Whether a line or sentence (as ``_plain``) is long enough to count by itself."""
+    return F.size(F.split(words, " ")) >= UNIT_WORDS
 
 
 def messages(conversations: DataFrame) -> DataFrame:
@@ -40,7 +49,8 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def passages(said: DataFrame) -> DataFrame:
-    """key, conv_id, turn, depth, passage, h: the quoted passages of messages."""
+    """key, conv_id, turn, run, depth, passage, h, h_part: the quoted passages of messages; ``h_part`` is the hash of the
+    longest of several sentences (the first of equal ones), null if there is none that counts by itself."""
     lines = said.where("has_quotes").select("key", "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     marks = F.regexp_extract("line", MARKS, 0)
     lines = lines.select("key", "conv_id", "turn", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("depth"), F.trim(F.regexp_replace("line", MARKS, "")).alias("words"))
@@ -49,15 +59,19 @@ def passages(said: DataFrame) -> DataFrame:
     new = (F.col("depth") != F.coalesce(F.lag("depth").over(order), F.lit(-1))).cast("int")
     runs = lines.withColumn("new", new).withColumn("run", F.sum("new").over(order)).where("depth > 0")
     whole = runs.groupBy("key", "conv_id", "turn", "run", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]), " ").alias("passage"))
-    return whole.withColumn("h", F.md5(_plain(F.col("passage")))).select("key", "conv_id", "turn", "depth", "passage", "h")
+    sentences = F.split("passage", SENTENCE_END)
+    longest = F.array_max(F.transform(sentences, lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("at"), s.alias("s"))))["s"]
+    part = F.when((F.size(sentences) > 1) & _telling(_plain(longest)), F.md5(_plain(longest)))
+    return whole.withColumn("h", F.md5(_plain(F.col("passage")))).withColumn("h_part", part).select("key", "conv_id", "turn", "run", "depth", "passage", "h", "h_part")
 
 
 def originals(said: DataFrame) -> DataFrame:
-    """conv_id, turn, h: hashes of what each message says itself, as a whole and by paragraphs."""
-    units = F.array_union(F.array("body"), F.split("body", r"\n[ \t\r]*\n"))
+    """conv_id, turn, h: hashes of what each message says itself, as a whole, by paragraphs, lines and sentences."""
+    large = F.transform(F.array_union(F.array("body"), F.split("body", r"\n[ \t\r]*\n")), _plain)
+    small = F.transform(F.array_union(F.split("body", "\n"), F.split("body", SENTENCE_END)), _plain)
+    units = F.array_union(large, F.filter(small, _telling))
     each = said.where("conv_id IS NOT NULL AND turn IS NOT NULL AND body <> ''").select("conv_id", "turn", F.explode(units).alias("unit"))
-    plain = each.select("conv_id", "turn", _plain(F.col("unit")).alias("unit")).where("unit <> ''")
-    return plain.select("conv_id", "turn", F.md5("unit").alias("h"))
+    return each.where("unit <> ''").select("conv_id", "turn", F.md5("unit").alias("h"))
 
 
 def _last_before(asked: DataFrame, said: DataFrame) -> DataFrame:
@@ -94,8 +108,11 @@ def link(conversations: DataFrame) -> DataFrame:
     share conv_id and turn have a parent each, and replies to that turn follow the earliest of those.
     """
     said = staged(messages(conversations), "messages")
-    found = staged(passages(said), "passages")
+    quoted = staged(passages(said), "passages")
     units = originals(said)
+    # each passage by its own hash (way 0) and by that of its longest sentence (way 1)
+    ways = F.filter(F.array(F.struct(F.lit(0).alias("way"), F.col("h").alias("h")), F.struct(F.lit(1).alias("way"), F.col("h_part").alias("h"))), lambda w: w["h"].isNotNull())
+    found = quoted.select("key", "conv_id", "turn", "run", "depth", F.explode(ways).alias("w")).select("key", "conv_id", "turn", "run", "depth", "w.way", "w.h")
     near = _last_before(found.where("conv_id IS NOT NULL AND turn IS NOT NULL"), units)
     first = (
         units.join(found.select("h").distinct(), "h", "left_semi")
@@ -103,8 +120,9 @@ def link(conversations: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("conv_id", "turn")).alias("one"))
     )
     at = found.join(near, ["conv_id", "turn", "h"], "left").join(first, "h", "left")
-    elsewhere = F.when(F.col("found").isNull() & (F.col("one.conv_id") != F.col("conv_id")), F.col("one"))
-    linked = at.withColumn("elsewhere", elsewhere)
+    other = F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one"))
+    best = at.groupBy("key", "run", "depth").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.col("way"))).alias("found"), F.min_by(other, F.when(other.isNotNull(), F.col("way"))).alias("other"))
+    linked = best.withColumn("elsewhere", F.when(F.col("found").isNull(), F.col("other")))
     each = linked.groupBy("key").agg(
         F.max("depth").alias("quote_depth"),
         F.count("*").alias("n_passages"),
@@ -183,21 +201,30 @@ WITH RECURSIVE said AS (
 ), runs AS (
   SELECT *, sum(new) OVER (PARTITION BY key ORDER BY place) AS run FROM numbered
 ), found AS (
-  SELECT key, conv_id, turn, depth, trim(regexp_replace(lower(string_agg(words, ' ' ORDER BY place)), '[ \t\r\n]+', ' ', 'g'), ' ') AS h
-  FROM runs WHERE depth > 0 GROUP BY key, conv_id, turn, run, depth
+  SELECT key, conv_id, turn, run, depth, string_agg(words, ' ' ORDER BY place) AS passage FROM runs WHERE depth > 0 GROUP BY key, conv_id, turn, run, depth
+), parts AS (
+  SELECT *, regexp_split_to_array(passage, '[.!?]+[ \t\r\n]+') AS s FROM found
+), longest AS (
+  SELECT *, list_sort(list_transform(range(len(s)), lambda i: {'n': length(s[i + 1]), 'at': -i, 's': s[i + 1]}), 'DESC')[1].s AS part FROM parts
+), asked AS (
+  SELECT key, conv_id, turn, run, depth, 0 AS way, trim(regexp_replace(regexp_replace(lower(passage), '[ \t\r\n]+', ' ', 'g'), '[ .!?]+\z', ''), ' ') AS h FROM longest
+  UNION ALL SELECT key, conv_id, turn, run, depth, 1, trim(regexp_replace(regexp_replace(lower(part), '[ \t\r\n]+', ' ', 'g'), '[ .!?]+\z', ''), ' ') FROM longest WHERE len(s) > 1 AND len(string_split(trim(regexp_replace(regexp_replace(lower(part), '[ \t\r\n]+', ' ', 'g'), '[ .!?]+\z', ''), ' '), ' ')) >= 3
 ), units AS (
-  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(unit), '[ \t\r\n]+', ' ', 'g'), ' ') AS h
-  FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t\r]*\n'))) AS unit
-        FROM own WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND body <> '')
+  SELECT DISTINCT conv_id, turn, h FROM (
+    SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(unit), '[ \t\r\n]+', ' ', 'g'), '[ .!?]+\z', ''), ' ') AS h, least FROM (
+      SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t\r]*\n'))) AS unit, 0 AS least FROM own WHERE body <> ''
+      UNION ALL SELECT conv_id, turn, unnest(list_concat(string_split(body, chr(10)), regexp_split_to_array(body, '[.!?]+[ \t\r\n]+'))), 3 FROM own WHERE body <> ''))
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND h <> '' AND len(string_split(h, ' ')) >= least
 ), near AS (
-  SELECT f.key, f.depth, f.h, f.conv_id, max(u.turn) AS near_turn
-  FROM (SELECT DISTINCT key, depth, h, conv_id, turn FROM found) f JOIN units u ON u.h = f.h AND u.conv_id = f.conv_id AND u.turn < f.turn
-  WHERE u.h <> '' GROUP BY ALL
+  SELECT f.key, f.run, f.way, max(u.turn) AS near_turn FROM asked f JOIN units u ON u.h = f.h AND u.conv_id = f.conv_id AND u.turn < f.turn GROUP BY ALL
 ), first AS (
-  SELECT h, min(struct_pack(c := conv_id, t := turn)) AS one FROM units WHERE h <> '' GROUP BY h
+  SELECT h, min(struct_pack(c := conv_id, t := turn)) AS one FROM units GROUP BY h
+), ways AS (
+  SELECT f.key, f.run, f.depth, f.way, n.near_turn, CASE WHEN o.one.c <> f.conv_id THEN o.one END AS other
+  FROM asked f LEFT JOIN near n ON n.key = f.key AND n.run = f.run AND n.way = f.way LEFT JOIN first o ON o.h = f.h
 ), linked AS (
-  SELECT f.key, f.depth, n.near_turn, CASE WHEN n.near_turn IS NULL AND o.one.c <> f.conv_id THEN o.one END AS elsewhere
-  FROM found f LEFT JOIN near n ON n.key = f.key AND n.depth = f.depth AND n.h = f.h LEFT JOIN first o ON o.h = f.h
+  SELECT key, run, depth, near_turn, CASE WHEN near_turn IS NULL THEN other END AS elsewhere FROM (
+    SELECT key, run, depth, arg_min(near_turn, way) FILTER (near_turn IS NOT NULL) AS near_turn, arg_min(other, way) FILTER (other IS NOT NULL) AS other FROM ways GROUP BY ALL)
 ), each AS (
   SELECT key, max(depth) AS quote_depth, count(*) AS n_passages,
     sum(CASE WHEN near_turn IS NOT NULL OR elsewhere IS NOT NULL THEN 1 ELSE 0 END) AS n_linked,

@@ -436,6 +436,16 @@ TALK = [
     (1, 6, "b", "> ok"),
     (1, 7, "a", "> ok\n\ndeep"),
     (1, 900, "a", "> deep"),
+    (4, 0, "u", "First of all the plan is good. We could start on Monday morning! Who brings the keys?\nAnother line stands here\n\nNo. Never mind the rest of it."),
+    (4, 1, "a", "> We could start on monday morning!\nAgreed."),
+    (4, 2, "u", "> another line stands   here\nSeen."),
+    (4, 3, "a", "> We could start on Monday morning! Who brings the keys?\nI do."),
+    (4, 4, "a", "> No.\nToo short to say where it is from."),
+    (4, 5, "a", "> Something else. Who brings the keys?\n> > who brings the keys\nBoth."),
+    (5, 0, "u", "> First of all the plan is good. And more.\nfrom elsewhere, by its first sentence"),
+    (5, 1, "u", "a long text " + "of many words. " * 3000),
+    (5, 2, "u", "> of many words. of many words.\nfar"),
+    (5, None, "u", "> Who brings the keys?"),
 ]
 
 
@@ -450,6 +460,11 @@ def test_quotes_against_sql(spark):
     assert by[1, 2, "user"].parent_turn == 1 and by[1, 2, "user"].thread_turn == 0 and by[1, 2, "user"].body == "Good!"
     assert by[1, 900, "a"].parent_turn == 7 and by[1, 900, "a"].thread_turn == 5 and by[1, 900, "a"].reply_depth == 3
     assert (by[2, 0, "user"].source_conv, by[2, 0, "user"].source_turn) == (1, 1)
+    # one sentence, one line, two sentences, one too short, a sentence of a passage and one below it
+    assert {t: (r.parent_turn, r.n_linked) for (c, t, _), r in by.items() if c == 4 and t} == {1: (0, 1), 2: (0, 1), 3: (0, 1), 4: (None, 0), 5: (0, 2)}
+    assert (by[5, 0, "u"].source_conv, by[5, 0, "u"].source_turn) == (4, 0) and by[5, 2, "u"].parent_turn == 1
+    more = df.selectExpr("*", "'x' AS key", "1 AS h", "2 AS found", "'y' AS body", "3 AS depth", "4 AS run")
+    assert sorted(map(repr, quotes.link(more).collect())) == sorted(map(repr, got))
     assert quotes.link(df.where("false")).count() == 0
 
 
