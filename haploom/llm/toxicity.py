@@ -1,14 +1,14 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Sentences are judged by their words. The kernel of two words sums over all common subsequences of
+A sentence is judged by its highest word, a document by its highest sentence. The kernel of two words sums over all common subsequences of
 three letters, gaps allowed, each weighted by decay to the length it spans in either word, and is scaled by
 sqrt(K(x, x) K(y, y)). Landmarks
 are a bounded set of words; the Nystroem map ``K(x, landmarks) K(landmarks, landmarks)^-1/2`` gives
 the vectors on which a linear SVM is fitted. As the kernel has an explicit feature for each triple of
 letters, the decision function of any word collapses into one table of triples, read in one pass.
 
-Sentences carry no labels of their own: one of a toxic document counts as toxic if it holds the
-document's highest-scoring word (a witness), every sentence of a clean document as clean.
+Labels belong to documents. Training runs over their sentences: all those of a clean document are clean, and the
+one of a toxic document that the model finds highest stands for it; picks and fits alternate (``fit``).
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ from haploom.llm.textkit import Numbers, keyed_texts, slices
 PER_CLASS = 1500
 #: Landmarks at most.
 LANDMARKS = 256
-#: Training words of each class at most.
-TRAIN_WORDS = 4000
-#: Toxic training documents that hold a witness word at least; rarer words are toxic by chance too often.
-WITNESS_DOCS = 5
+#: Toxic training documents that must hold a word that stands for a toxic sentence: each is tried (see ``fit``).
+WITNESS_DOCS = (2, 3, 5)
+#: Log-odds that such a word has at least, and how often clean sentences of one word count.
+LEAST_ODDS = 1.5
+MOST_ALIKE = 4
 #: Letters that a subsequence may span at most, and the weight of each letter spanned.
 SPAN = 6
 DECAY = 0.65
@@ -45,6 +46,8 @@ MEMO_WORDS = 600_000
 LOOK_ALIKES = str.maketrans("0134578@$!", "oieastbasi")
 #: A run of single characters with blanks between, as in "l o s e r".
 SPACED_OUT = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
+#: What ends a sentence.
+SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n")
 #: The triples' offsets from the first letter.
 OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 
@@ -153,85 +156,149 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -30, 30)))
 
 
-def _select(count: Counter, n: int) -> list[str]:
-    """Half of them the most frequent words, the others spread over the rest in a fixed order."""
-    ranked = sorted(count, key=lambda w: (-count[w], w))
-    head, tail = ranked[: n // 2], ranked[n // 2 :]
-    step = max(1, len(tail) // max(1, n - len(head)))
-    return head + sorted(tail)[::step][: n - len(head)]
-
-
-def _svm(words: list[str], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Table and bias of the SVM on Nystroem vectors of words."""
-    coded = [letters(w) for w in words]
-    good, bad = np.flatnonzero(y < 0), np.flatnonzero(y > 0)
-    pick = lambda ids, n: ids[:: max(1, len(ids) // n)][:n]
-    marks = np.concatenate([pick(bad, LANDMARKS // 2), pick(good, LANDMARKS // 2)])
-    base = features([coded[i] for i in marks])
-    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
-    keep = values > 1e-3 * values[-1]
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    mapped = np.concatenate([features([coded[i] for i in range(at, min(at + 100, len(coded)))]) @ base.T for at in range(0, len(coded), 100)]) @ root
-    every = np.arange(mapped.shape[1])
-    cost = np.where(y > 0, 4.0 * len(good) / max(1, len(bad)), 4.0).clip(max=40.0)
-    w = dual_descent([(every, v) for v in mapped], y, mapped.shape[1], cost, epochs=25)
-    return (base.T @ (root @ w[:-1]).astype(np.float32)).astype(np.float32), float(w[-1])
-
-
-def fit(texts: list[str], y: np.ndarray, share: float, rounds: int = 2) -> Model:
-    """Fit on labelled documents. Without both classes, every score is ``share``."""
+class Nystroem:
+    """The map of words to vectors whose products approximate the kernel, by landmark words."""
+
+    def __init__(self, marks: list[str]):
+        base = features([letters(w) for w in marks])
+        values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+        keep = values > 1e-3 * values[-1]
+        #: [triples, dimensions]: a word's vector is the sum of its triples' rows
+        self.rows = (base.T @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.rows.shape[1]), dtype=np.float32)
+        for at in range(0, len(words), 2000):
+            rows, owner = padded([letters(w) for w in words[at : at + 2000]])
+            total = np.zeros((len(rows), self.rows.shape[1]), dtype=np.float32)
+            for codes, weight in triples(rows):
+                whole = (codes >= 1 << 10) & (codes >> 5 & 31 > 0) & (codes & 31 > 0)
+                for column in range(codes.shape[1]):
+                    own = np.flatnonzero(whole[:, column])
+                    total[own] += weight * self.rows[codes[own, column]]
+            np.add.at(out, at + owner, total / np.sqrt(self_kernels(rows))[:, None])
+        return out
+
+    def table(self, w: np.ndarray) -> np.ndarray:
+        """A weight for each triple, from weights of the dimensions."""
+        return (self.rows @ w.astype(np.float32)).astype(np.float32)
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence (and line) of a text, once each; sentences without words are left out."""
+    return [own for own in (list(dict.fromkeys(words_of(s))) for s in SENTENCE_END.split(text)) if own]
+
+
+def _svm(space: Nystroem, toxic: Counter, clean: Counter) -> tuple[np.ndarray, float]:
+    """Weights and bias of the SVM on words that stand for so many toxic and clean sentences."""
+    bad, good = sorted(toxic), sorted(clean)
+    x = space.vectors(bad + good)
+    y = np.array([1.0] * len(bad) + [-1.0] * len(good))
+    # sentences with one word count together, clean ones up to MOST_ALIKE times; both classes weigh alike
+    n_bad, n_good = np.array([toxic[w] for w in bad], dtype=float), np.array([min(clean[w], MOST_ALIKE) for w in good], dtype=float)
+    cost = np.concatenate([n_bad * n_good.sum() / n_bad.sum(), n_good]).clip(max=40.0)
+    every = np.arange(x.shape[1])
+    w = dual_descent([(every, v) for v in x], y, x.shape[1], cost, epochs=8)
+    return w[:-1], float(w[-1])
+
+
+class Bags:
+    """Labelled documents as sentences of numbered words."""
+
+    def __init__(self, docs: list[list[list[str]]], y: np.ndarray):
+        number = Numbers()
+        self.docs = [[np.fromiter(map(number.__getitem__, s), dtype=np.int64, count=len(s)) for s in d] for d in docs]
+        self.words, self.y = list(number), y
+
+    def counts(self, which: np.ndarray) -> tuple[Counter, Counter]:
+        """In how many clean and how many toxic documents of ``which`` each word stands."""
+        clean, toxic = Counter(), Counter()
+        for d in which.tolist():
+            (toxic if self.y[d] else clean).update(set(np.concatenate(self.docs[d]).tolist()) if self.docs[d] else ())
+        return clean, toxic
+
+    def tops(self, value: np.ndarray, which: np.ndarray) -> tuple[Counter, Counter]:
+        """The highest word of the highest sentence of each toxic document, and that of every sentence of the clean ones."""
+        toxic, clean = Counter(), Counter()
+        for d in which.tolist():
+            if self.docs[d]:
+                best = [int(s[value[s].argmax()]) for s in self.docs[d]]
+                if self.y[d]:
+                    toxic[best[int(value[best].argmax())]] += 1
+                else:
+                    clean.update(best)
+        return toxic, clean
+
+    def margins(self, value: np.ndarray, bias: float) -> np.ndarray:
+        return np.array([max((value[s].max() for s in d), default=bias) for d in self.docs])
+
+
+def _agreement(margins: np.ndarray, y: np.ndarray) -> float:
+    """The best F1 of any threshold."""
+    order = np.argsort(-margins, kind="stable")
+    hits = np.cumsum(y[order])
+    return float((2 * hits / (np.arange(1, len(y) + 1) + y.sum())).max())
+
+
+def fit(docs: list[list[list[str]]], y: np.ndarray, share: float, rounds: int = 4) -> Model:
+    """Fit on labelled documents, given as sentences of words. Without both classes, every score is ``share``.
+
+    Sentences have no labels of their own: every sentence of a clean document is clean, and of a toxic one at
+    least one is toxic. So rounds alternate: the model picks the highest sentence of each toxic document, and in each
+    sentence its highest word; an SVM is fitted on these. The first picks are by log-odds. How many toxic documents
+    must hold a word that is picked as toxic, and which round is taken, is decided on a fifth of the documents that
+    no round was fitted on.
+    """
     if len(set(y.tolist())) < 2:
         p = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(1 << 15, dtype=np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
-    test = np.arange(len(texts)) % 5 == 4
+    test = np.arange(len(docs)) % 5 == 4
     if min(np.bincount(y[~test], minlength=2)) == 0 or min(np.bincount(y[test], minlength=2)) == 0:
         test[:] = False
-    sets = [sorted({w for w in words_of(t)}) for t in texts]
-    short = [{letters(w) for w in s} - {b""} for s in sets]
-    in_clean, in_toxic = Counter(), Counter()
-    for own, label, away in zip(short, y.tolist(), test.tolist(), strict=True):
-        if not away:
-            (in_toxic if label else in_clean).update(own)
-    n_clean, n_toxic = int((y[~test] == 0).sum()), int(y[~test].sum())
-    odds = {w: np.log((n + 0.1) / n_toxic) - np.log((in_clean[w] + 0.5) / n_clean) for w, n in in_toxic.items() if n >= WITNESS_DOCS and len(w) >= 3}
-    text_of: dict[bytes, str] = {}
-    for s in sets:
-        for w in s:
-            text_of.setdefault(letters(w), w)
-    # the first witnesses: of each toxic document the words with the best odds, frequent ones before rare
-    witness: Counter = Counter()
-    for own, label, away in zip(short, y.tolist(), test.tolist(), strict=True):
-        if label and not away:
-            best = sorted((w for w in own if odds.get(w, 0) > 1.5), key=lambda w: (-odds[w] * np.sqrt(in_toxic[w]), w))[:2]
-            witness.update(text_of[w] for w in best)
-    clean = Counter({text_of[w]: n for w, n in in_clean.items() if len(w) >= 3})
-    model = Model(np.zeros(1 << 15, dtype=np.float32), 0.0, 1.0, 0.0)
-    hard: Counter = Counter()
-    for _ in range(rounds):
-        bad = _select(witness, TRAIN_WORDS)
-        good = [*dict.fromkeys([*_select(clean, TRAIN_WORDS), *_select(hard, TRAIN_WORDS // 2)])]
-        words = bad + [w for w in good if w not in witness]
-        model.table, model.bias = _svm(words, np.array([1.0] * len(bad) + [-1.0] * (len(words) - len(bad))))
-        tops = [model.margins(s) if s else np.array([model.bias]) for s in sets]
-        new, hard = Counter(), Counter()
-        for s, m, label, away in zip(sets, tops, y.tolist(), test.tolist(), strict=True):
-            if away or not s:
-                continue
-            if label:
-                new[s[int(m.argmax())]] += 1
-                new.update(s[i] for i in np.flatnonzero(m > 0.5).tolist())
-            else:
-                hard.update(s[i] for i in np.flatnonzero(m > -0.7).tolist())
-        witness = Counter({w: n for w, n in new.items() if in_clean[letters(w)] <= 0.05 * in_toxic[letters(w)] and in_toxic[letters(w)] >= WITNESS_DOCS}) or witness
-    margins = np.array([m.max() for m in tops])
+    bags = Bags(docs, y)
+    inner, judged = np.flatnonzero(~test), test if test.any() else ~test
+    in_clean, in_toxic = bags.counts(inner)
+    n_toxic = int(y[inner].sum())
+    n_clean = len(inner) - n_toxic
+    long = np.array([len(letters(w)) >= 3 for w in bags.words] or [False])
+    odds, telling = np.full((2, len(bags.words)), -np.inf)
+    for w, n in in_toxic.items():
+        if long[w]:
+            odds[w] = np.log((n + 0.1) / n_toxic) - np.log((in_clean[w] + 0.5) / n_clean)
+            telling[w] = odds[w] * np.sqrt(n)
+    ranked = sorted((w for w in in_toxic if long[w]), key=lambda w: (-telling[w], bags.words[w]))
+    common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], bags.words[x[0]])) if long[w]]
+    rest = sorted(common[LANDMARKS // 4 :], key=lambda w: bags.words[w])
+    marks = ranked[: LANDMARKS // 2] + common[: LANDMARKS // 4] + rest[:: max(1, 4 * len(rest) // LANDMARKS)][: LANDMARKS // 4]
+    if not marks:
+        p = min(max(share, 1e-3), 1 - 1e-3)
+        return Model(np.zeros(1 << 15, dtype=np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
+    space = Nystroem([bags.words[w] for w in dict.fromkeys(marks)])
+    best: tuple[float, Model, np.ndarray] | None = None
+    for least in WITNESS_DOCS:
+        toxic, clean = bags.tops(telling, inner)
+        for _ in range(rounds):
+            # a word that says little, or that hardly any document holds, is toxic by chance too often
+            kept = Counter({w: n for w, n in toxic.items() if in_toxic[w] >= least and odds[w] > LEAST_ODDS}) or toxic
+            w, bias = _svm(space, Counter({bags.words[i]: n for i, n in kept.items()}), Counter({bags.words[i]: n for i, n in clean.items() if i not in kept}))
+            model = Model(space.table(w), bias, 1.0, 0.0)
+            value = np.where(long, model.margins(bags.words) if bags.words else 0.0, bias)
+            margins = bags.margins(value, bias)
+            found = _agreement(margins[judged], y[judged])
+            if best is None or found > best[0]:
+                best = found, model, margins
+            toxic, clean = bags.tops(value, inner)
+    _, model, margins = best
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    judged = test if test.any() else ~test
     model.a, model.b = platt(margins[judged], y[judged], weight[judged])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
-    """Fit on at most ``per_class`` labelled documents of each class, never of the held-out fold."""
+    """Fit on at most ``per_class`` labelled documents of each class, never of the held-out fold.
+
+    What comes to the driver is the sample's sentences, each word once in a sentence.
+    """
     chosen, share = labelled_sample(labels, label_col, per_class)
     wanted = docs.sparkSession.sparkContext.broadcast(chosen)
 
@@ -241,9 +308,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 ids = part.column(0).to_pylist()
                 keep = [i for i, x in enumerate(ids) if x in wanted.value]
                 if keep:
-                    texts = part.column(1)
-                    # a document's words, once each; no blanks between them, which spaced-out letters have
-                    own = ["\n".join(dict.fromkeys(words_of(texts[i].as_py()))) for i in keep]
+                    # words have no white space in them, so it can part them and their sentences
+                    own = ["\n".join("\t".join(s) for s in dict.fromkeys(map(tuple, sentences(part.column(1)[i].as_py())))) for i in keep]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array(own, pa.string())], names=["doc_id", "words"])
 
     got: dict[int, str] = {}
@@ -253,7 +319,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             got[x] = max(words, got.get(x, ""))
     wanted.unpersist()
     ids = sorted(got, key=lambda x: (hash((x, 17)), x))
-    return fit([got[x] for x in ids], np.array([chosen[x] for x in ids], dtype=np.int64), share)
+    split = [[s.split("\t") for s in got[x].split("\n") if s] for x in ids]
+    return fit(split, np.array([chosen[x] for x in ids], dtype=np.int64), share)
 
 
 class Scorer:

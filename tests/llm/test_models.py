@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,3 +158,53 @@ def test_platt_is_monotone():
     m = np.linspace(-3, 3, 50)
     a, b = platt(m, (m > 0).astype(int), np.ones(50))
     assert a > 0 and abs(b) < 0.5
+
+
+def test_sentences():
+    got = toxicity.sentences("One two two. Is it?! yes i.d.i.o.t here\nl o s e r\n\n...\n3.5 x")
+    assert got == [["One", "two"], ["Is", "it"], ["yes", "i.d.i.o.t", "here"], ["l", "o", "s", "e", "r", "loser"], ["3.5", "x"]]
+    assert toxicity.sentences("") == [] == toxicity.sentences(" . \n!")
+
+
+def test_sentences_stand_for_documents():
+    """Every clean sentence by its highest word, a toxic document by that of its highest sentence."""
+    docs = [[["a", "b"], ["c"]], [["b", "d"], ["a"]], []]
+    bags = toxicity.Bags(docs, np.array([1, 0, 1]))
+    value = np.array([{"a": 1.0, "b": 2.0, "c": 3.0, "d": 0.0}[w] for w in bags.words])
+    named = lambda count: {bags.words[w]: n for w, n in count.items()}
+    toxic, clean = bags.tops(value, np.arange(3))
+    assert named(toxic) == {"c": 1} and named(clean) == {"b": 1, "a": 1}
+    assert bags.margins(value, -9.0).tolist() == [3.0, 2.0, -9.0]
+    clean, toxic = bags.counts(np.arange(3))
+    assert named(clean) == {"b": 1, "d": 1, "a": 1} and named(toxic) == {"a": 1, "b": 1, "c": 1}
+
+
+def test_agreement_is_the_best_f1():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        m, y = rng.random(30), rng.integers(0, 2, 30)
+        y[0] = 1
+        want = max(2 * ((m >= t) & (y == 1)).sum() / ((m >= t).sum() + y.sum()) for t in m)
+        assert toxicity._agreement(m, y) == pytest.approx(want)
+
+
+def test_svm_on_the_map_is_that_of_the_kernel():
+    """With all words as landmarks the map's products are the kernel, and the table gives the map's decision."""
+    rng = random.Random(6)
+    words = sorted(set(prose(rng, 30)))
+    words = [w for w in words if len(w) >= 3]
+    space = toxicity.Nystroem(words)
+    phi = toxicity.features([toxicity.letters(w) for w in words])
+    z = space.vectors(words)
+    assert np.allclose(z @ z.T, phi @ phi.T, atol=2e-2)
+    w, bias = toxicity._svm(space, Counter({words[0]: 3}), Counter({x: 1 for x in words[1:]}))
+    assert np.allclose(toxicity.Model(space.table(w), bias, 1.0, 0.0).margins(words), z @ w + bias, atol=1e-3)
+    assert (z @ w + bias).argmax() == 0
+
+
+def test_training_on_odd_documents():
+    """Only one class, empty documents, words without letters, a very long document."""
+    for docs in ([[], []], [[["?!"]], []], [[["abc"]], [[f"w{i}x" for i in range(30000)]]]):
+        model = toxicity.fit(docs, np.array([1, 0]), 0.3)
+        assert 0 <= float(toxicity.Scorer(model).scores(["abc", ""])[0]) <= 1
+    assert toxicity.Scorer(toxicity.fit([[["abc"]]], np.array([0]), 0.3)).scores(["abc"])[0] == pytest.approx(0.3)
