@@ -58,6 +58,46 @@ def spectrum(sites: DataFrame, cells: str = "features") -> DataFrame:
     return sites.groupBy(F.size(F.filter(cells, lambda x: x != 0)).alias("present")).agg(F.count("*").alias("n_sites"))
 
 
+def spectrum_summary(sites: DataFrame, keys: list[str], cells: str = "features") -> DataFrame:
+    """Mean and median number of founders present at a site, and the share of sites without any."""
+    n = F.size(F.filter(cells, lambda x: x != 0))
+    return sites.groupBy(*keys).agg(F.avg(n).alias("mean"), F.median(n).alias("median"), F.avg((n == 0).cast("double")).alias("zero_share"))
+
+
+def value_stats(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows, mean and standard deviation of a value for each key, and over all rows (null key); a null key is left out."""
+    known = df.where(F.col(key).isNotNull())
+    return known.groupingSets([[F.col(key)], []], F.col(key)).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+
+
+def value_shares(df: DataFrame, value: str) -> DataFrame:
+    """How often each value occurs, and its share of all rows; the sum is taken over the counts, not over the rows."""
+    n = df.groupBy(value).agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("__t")))).withColumn("share", F.col("n") / F.col("__t")).drop("__t")
+
+
+def label_support(sites: DataFrame, keys: list[str], label: str, cells: str = "features") -> DataFrame:
+    """Of each key's sites: the share without a label (null, negative or beyond the cells), and of the others the share
+    where the labelled founder has reads."""
+    known = (F.col(label) >= 0) & (F.col(label) < F.size(cells))
+    return sites.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((~F.coalesce(known, F.lit(False))).cast("double")).alias("unlabelled"), F.avg(F.when(known, (F.get(cells, F.col(label)) > 0).cast("double"))).alias("supported"))
+
+
+def mean_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """The correlation of two values within each key, averaged over keys."""
+    return df.groupBy(*keys).agg(F.corr(x, y).alias("__c")).agg(F.avg("__c").alias("mean_corr"))
+
+
+def switch_cost_by_truth(df: DataFrame, keys: list[str], by: str, h1: str, h2: str, p1: str, p2: str, cost: float) -> DataFrame:
+    """Mean cost of the switches into a site, at truly heterozygous and homozygous sites: ``cost`` for each called founder
+    that the site before did not have. A key's first site has none."""
+    from haploom.operators.sites import switches
+
+    w = W.partitionBy(*keys).orderBy(by)
+    moved = df.withColumn("__s", switches(F.col(p1), F.col(p2), F.lag(p1).over(w), F.lag(p2).over(w)))
+    return moved.groupBy((F.col(h1) != F.col(h2)).alias("true_het")).agg(F.count("*").alias("n"), (F.avg(F.coalesce("__s", F.lit(0))) * cost).alias("mean_cost"))
+
+
 def stratified(df: DataFrame, band: str, correct: str, names: tuple[str, ...] = ("n", "accuracy")) -> DataFrame:
     """Rows and mean correctness in each band and in all of them (band 'all')."""
     out = df.groupingSets([[F.col(band)], []], F.col(band)).agg(F.count("*").alias(names[0]), F.avg(F.col(correct).cast("double")).alias(names[1]), F.grouping(band).alias("__g"))

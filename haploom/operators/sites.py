@@ -20,9 +20,9 @@ def counted(members: Column, count: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(F.array_contains(members, i), F.least(count, F.lit(CAP))).otherwise(0))
 
 
-def collapse_sets(reads: DataFrame, keys: list[str], members: str, count: str, first: str | None = None) -> DataFrame:
-    """One row for each site: the sorted union of its sets, and the sum of its counts."""
-    more = [F.min(first).alias(first)] if first else []
+def collapse_sets(reads: DataFrame, keys: list[str], members: str, count: str, first: str | None = None, ord_col: str = "ord") -> DataFrame:
+    """One row for each site: the sorted union of its sets, the sum of its counts, and ``first`` of its first row by ``ord_col``."""
+    more = [F.min_by(first, ord_col).alias(first)] if first else []
     return reads.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(members)))).alias(members), F.sum(count).alias(count), *more)
 
 
@@ -38,6 +38,15 @@ def features(reads: DataFrame, keys: list[str], members: str, count: str, k: int
     return reads.groupBy(*keys).agg(F.array(*cells).cast("array<int>").alias("features"))
 
 
+def labelled(reads: DataFrame, keys: list[str], members: str, count: str, k: int, labels: list[str], ord_col: str = "ord", cap: bool = True) -> DataFrame:
+    """``features`` with the labels of each site's first row by ``ord_col``; no label is -1."""
+    n = lambda i: F.sum(F.when(F.array_contains(members, F.lit(i)), F.col(count)).otherwise(0))
+    cells = [F.least(n(i), F.lit(CAP)) if cap else n(i) for i in range(k)]
+    # a struct is never null, so a first row without a label is not passed over
+    own = F.min_by(F.struct(*labels), ord_col)
+    return reads.groupBy(*keys).agg(F.array(*cells).cast("array<int>").alias("features"), own.alias("__l")).select(*keys, "features", *(F.coalesce(F.col(f"__l.{c}"), F.lit(-1)).alias(c) for c in labels))
+
+
 def fill_bins(sites: DataFrame, keys: list[str], bin_col: str, last: DataFrame, k: int) -> DataFrame:
     """All bins from 0 to each key's last one (``last``: keys, last_bin); absent ones hold zeros."""
     every = last.withColumn(bin_col, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_bin").cast("long")))).drop("last_bin")

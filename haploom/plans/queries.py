@@ -215,9 +215,9 @@ def path_crossovers(s, d):
     return islands.crossovers(V.path(s, d), ["contig"], ["pos"], ["p1"])
 
 
-@query(with_views("SELECT p1, CAST(sum(dist) AS BIGINT) AS distance, round(100.0 * sum(dist) / (SELECT sum(dist) FROM dists), 1) AS percent FROM dists GROUP BY p1", "path", more="dists AS (SELECT p1, lead(pos) OVER (PARTITION BY contig ORDER BY pos) - pos AS dist FROM path QUALIFY dist > 0)"))
+@query(with_views("SELECT p1, CAST(sum(dist) AS BIGINT) AS distance, round_even(100.0 * sum(dist) / (SELECT sum(dist) FROM dists), 2) AS percent FROM dists GROUP BY p1", "path", more="dists AS (SELECT p1, lead(pos) OVER (PARTITION BY contig ORDER BY pos) - pos AS dist FROM path QUALIFY dist > 0)"))
 def parent_contribution(s, d):
-    return metrics.parent_contribution(V.path(s, d), ["contig"], "pos", "p1").select("p1", "distance", F.round(100.0 * F.col("distance") / F.sum("distance").over(W.partitionBy(F.lit(1))), 1).alias("percent"))
+    return metrics.parent_contribution(V.path(s, d), ["contig"], "pos", "p1")
 
 
 @query(with_views("SELECT pos, CAST(arg_max(p1, (n, -p1)) AS INTEGER) AS mode, CAST(sum(n) AS BIGINT) AS size FROM (SELECT pos, p1, count(*) AS n FROM path GROUP BY ALL) GROUP BY pos", "path"))
@@ -528,7 +528,7 @@ def spearman(s, d):
 
 @query("SELECT round(avg(c), 6) AS mean_corr FROM (SELECT corr(l_quantity, l_extendedprice) AS c FROM lineitem GROUP BY l_suppkey)")
 def window_corr(s, d):
-    return V.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.corr("l_quantity", "l_extendedprice").alias("c")).agg(F.round(F.avg("c"), 6).alias("mean_corr"))
+    return metrics.mean_correlation(V.table(s, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice").select(F.round("mean_corr", 6).alias("mean_corr"))
 
 
 @query("SELECT min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, coalesce(bool_or(isnan(value)), false) AS has_nan, coalesce(bool_or(isinf(value)), false) AS has_inf FROM events WHERE value IS NOT NULL")
@@ -541,16 +541,15 @@ def truth_rank(s, d):
     return metrics.top_rank_of_truth(V.counts(s, d), ["contig", "pos"], "founder", "n", V.second(s, d).withColumnRenamed("p2", "founder")).withColumn("top3", F.round("top3", 6))
 
 
-@query(with_views("SELECT contig, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS sd FROM counts GROUP BY contig", "counts"))
+@query(with_views("SELECT contig, count(*) AS n, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS sd FROM counts GROUP BY GROUPING SETS ((contig), ())", "counts"))
 def contig_stats(s, d):
-    return V.counts(s, d).groupBy("contig").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("sd"))
+    """By contig and over all."""
+    return metrics.value_stats(V.counts(s, d), "contig", "n").select("contig", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 @query(with_views("SELECT p1, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM path GROUP BY p1", "path"))
 def value_counts(s, d):
-    n = V.path(s, d).groupBy("p1").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("t"))
-    return n.crossJoin(F.broadcast(total)).select("p1", "n", F.round(100.0 * F.col("n") / F.col("t"), 4).alias("percent"))
+    return metrics.value_shares(V.path(s, d), "p1").select("p1", "n", F.round(100.0 * F.col("share"), 4).alias("percent"))
 
 
 @query(with_views("SELECT round(avg(CASE WHEN p1 <> p2 THEN 1.0 ELSE 0.0 END), 6) AS het, count(DISTINCT p1) AS n1, count(DISTINCT p2) AS n2 FROM twice", "path", "second", more=_BOTH))
@@ -558,10 +557,20 @@ def het_fraction(s, d):
     return _both(s, d).agg(F.round(F.avg((F.col("p1") != F.col("p2")).cast("double")), 6).alias("het"), F.count_distinct("p1").alias("n1"), F.count_distinct("p2").alias("n2"))
 
 
-@query(with_views("SELECT b.contig, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS supported FROM twice b JOIN cells c ON c.contig = b.contig AND c.pos = b.pos AND c.founder = b.p2 GROUP BY b.contig", "path", "second", "cells", more=_BOTH))
+@query(
+    with_views(
+        """SELECT b.contig, count(*) AS n, round(avg(CASE WHEN label < 0 THEN 1.0 ELSE 0.0 END), 6) AS unlabelled, round(avg(CASE WHEN label < 0 THEN NULL WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS supported
+        FROM (SELECT *, CASE WHEN pos % 4 = 0 THEN -1 ELSE p2 END AS label FROM twice) b LEFT JOIN cells c ON c.contig = b.contig AND c.pos = b.pos AND c.founder = label GROUP BY b.contig""",
+        "path",
+        "second",
+        "cells",
+        more=_BOTH,
+    )
+)
 def label_quality(s, d):
-    b = _both(s, d).join(V.features(s, d), ["contig", "pos"])
-    return b.groupBy("contig").agg(F.round(F.avg((F.get("features", F.col("p2")) > 0).cast("double")), 6).alias("supported"))
+    """A quarter of the sites without a label."""
+    b = _both(s, d).withColumn("label", F.when(F.col("pos") % 4 == 0, -1).otherwise(F.col("p2"))).join(V.features(s, d), ["contig", "pos"])
+    return metrics.label_support(b, ["contig"], "label").select("contig", "n", *(F.round(c, 6).alias(c) for c in ("unlabelled", "supported")))
 
 
 @query(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haploom.functions import scalar
-from haploom.operators import chunked, intervals, order, sequences
+from haploom.operators import chunked, intervals, metrics, order, sequences, sites
 from haploom.plans import views as V
 from haploom.plans.more_queries import _file
 from haploom.plans.queries import query, wide
 from haploom.plans.views import K, with_views
-from haploom.sources import fasta
+from haploom.sources import bed, fasta
 from haploom.sources.text import write_lines
 
 #: Bases of a chunk in these queries: small, so that the small tables have many.
@@ -244,3 +244,51 @@ def joint_argmax(s, d):
     rows = F.array(*(F.array(*(F.get("features", F.lit(i)) * F.get("features", F.lit(j)) + at(i, j) for j in range(K))) for i in range(K)))
     found = V.features(s, d).select("contig", "pos", rows.alias("m")).select("contig", "pos", order.joint_argmax(F.col("m")).alias("a"), order.joint_argmax(F.col("m"), known=True).alias("k"))
     return found.select("contig", "pos", "a.i", "a.j", F.col("k.i").alias("known_i"), F.col("k.j").alias("known_j"))
+
+
+@query(
+    with_views(
+        f"""SELECT c.contig, c.pos, {', '.join(f'CAST(max(CASE WHEN founder = {i} THEN x END) AS BIGINT) AS f{i}' for i in range(K))}, any_value(label) AS label FROM cells c JOIN (
+          SELECT contig, pos, arg_min(label, (k, n))  AS label FROM (SELECT 'chr' || CAST(l_suppkey % 5 + 1 AS VARCHAR) AS contig, l_partkey AS pos, CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE CAST(l_orderkey % 7 AS INTEGER) END AS label, l_orderkey AS k, l_linenumber AS n FROM lineitem) GROUP BY ALL) l
+        ON l.contig = c.contig AND l.pos = c.pos GROUP BY c.contig, c.pos""",
+        "cells",
+    )
+)
+def labelled_counts(s, d):
+    """Counts with the label of each site's first row; a third of the rows have none."""
+    rows = V.table(s, d, "lineitem")
+    members = F.array_sort(F.array_distinct(F.array((F.col("l_linenumber") - 1).cast("int"), (F.col("l_suppkey") % 7).cast("int"))))
+    laid = rows.select(
+        V.contig(F.col("l_suppkey"), 5).alias("contig"), F.col("l_partkey").alias("pos"), members.alias("members"), F.floor("l_quantity").alias("n"),
+        F.when(F.col("l_linenumber") % 3 != 0, (F.col("l_orderkey") % 7).cast("int")).alias("label"), F.struct("l_orderkey", "l_linenumber").alias("ord"),
+    )
+    return wide(sites.labelled(laid, ["contig", "pos"], "members", "n", K, ["label"]), "contig", "pos", "label")
+
+
+@query(with_views("SELECT contig, round(avg(n), 6) AS mean, median(n) AS median, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share FROM (SELECT contig, pos, count(*) FILTER (x > 3) AS n FROM cells GROUP BY ALL) GROUP BY contig", "cells"))
+def spectrum_summary(s, d):
+    """Founders with more than three reads."""
+    few = V.features(s, d).withColumn("features", F.transform("features", lambda x: (x > 3).cast("int")))
+    return metrics.spectrum_summary(few, ["contig"]).select("contig", F.round("mean", 6).alias("mean"), "median", F.round("zero_share", 6).alias("zero_share"))
+
+
+@query(
+    with_views(
+        """SELECT p1 % 3 <> p2 % 3 AS true_het, count(*) AS n, round(2.0 * avg(coalesce(least(CAST(p1 <> a AS INTEGER) + CAST(p2 <> b AS INTEGER), CAST(p1 <> b AS INTEGER) + CAST(p2 <> a AS INTEGER)), 0)), 6) AS mean_cost
+        FROM (SELECT p.contig, p.pos, p1, p2, lag(p1) OVER w AS a, lag(p2) OVER w AS b FROM path p JOIN second s ON s.contig = p.contig AND s.pos = p.pos WINDOW w AS (PARTITION BY p.contig ORDER BY p.pos)) GROUP BY 1""",
+        "path",
+        "second",
+    )
+)
+def switch_cost_by_truth(s, d):
+    both = V.path(s, d).join(V.second(s, d), ["contig", "pos"]).withColumn("h1", F.col("p1") % 3).withColumn("h2", F.col("p2") % 3)
+    return metrics.switch_cost_by_truth(both, ["contig"], "pos", "h1", "h2", "p1", "p2", 2.0).withColumn("mean_cost", F.round("mean_cost", 6))
+
+
+@query(with_views("SELECT 's' || CAST(ord % 3 AS VARCHAR) AS sample, chrom, start, \"end\", CAST(parent AS VARCHAR) AS parent1 FROM spans", "spans"))
+def bed_files(s, d):
+    """Files by sample and contig, read back by their names."""
+    at = _file(s, "named")
+    rows = V.spans(s, d).withColumn("sample", F.concat(F.lit("s"), F.col("ord") % 3)).withColumn("parent1", F.col("parent").cast("string"))
+    bed.write_bed_files(rows, at, ["chrom", "start", "end", "parent1", "parent1"], ["start", "ord"])
+    return bed.read_paths(s, at).select("sample", "chrom", "start", "end", "parent1")
