@@ -63,8 +63,25 @@ TEMPLATES = [
     ("bsd", "[redistribution and use in source and binary forms] with or without modification are permitted"),
     ("mpl-2", "this source code form is subject to the terms of the [mozilla public license v 2 0]"),
     ("unlicense", "this is free and unencumbered software [released into the public domain]"),
-    ("all-rights-reserved", "[all rights reserved]"),
+    ("gpl-2", "under the terms of the [gnu general public license as published by the free software foundation either version 2] of the license or at your option any later version"),
+    ("gpl-3", "under the terms of the [gnu general public license as published by the free software foundation either version 3] of the license or at your option any later version"),
+    ("lgpl-2.1", "under the terms of the [gnu lesser general public license as published by the free software foundation either version 2 1] of the license or at your option any later version"),
+    ("lgpl-3", "under the terms of the [gnu lesser general public license as published by the free software foundation either version 3] of the license or at your option any later version"),
+    ("agpl-3", "under the terms of the [gnu affero general public license as published by the free software foundation either version 3] of the license or at your option any later version"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the [eclipse public license 2 0] which is available at"),
+    ("bsl-1", "distributed under the [boost software license version 1 0]"),
+    ("artistic-2", "licensed under the [artistic license 2 0]"),
+    ("zlib", "this software is provided as is without any express or implied warranty [in no event will the authors be held liable] for any damages arising from the use of this software"),
+    ("cc-by-nd", "creative commons [attribution noderivatives]"),
+    ("cc-by-nc-sa", "creative commons [attribution noncommercial sharealike]"),
+    ("cc0", "[cc0 1 0 universal]"),
 ]
+#: Labels and the words of their SPDX identifiers, each a template of its own.
+SPDX = {
+    "mit": "mit", "apache-2": "apache 2 0", "bsd-2": "bsd 2 clause", "bsd-3": "bsd 3 clause", "isc": "isc", "mpl-2": "mpl 2 0", "gpl-2": "gpl 2 0", "gpl-3": "gpl 3 0", "lgpl-2.1": "lgpl 2 1",
+    "lgpl-3": "lgpl 3 0", "agpl-3": "agpl 3 0", "epl-2": "epl 2 0", "bsl-1": "bsl 1 0", "unlicense": "unlicense", "cc0": "cc0 1 0", "cc-by-4": "cc by 4 0", "cc-by-sa": "cc by sa 4 0", "cc-by-nc": "cc by nc 4 0", "zlib": "zlib",
+}
+TEMPLATES += [(label, f"[spdx license identifier {words}]") for label, words in SPDX.items()]
 #: Words of a key phrase that are looked up, those that fewest files hold.
 RARE = 3
 #: What parts words, once A-Z are in lower case.

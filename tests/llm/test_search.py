@@ -414,8 +414,19 @@ def test_licences_against_sql(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(licenses.sql()).fetchall()))
     by = {r.doc_id: r for r in got}
     assert (by[10].n_base, by[10].first_word, by[10].base_labels) == (3, 1, "apache-2,mit")
-    assert by[12].labels == "all-rights-reserved,gpl" and by[13].n_base == 1 and by[14].base_labels == "" and by[14].labels == "mit"
+    assert by[12].labels == "gpl" and by[13].n_base == 1 and by[14].base_labels == "" and by[14].labels == "mit"
     assert (by[15].labels, by[15].score) == ("isc", 1.0) and by[16].labels == "" and by[17].labels == "mit"
+    versions = [
+        (1, "SPDX-License-Identifier: GPL-3.0-or-later"),
+        (2, "you can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+        (3, "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+        (4, "Distributed under the Boost Software License, Version 1.0."),
+        (5, "All rights reserved."),
+        (6, "SPDX-License-Identifier: MIT AND SPDX-License-Identifier: CC0-1.0"),
+        (7, "Creative Commons Attribution-NoDerivatives"),
+    ]
+    got = {r.doc_id: (r.labels, round(r.score, 2)) for r in licenses.scan(documents(spark, versions)).collect()}
+    assert {i: x[0] for i, x in got.items()} == {1: "gpl-3", 2: "lgpl,lgpl-2.1", 3: "gpl,gpl-3", 4: "bsl-1", 5: "", 6: "cc0,mit", 7: "cc-by-nd"} and got[5][1] == 0 and got[3][1] == 1
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
