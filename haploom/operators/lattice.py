@@ -309,6 +309,33 @@ def posterior_windows(sites: DataFrame, keys: list[str], by: str, cost: float =
     return _windows(sites, keys, by).mapInArrow(run, schema)
 
 
+def path_nll(sites: DataFrame, keys: list[str], by: str, label: str, cost: float = 2.0) -> DataFrame:
+    """keys, nll: negative log likelihood of a labelled path of founders in each window, where a change costs ``cost``: what all
+    paths come to, less the path's own score. A step adds exp(-cost) of all that has come and the rest of a state's own."""
+    schema = _schema(sites, keys, "nll double")
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(by).alias("at"), F.col("features").cast("array<double>").alias("x"), F.col(label).cast("int").alias("l")))).alias("rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                own = batch.column("rows").slice(r, 1).flatten()
+                emit = kernels.log_softmax(own.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+                path = own.field("l").to_numpy(zero_copy_only=False)
+                ahead = emit[0]
+                for e in emit[1:]:
+                    top = ahead.max()
+                    come = np.exp(ahead - top)
+                    ahead = top + np.log(np.exp(-cost) * come.sum() + (1 - np.exp(-cost)) * come) + e
+                score = emit[np.arange(len(path)), path].sum() - cost * (path[1:] != path[:-1]).sum()
+                out.append(float(kernels.log_sum(ahead, 0) - score))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(out)], names=schema_names).cast(arrow)
+
+    schema_names = [*keys, "nll"]
+    return sites.groupBy(*keys).agg(rows).mapInArrow(run, schema)
+
+
 def _schema(df: DataFrame, columns: list[str], more: str) -> str:
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", " + more

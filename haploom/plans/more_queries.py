@@ -175,8 +175,8 @@ _EMIT = f"""em AS MATERIALIZED (SELECT contig, pos, ord // {SITES} AS win, ord %
     pairs AS MATERIALIZED (SELECT i.contig, i.pos, i.win, i.t, i.founder AS a, j.founder AS b, i.e + j.e AS e FROM em i JOIN em j ON i.contig = j.contig AND i.pos = j.pos AND i.founder <= j.founder)"""
 
 
-def _recursive(more: str, select: str) -> str:
-    return with_views(select, "cells", more=f"{_EMIT}, {more}").replace("WITH ", "WITH RECURSIVE ", 1)
+def _recursive(more: str, select: str, *views: str) -> str:
+    return with_views(select, "cells", *views, more=f"{_EMIT}, {more}").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _best(states: str, emission: str, start: str, step: str, state: tuple[str, ...]) -> str:
@@ -281,6 +281,42 @@ def crf_diploid_long(s, d):
     return _long_score(s, d, "crf_diploid", 0.0, 0.0, -2.0, -4.0)
 
 
+@query(_best("pairs", "(n.e - CASE WHEN n.a = n.b THEN 0.7 ELSE 0 END)", "0.0", "(-2.0) * least((v.a <> n.a)::INT + (v.b <> n.b)::INT, (v.a <> n.b)::INT + (v.b <> n.a)::INT)", ("a", "b")))
+def crf_penalty_windows(s, d):
+    """Equal founders pay a penalty, taken from a column."""
+    cut = _cut(s, d).withColumn("own", F.lit(0.7))
+    path = kernels.decode(cut.select("contig", "window", "t", "features", "own"), ["contig", "window"], "t", "crf_diploid", penalty="own")
+    return _scored(cut, path, "crf_diploid", 0.0, 0.0, -2.0, -4.0, -0.7)
+
+
+@query(_best("em", "n.e", "(-ln(4))", "CASE WHEN v.founder = n.founder THEN ln(0.99) ELSE ln(0.01 / 3) END", ("founder",)).replace("FROM cells)", "FROM cells WHERE founder % 2 = 0)"))
+def hmm_kept_windows(s, d):
+    """Only every other founder is decoded; paths are in terms of all."""
+    even = F.array(*(F.get("features", F.lit(i)) for i in range(0, K, 2)))
+    cut = _cut(s, d)
+    path = kernels.decode(cut.withColumn("keep", F.array(*map(F.lit, range(0, K, 2)))).select("contig", "window", "t", "features", "keep"), ["contig", "window"], "t", "hmm_haploid", keep="keep")
+    halved = path.withColumns({c: (F.col(c) / 2).cast("int") for c in ("p1", "p2")})
+    return _scored(cut.withColumn("features", even), halved, "hmm_haploid", -math.log(4), _STAY, math.log(0.01 / 3), 0.0, single=True)
+
+
+@query(
+    _recursive(
+        """f AS (SELECT contig, win, t, founder, CAST(e AS DOUBLE) AS s FROM em WHERE t = 0
+        UNION ALL SELECT contig, win, t, founder, e + list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) FROM (
+          SELECT n.contig, n.win, n.t, n.founder, any_value(n.e) AS e, list(v.s + CASE WHEN v.founder = n.founder THEN 0 ELSE -2.0 END) AS l FROM f v JOIN em n ON n.contig = v.contig AND n.win = v.win AND n.t = v.t + 1 GROUP BY n.contig, n.win, n.t, n.founder)),
+      ends AS (SELECT contig, win, max(t) AS t FROM em GROUP BY ALL),
+      totals AS (SELECT contig, win, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) AS total FROM (SELECT contig, win, list(s) AS l FROM f JOIN ends USING (contig, win, t) GROUP BY ALL)),
+      own AS (SELECT e.contig, e.win, e.t, e.e, CASE WHEN p.p1 <> lag(p.p1) OVER (PARTITION BY e.contig, e.win ORDER BY e.t) THEN -2.0 ELSE 0 END AS c FROM em e JOIN path p ON p.contig = e.contig AND p.pos = e.pos AND p.p1 = e.founder)""",
+        'SELECT o.contig, o.win AS "window", round(any_value(total) - sum(e + c), 6) AS nll FROM own o JOIN totals t ON t.contig = o.contig AND t.win = o.win GROUP BY o.contig, o.win',
+        "path",
+    )
+)
+def crf_nll_windows(s, d):
+    """How unlikely the founders with most reads are as a path."""
+    cut = _cut(s, d).join(V.path(s, d).select("contig", "pos", "p1"), ["contig", "pos"])
+    return lattice.path_nll(cut, ["contig", "window"], "t", "p1").select("contig", "window", F.round("nll", 6).alias("nll"))
+
+
 def _passes(states: str, step: str, state: tuple[str, ...]) -> str:
     """SQL of the largest posterior of each site by forward and backward passes."""
     own, new = ", ".join(state), ", ".join(f"n.{c}" for c in state)
