@@ -207,7 +207,7 @@ def _long_score(s, d, model, *costs, **more):
     """The same for contigs that are decoded in chunks of 100 sites."""
     cut = order.with_ordinal(V.features(s, d), ["pos"], ["contig"], "t").withColumn("window", F.lit(0).cast("long"))
     path = lattice.decode_long(cut.select("contig", "t", "features"), ["contig"], "t", model, chunk=100).withColumn("window", F.lit(0).cast("long"))
-    return _scored(cut, path, model, *costs, **more).select("contig", F.col("n").cast("long").alias("n"), F.round("score", 3).alias("score"))
+    return _scored(cut, path, model, *costs, **more, digits=3).select("contig", F.col("n").cast("long").alias("n"), "score")
 
 
 def _long(sql: str) -> str:
@@ -216,7 +216,7 @@ def _long(sql: str) -> str:
     return inner.replace('SELECT contig, win AS "window", ', "SELECT contig, ")
 
 
-def _scored(cut, path, model, start, same, one, two, homozygous=0.0, single=False):
+def _scored(cut, path, model, start, same, one, two, homozygous=0.0, single=False, digits=4):
     """contig, window, n, score of a path by window and t."""
     logs = cut.select("contig", "window", "t", F.transform(kernels.softmax_array(F.col("features").cast("array<double>")), lambda x: F.log(x)).alias("e"))
     both = path.join(logs, ["contig", "window", "t"])
@@ -230,7 +230,7 @@ def _scored(cut, path, model, start, same, one, two, homozygous=0.0, single=Fals
     cost = F.when(q1.isNull(), F.lit(start)).when(moved == 0, F.lit(same)).when(moved == 1, F.lit(one)).otherwise(F.lit(two))
     emitted = F.get("e", F.col("p1")) + (F.lit(0.0) if single else F.get("e", F.col("p2")) + F.when(F.col("p1") == F.col("p2"), homozygous).otherwise(0.0))
     scored = both.select("contig", "window", "t", (emitted + cost).alias("score"))
-    return scored.groupBy("contig", "window").agg((F.max("t") + 1).alias("n"), F.round(F.sum("score"), 4).alias("score"))
+    return scored.groupBy("contig", "window").agg((F.max("t") + 1).alias("n"), F.round(F.sum("score"), digits).alias("score"))
 
 
 _STAY, _MOVE = math.log(0.99), math.log(0.01 / (K - 1))
