@@ -202,6 +202,28 @@ def _svm(space: Nystroem, toxic: Counter, clean: Counter) -> tuple[np.ndarray, f
     return w[:-1], float(w[-1])
 
 
+class Vocabulary:
+    """Words whose letters and norms are kept, to be judged by many tables."""
+
+    def __init__(self, words: list[str]):
+        self.coded = [letters(w) for w in words]
+        self.norms = [np.sqrt(self_kernels(rows)).astype(np.float32) for _, rows, _ in self._parts()]
+
+    def _parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for at in range(0, len(self.coded), 20_000):
+            yield at, *padded(self.coded[at : at + 20_000])
+
+    def margins(self, table: np.ndarray, bias: float) -> np.ndarray:
+        """What ``Model.margins`` gives."""
+        out = np.full(len(self.coded), -np.inf)
+        for (at, rows, owner), norm in zip(self._parts(), self.norms, strict=True):
+            total = np.zeros(len(rows), dtype=np.float32)
+            for codes, weight in triples(rows):
+                total += np.float32(weight) * table[codes].sum(axis=1)
+            np.maximum.at(out, at + owner, total / norm + bias)
+        return out
+
+
 class Bags:
     """Labelled documents as sentences of numbered words."""
 
@@ -260,7 +282,7 @@ def fit(docs: list[list[list[str]]], y: np.ndarray, share: float, rounds: int =
     in_clean, in_toxic = bags.counts(inner)
     n_toxic = int(y[inner].sum())
     n_clean = len(inner) - n_toxic
-    long = np.array([len(letters(w)) >= 3 for w in bags.words] or [False])
+    long = np.array([len(letters(w)) >= 3 for w in bags.words], dtype=bool)
     odds, telling = np.full((2, len(bags.words)), -np.inf)
     for w, n in in_toxic.items():
         if long[w]:
@@ -274,6 +296,7 @@ def fit(docs: list[list[list[str]]], y: np.ndarray, share: float, rounds: int =
         p = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(1 << 15, dtype=np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
     space = Nystroem([bags.words[w] for w in dict.fromkeys(marks)])
+    known = Vocabulary(bags.words)
     best: tuple[float, Model, np.ndarray] | None = None
     for least in WITNESS_DOCS:
         toxic, clean = bags.tops(telling, inner)
@@ -282,7 +305,7 @@ def fit(docs: list[list[list[str]]], y: np.ndarray, share: float, rounds: int =
             kept = Counter({w: n for w, n in toxic.items() if in_toxic[w] >= least and odds[w] > LEAST_ODDS}) or toxic
             w, bias = _svm(space, Counter({bags.words[i]: n for i, n in kept.items()}), Counter({bags.words[i]: n for i, n in clean.items() if i not in kept}))
             model = Model(space.table(w), bias, 1.0, 0.0)
-            value = np.where(long, model.margins(bags.words) if bags.words else 0.0, bias)
+            value = np.where(long, known.margins(model.table, bias), bias)
             margins = bags.margins(value, bias)
             found = _agreement(margins[judged], y[judged])
             if best is None or found > best[0]:

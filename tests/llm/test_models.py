@@ -200,6 +200,9 @@ def test_svm_on_the_map_is_that_of_the_kernel():
     w, bias = toxicity._svm(space, Counter({words[0]: 3}), Counter({x: 1 for x in words[1:]}))
     assert np.allclose(toxicity.Model(space.table(w), bias, 1.0, 0.0).margins(words), z @ w + bias, atol=1e-3)
     assert (z @ w + bias).argmax() == 0
+    table = space.table(w)
+    odd = [*words, "ab", "", "x" * 200, "gro.bnik"]
+    assert np.allclose(toxicity.Vocabulary(odd).margins(table, bias), toxicity.Model(table, bias, 1.0, 0.0).margins(odd), atol=1e-4)
 
 
 def test_training_on_odd_documents():
