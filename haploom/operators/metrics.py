@@ -141,10 +141,13 @@ def _alike(cells: DataFrame, keys: list[str], t: str, founder: str, value: str,
     """Sites with the segments of one true founder; and whether each founder is like the truth all along a segment."""
     from haploom.operators.islands import with_segments
 
-    segments = with_segments(cells.select(*keys, t, truth).distinct(), [truth], [t], keys, "segment")
-    laid = cells.join(segments.select(*keys, t, "segment"), [*keys, t])
-    true_cell = laid.where(F.col(founder) == F.col(truth)).select(*keys, t, F.col(value).alias("__true"))
-    return segments, laid.join(true_cell, [*keys, t]).groupBy(*keys, "segment", founder).agg(F.bool_and(F.col(value) == F.col("__true")).alias("__same"))
+    # a site's cells stay together until its segment is known: one row of founders a site, and no join with itself
+    gathered = cells.groupBy(*keys, t, truth).agg(F.collect_list(F.struct(F.col(founder).alias("f"), F.col(value).alias("v"))).alias("__cells"))
+    segments = with_segments(gathered, [truth], [t], keys, "segment")
+    own = F.get(F.filter("__cells", lambda c: c["f"] == F.col(truth)), F.lit(0))["v"]
+    known = segments.withColumn("__true", own).where("__true IS NOT NULL")
+    laid = known.select(*keys, "segment", "__true", F.explode("__cells").alias("c")).select(*keys, "segment", F.col("c.f").alias(founder), (F.col("c.v") == F.col("__true")).alias("__like"))
+    return segments.drop("__cells"), laid.groupBy(*keys, "segment", founder).agg(F.bool_and("__like").alias("__same"))
 
 
 def ceilings(cells: DataFrame, keys: list[str], t: str, founder: str, value: str, truth: str, carried: DataFrame, called: DataFrame) -> DataFrame:
