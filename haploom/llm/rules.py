@@ -83,7 +83,10 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
         at = np.flatnonzero(text[: len(window)] == text[WINDOW - 1 :])
         order = at[np.lexsort((window[at], text[at]))]
         twin = (window[order][1:] == window[order][:-1]) & (text[order][1:] == text[order][:-1])
-        found = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
+        both = np.zeros(len(order), dtype=bool)
+        both[1:] |= twin
+        both[:-1] |= twin
+        found = order[both]
         cover = np.bincount(found, minlength=len(begins) + 1) - np.bincount(found + WINDOW, minlength=len(begins) + 1)
         repeated[1:] = np.cumsum(np.cumsum(cover)[: len(begins)] > 0)
     lines = np.array([_lines(t) for t in texts], dtype=np.int64).reshape(-1, 2)

@@ -28,6 +28,7 @@ def plain(text):
 def test_counts(spark):
     rng = random.Random(3)
     texts = [t for _, t in ODD] + ["a b c d e a b c d e", "A b c d e\nA b c d e\n\n \nA b c d e ", "x\x0by\x0cz\x85w v", "#$|<", "\U0001f600é " * 3, " ".join(prose(rng, 5000) * 2)]
+    assert R.measure(["a b", "c d e", "f"])["n_repeat_words"].tolist() == [0, 0, 0] and R.measure([""])["n_words"].tolist() == [0]
     texts += [" ".join(rng.choices("abc", k=rng.randrange(0, 60))) for _ in range(60)]
     got = {r.doc_id: tuple(r[c] for c in R.COUNTS) for r in R.measured(documents(spark, list(enumerate(texts)), clash=True)).collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
@@ -57,11 +58,11 @@ ONE = {"symbols": ("n_symbols / greatest(word_chars, 1)", (0.5, 0.3, 0.1, 0.05))
 
 def test_cut_offs(spark):
     """The strictest cut-off whose tail, and all laxer ones', stay below the corrected level."""
-    rows = [(i, "big", 80 if i < 10 else 0) for i in range(2000)] + [(5000 + i, "small", 0) for i in range(60)]
+    rows = [(i, "big", 80 if i < 15 else 0) for i in range(2000)] + [(5000 + i, "small", 0) for i in range(60)]
     labels = spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id long, good int")
     cuts = R.calibrate(table(spark, rows), labels, lost=0.01, doubt=0.05, rules=ONE)
     tried = {(r.stratum, r.step): r for r in cuts.tried.collect()}
-    assert [tried["big", k].x for k in range(4)] == [0, 0, 0, 10] and tried["small", 0].n == 60
+    assert [tried["big", k].x for k in range(4)] == [0, 0, 0, 15] and tried["small", 0].n == 60
     assert all(r.vouched == (R.binomial_tail(r.x, r.n, 0.01) <= 0.05 / 2) for r in tried.values())
     assert {r.stratum: r.symbols for r in cuts.chosen.collect()} == {"big": 0.1}
     docs = table(spark, [(1, "big", 99), (2, "big", 101), (3, "small", 900), (4, "new", 900)])
