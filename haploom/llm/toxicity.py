@@ -255,11 +255,14 @@ class Bags:
         return np.array([max((value[s].max() for s in d), default=bias) for d in self.docs])
 
 
-def _agreement(margins: np.ndarray, y: np.ndarray) -> float:
-    """The best F1 of any threshold."""
+def _agreement(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(the best F1 of any threshold, that threshold: halfway between the margins that it parts)."""
     order = np.argsort(-margins, kind="stable")
-    hits = np.cumsum(y[order])
-    return float((2 * hits / (np.arange(1, len(y) + 1) + y.sum())).max())
+    hits, ranked = np.cumsum(y[order]), margins[order]
+    f1 = np.where(np.append(ranked[1:] < ranked[:-1], True), 2 * hits / (np.arange(1, len(y) + 1) + y.sum()), 0.0)
+    at = int(f1.argmax())
+    below = ranked[at + 1] if at + 1 < len(ranked) else ranked[at] - 1
+    return float(f1[at]), float(ranked[at] + below) / 2
 
 
 def fit(docs: list[list[list[str]]], y: np.ndarray, share: float, rounds: int = 4) -> Model:
@@ -297,7 +300,7 @@ def fit(docs: list[list[list[str]]], y: np.ndarray, share: float, rounds: int =
         return Model(np.zeros(1 << 15, dtype=np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
     space = Nystroem([bags.words[w] for w in dict.fromkeys(marks)])
     known = Vocabulary(bags.words)
-    best: tuple[float, Model, np.ndarray] | None = None
+    best: tuple[tuple[float, float], Model, np.ndarray] | None = None
     for least in WITNESS_DOCS:
         toxic, clean = bags.tops(telling, inner)
         for _ in range(rounds):
@@ -308,12 +311,14 @@ def fit(docs: list[list[list[str]]], y: np.ndarray, share: float, rounds: int =
             value = np.where(long, known.margins(model.table, bias), bias)
             margins = bags.margins(value, bias)
             found = _agreement(margins[judged], y[judged])
-            if best is None or found > best[0]:
+            if best is None or found[0] > best[0][0]:
                 best = found, model, margins
             toxic, clean = bags.tops(value, inner)
-    _, model, margins = best
+    (_, cut), model, margins = best
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    model.a, model.b = platt(margins[judged], y[judged], weight[judged])
+    model.a, _ = platt(margins[judged], y[judged], weight[judged])
+    # even odds lie where misses and false alarms balance best, also where toxic documents are few
+    model.b = -model.a * cut
     return model
 
 
