@@ -139,14 +139,21 @@ def logits_haploid(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return viterbi(log_softmax(logits), trans, np.full(k, -np.log(k)))
 
 
+def logits_transitions(weights: np.ndarray, homozygous: float = -0.1, two: float = -1e6) -> tuple[np.ndarray, float]:
+    """(transitions of pairs, what equal founders add) of ``logits_diploid``."""
+    k = len(weights)
+    i, j = pairs(k)
+    p = stay_of_weights(weights)
+    stay, move = np.log(p), np.log((1 - p) / max(k - 1, 1))
+    left, right = i[:, None] == i, j[:, None] == j
+    return np.where(left & right, 2 * stay, np.where(left | right, stay + move, two)), homozygous
+
+
 def logits_diploid(logits: np.ndarray, weights: np.ndarray, homozygous: float = -0.1, two: float = -1e6) -> np.ndarray:
     """Pairs of founders (two columns) of a model's logits: each slot stays or changes by itself, both at once
     at a prohibitive cost."""
     i, j = pairs(logits.shape[1])
-    p = stay_of_weights(weights)
-    stay, move = np.log(p), np.log((1 - p) / max(logits.shape[1] - 1, 1))
-    left, right = i[:, None] == i, j[:, None] == j
-    trans = np.where(left & right, 2 * stay, np.where(left | right, stay + move, two))
+    trans, homozygous = logits_transitions(weights, homozygous, two)
     path = viterbi(pair_emissions(log_softmax(logits), -homozygous), trans, np.full(len(i), -np.log(len(i))))
     return np.stack([i[path], j[path]], axis=1)
 

@@ -168,6 +168,8 @@ def paired_files(s, d):
 # --- decoders on windows: what a decoded path scores, held against the best score by recursion ------
 
 SITES = 32
+#: Sites whose switches are scored together.
+BLOCK = 4096
 #: More sites than a contig has: one window holds all of them.
 WHOLE = 1 << 40
 _EMIT = f"""em AS MATERIALIZED (SELECT contig, pos, ord // {SITES} AS win, ord % {SITES} AS t, founder, x - m - ln(sum(exp(x - m)) OVER (PARTITION BY contig, pos)) AS e FROM (
@@ -191,21 +193,20 @@ def _best(states: str, emission: str, start: str, step: str, state: tuple[str, .
 
 def _cut(s, d):
     """Sites in windows of ``SITES``."""
-    ordered = order.with_ordinal(V.features(s, d), ["pos"], ["contig"])
+    ordered = order.numbered(V.features(s, d), ["pos"], ["contig"])
     return ordered.withColumn("window", F.floor(F.col("ord") / SITES)).withColumn("t", (F.col("ord") % SITES).cast("int"))
 
 
 def _path_score(s, d, model, start, same, one, two, homozygous=0.0, single=False):
     """What the path that a model finds in each window scores, by emissions and switches of its founders."""
     cut = _cut(s, d)
-    decode = kernels.decode if model.startswith("logits") else lattice.decode_windows
-    path = decode(cut.select("contig", "window", "t", "features"), ["contig", "window"], "t", model)
+    path = lattice.decode_windows(cut.select("contig", "window", "t", "features"), ["contig", "window"], "t", model)
     return _scored(cut, path, model, start, same, one, two, homozygous, single)
 
 
 def _long_score(s, d, model, *costs, **more):
     """The same for contigs that are decoded in chunks of 100 sites."""
-    cut = order.with_ordinal(V.features(s, d), ["pos"], ["contig"], "t").withColumn("window", F.lit(0).cast("long"))
+    cut = order.numbered(V.features(s, d), ["pos"], ["contig"], "t").withColumn("window", F.lit(0).cast("long"))
     path = lattice.decode_long(cut.select("contig", "t", "features"), ["contig"], "t", model, chunk=100).withColumn("window", F.lit(0).cast("long"))
     return _scored(cut, path, model, *costs, **more, digits=3).select("contig", F.col("n").cast("long").alias("n"), "score")
 
@@ -220,7 +221,10 @@ def _scored(cut, path, model, start, same, one, two, homozygous=0.0, single=Fals
     """contig, window, n, score of a path by window and t."""
     logs = cut.select("contig", "window", "t", F.transform(kernels.softmax_array(F.col("features").cast("array<double>")), lambda x: F.log(x)).alias("e"))
     both = path.join(logs, ["contig", "window", "t"])
-    w = W.partitionBy("contig", "window").orderBy("t")
+    # a window may be a whole contig: it is taken in blocks, each with the last site before it
+    block = F.floor(F.col("t") / BLOCK)
+    both = both.withColumn("block", F.explode(F.when((F.col("t") + 1) % BLOCK == 0, F.array(block, block + 1)).otherwise(F.array(block))))
+    w = W.partitionBy("contig", "window", "block").orderBy("t")
     q1, q2 = F.lag("p1").over(w), F.lag("p2").over(w)
     moved = (F.col("p1") != q1).cast("int") + (F.col("p2") != q2).cast("int")
     if model.startswith("crf"):
@@ -229,7 +233,7 @@ def _scored(cut, path, model, start, same, one, two, homozygous=0.0, single=Fals
         moved = (F.col("p1") != q1).cast("int")
     cost = F.when(q1.isNull(), F.lit(start)).when(moved == 0, F.lit(same)).when(moved == 1, F.lit(one)).otherwise(F.lit(two))
     emitted = F.get("e", F.col("p1")) + (F.lit(0.0) if single else F.get("e", F.col("p2")) + F.when(F.col("p1") == F.col("p2"), homozygous).otherwise(0.0))
-    scored = both.select("contig", "window", "t", (emitted + cost).alias("score"))
+    scored = both.select("contig", "window", "t", "block", (emitted + cost).alias("score")).where(F.col("block") == block)
     return scored.groupBy("contig", "window").agg((F.max("t") + 1).alias("n"), F.round(F.sum("score"), digits).alias("score"))
 
 
@@ -285,7 +289,7 @@ def crf_diploid_long(s, d):
 def crf_penalty_windows(s, d):
     """Equal founders pay a penalty, taken from a column."""
     cut = _cut(s, d).withColumn("own", F.lit(0.7))
-    path = kernels.decode(cut.select("contig", "window", "t", "features", "own"), ["contig", "window"], "t", "crf_diploid", penalty="own")
+    path = lattice.decode_windows(cut.select("contig", "window", "t", "features", "own"), ["contig", "window"], "t", "crf_diploid", penalty="own")
     return _scored(cut, path, "crf_diploid", 0.0, 0.0, -2.0, -4.0, -0.7)
 
 
@@ -294,7 +298,7 @@ def hmm_kept_windows(s, d):
     """Only every other founder is decoded; paths are in terms of all."""
     even = F.array(*(F.get("features", F.lit(i)) for i in range(0, K, 2)))
     cut = _cut(s, d)
-    path = kernels.decode(cut.withColumn("keep", F.array(*map(F.lit, range(0, K, 2)))).select("contig", "window", "t", "features", "keep"), ["contig", "window"], "t", "hmm_haploid", keep="keep")
+    path = lattice.decode_windows(cut.withColumn("keep", F.array(*map(F.lit, range(0, K, 2)))).select("contig", "window", "t", "features", "keep"), ["contig", "window"], "t", "hmm_haploid", keep="keep")
     halved = path.withColumns({c: (F.col(c) / 2).cast("int") for c in ("p1", "p2")})
     return _scored(cut.withColumn("features", even), halved, "hmm_haploid", -math.log(4), _STAY, math.log(0.01 / 3), 0.0, single=True)
 
@@ -335,7 +339,7 @@ def _passes(states: str, step: str, state: tuple[str, ...]) -> str:
 
 @query(_passes("em", "CASE WHEN v.founder = n.founder THEN 0 ELSE -2.0 END", ("founder",)))
 def crf_marginal_windows(s, d):
-    p = kernels.posterior(_cut(s, d).select("contig", "window", "t", "features"), ["contig", "window"], "t")
+    p = lattice.posterior_windows(_cut(s, d).select("contig", "window", "t", "features"), ["contig", "window"], "t", diploid=False)
     return p.select("contig", "window", "t", F.round(F.abs("log_p"), 6).alias("cost"))
 
 

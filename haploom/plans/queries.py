@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haploom.functions import scalar
-from haploom.operators import intervals, islands, kernels, metrics, order, simulate, sites, variants, windows
+from haploom.operators import intervals, islands, kernels, lattice, metrics, order, simulate, sites, variants, windows
 from haploom.plans import views as V
 from haploom.plans.views import K, with_views
 from haploom.streaming import runs
@@ -759,7 +759,7 @@ def event_windows(s, d):
 
 
 def _decoded(s, d, model):
-    return kernels.decode(V.features(s, d), ["contig"], "pos", model)
+    return lattice.decode_long(V.features(s, d), ["contig"], "pos", model)
 
 
 @query()
@@ -779,7 +779,7 @@ def crf_viterbi(s, d):
 
 @query()
 def crf_marginal(s, d):
-    return kernels.posterior(V.features(s, d), ["contig"], "pos").withColumn("log_p", F.round("log_p", 6))
+    return lattice.posterior_long(V.features(s, d), ["contig"], "pos").withColumn("log_p", F.round("log_p", 6))
 
 
 def _lengths(s, d):
