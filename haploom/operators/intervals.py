@@ -104,10 +104,12 @@ def within_tolerance(left: DataFrame, right: DataFrame, keys: list[str], pos: st
 
 def region_codes(df: DataFrame, chrom: str = "chrom", start: str = "start", ord_col: str = "ord") -> DataFrame:
     """chrom, region, parent, code: the filled cells of a matrix of regions and parents. Regions are numbered
-    by start, equal ones by their place in the file; code 1: first parent, 2: second, 3: both."""
-    numbered = df.withColumn("region", F.row_number().over(W.partitionBy(chrom).orderBy(start, ord_col)) - 1)
-    long = numbered.select(chrom, "region", F.explode(F.array(F.struct(F.col("parent1").alias("parent"), F.lit(1).alias("code")), F.struct(F.col("parent2").alias("parent"), F.lit(2).alias("code")))).alias("x"))
-    return long.select(chrom, "region", "x.*").where("parent IS NOT NULL").groupBy(chrom, "region", "parent").agg(F.sum("code").cast("int").alias("code"))
+    by start, equal ones by their place in the file, by ranges of rows; code 1: first parent, 2: second, 3: both."""
+    placed = numbered(df.select(chrom, start, ord_col, "parent1", "parent2"), [start, ord_col], [chrom], "region").withColumn("region", F.col("region").cast("int"))
+    cell = lambda c, code: F.struct(F.col(c).alias("parent"), F.lit(code).alias("code"))
+    # a region is one row, so its cells need not be gathered
+    cells = F.when(F.col("parent1") == F.col("parent2"), F.array(cell("parent1", 3))).otherwise(F.array(cell("parent1", 1), cell("parent2", 2)))
+    return placed.select(chrom, "region", F.explode(cells).alias("x")).select(chrom, "region", "x.*").where("parent IS NOT NULL")
 
 
 def region_matrix(df: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", ord_col: str = "ord", block: int = 4096) -> tuple[DataFrame, DataFrame]:
