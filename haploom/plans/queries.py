@@ -236,14 +236,19 @@ def union_paths(s, d):
     return V.path(s, d).select(F.col("contig").alias("chrom")).unionByName(V.spans(s, d).select("chrom")).groupBy("chrom").agg(F.count("*").alias("n"))
 
 
+def _span_contigs(s, d):
+    """Contigs are few and joined once each, by broadcast: their rows would all meet in one task."""
+    return F.broadcast(V.spans(s, d).select(F.col("chrom").alias("contig")).distinct())
+
+
 @query(with_views("SELECT DISTINCT contig FROM path WHERE contig NOT IN (SELECT chrom FROM spans)", "path", "spans"))
 def anti_missing_contigs(s, d):
-    return V.path(s, d).join(V.spans(s, d), F.col("contig") == F.col("chrom"), "left_anti").select("contig").distinct()
+    return V.path(s, d).select("contig").distinct().join(_span_contigs(s, d), "contig", "left_anti")
 
 
 @query(with_views("SELECT contig, count(*) AS n FROM path WHERE contig IN (SELECT chrom FROM spans) GROUP BY contig", "path", "spans"))
 def semi_covered_contigs(s, d):
-    return V.path(s, d).join(V.spans(s, d), F.col("contig") == F.col("chrom"), "left_semi").groupBy("contig").agg(F.count("*").alias("n"))
+    return V.path(s, d).groupBy("contig").agg(F.count("*").alias("n")).join(_span_contigs(s, d), "contig", "left_semi")
 
 
 # --- variants ---------------------------------------------------------------------------------
