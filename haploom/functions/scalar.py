@@ -85,18 +85,28 @@ def encode_array(cells: Column, dtype: str = "uint32") -> Column:
     width, kind = KINDS[dtype]
     if kind == "float":
         raise ValueError("only arrays of whole numbers are encoded")
-    byte = lambda x, i: F.lpad(F.hex(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))), 2, "0")
-    text = F.array_join(F.transform(cells, lambda x: F.concat(*(byte(x.cast("long"), i) for i in range(width)))), "")
+    low = lambda x: x.cast("long") if width == 8 else x.cast("long").bitwiseAND(F.lit((1 << 8 * width) - 1).cast("long"))
+    text = F.array_join(F.transform(cells, lambda x: F.reverse(F.lpad(F.hex(_swapped(low(x))), 2 * width, "0"))), "")
     return F.base64(F.unhex(text))
 
 
+def _swapped(x: Column) -> Column:
+    """A long with the halves of each byte swapped: its digits backwards are then those of its bytes backwards."""
+    half = F.lit(0x0F0F0F0F0F0F0F0F).cast("long")
+    return F.shiftleft(x.bitwiseAND(half), 4).bitwiseOR(F.shiftrightunsigned(x, 4).bitwiseAND(half))
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it: an element of an array of one."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _whole(digits: Column, width: int, signed: bool) -> Column:
-    """A little-endian number from its hexadecimal digits: 32 bits at a time, so that no step overflows."""
-    part = lambda a, b: F.conv(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(b - 1, a - 1, -1))), 16, 10).cast("long")
-    if width == 8:
-        return F.shiftleft(part(4, 8), 32).bitwiseOR(part(0, 4))
-    whole = part(0, width)
-    return F.when(whole >= 1 << (8 * width - 1), whole - (1 << (8 * width))).otherwise(whole) if signed else whole
+    """A little-endian number from its hexadecimal digits."""
+    whole = _swapped(F.conv(F.reverse(digits), 16, -10).cast("long"))
+    if width == 8 or not signed:
+        return whole
+    return _bound(whole, lambda x: F.when(x >= 1 << (8 * width - 1), x - (1 << (8 * width))).otherwise(x))
 
 
 def _real(bits: Column, exponent: int, mantissa: int) -> Column:
@@ -112,42 +122,43 @@ def _real(bits: Column, exponent: int, mantissa: int) -> Column:
     return F.when(field == 0, small).when(field == (1 << exponent) - 1, special).otherwise(usual)
 
 
-def _checked(text: Column, dtype: str, n: Column | None) -> tuple[Column, Column]:
-    """(bytes, reason why they cannot be read, else null)."""
-    width = KINDS[dtype][0]
-    raw = F.try_to_binary(text, F.lit("base64"))
-    size = F.octet_length(raw)
-    wrong = size % width != 0 if n is None else size != n * width
-    return raw, F.when(text.isNull(), "no data").when(raw.isNull(), "not base64").when(wrong, "wrong size")
-
-
 def decode_array(text: Column, dtype: str = "uint32", n: Column | None = None) -> Column:
     """(values, reason) of little-endian numbers in base64: whole numbers as longs, others as doubles. Values are null and
     a reason is given where there is no data, it is not base64, or its size does not fit the type (or ``n`` elements)."""
     width, kind = KINDS[dtype]
-    raw, reason = _checked(text, dtype, n)
-    digits = F.hex(raw)
-    # the digits are bound once, by an array of one element, and sliced for each element
-    count = (F.length(digits) / (2 * width)).cast("int")
-    own = lambda h, i: F.substring(h, i * (2 * width) + 1, F.lit(2 * width))
 
     def element(piece: Column) -> Column:
         if kind == "float":
-            bits = _whole(piece, width, False)
-            return _real(bits, *((8, 23) if width == 4 else (11, 52)))
+            return _bound(_whole(piece, width, False), lambda bits: _real(bits, *((8, 23) if width == 4 else (11, 52))))
         return _whole(piece, width, kind == "signed")
 
-    values = F.when(count == 0, F.array().cast("array<double>" if kind == "float" else "array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: element(own(digits, i))))
-    return F.struct(F.when(reason.isNull(), values).alias("values"), reason.alias("reason"))
+    def read(x: Column) -> Column:
+        size = F.length(x["digits"]) / 2
+        wrong = size % width != 0 if n is None else size != x["n"] * width
+        reason = F.when(x["none"], "no data").when(x["digits"].isNull(), "not base64").when(wrong, "wrong size")
+        return F.struct(x["digits"].alias("digits"), (size / width).cast("int").alias("count"), reason.alias("reason"))
+
+    def told(x: Column) -> Column:
+        own = lambda i: F.substring(x["digits"], i * (2 * width) + 1, F.lit(2 * width))
+        values = F.when(x["count"] == 0, F.array().cast("array<double>" if kind == "float" else "array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(x["count"] - 1, F.lit(0))), lambda i: element(own(i))))
+        return F.struct(F.when(x["reason"].isNull(), values).alias("values"), x["reason"].alias("reason"))
+
+    size = F.lit(None).cast("long") if n is None else n
+    digits = lambda x: F.struct(x["text"].isNull().alias("none"), F.hex(F.try_to_binary(x["text"], F.lit("base64"))).alias("digits"), x["n"].alias("n"))
+    return _bound(_bound(_bound(F.struct(text.alias("text"), size.alias("n")), digits), read), told)
 
 
 def decode_matrix(text: Column, rows: Column, columns: Column, dtype: str = "float64") -> Column:
     """(values, reason) of a matrix of a stated shape, row by row; a shape that is not known is a reason too."""
-    flat = decode_array(text, dtype, rows * columns)
-    reason = F.when(rows.isNull() | columns.isNull() | (rows < 0) | (columns < 0), "no shape").otherwise(flat["reason"])
     kind = "double" if KINDS[dtype][1] == "float" else "bigint"
-    split = F.when(rows > 0, F.transform(F.sequence(F.lit(0), F.greatest(rows - 1, F.lit(0))), lambda r: F.slice(flat["values"], (r * columns + 1).cast("int"), columns.cast("int")))).otherwise(F.array().cast(f"array<array<{kind}>>"))
-    return F.struct(F.when(reason.isNull(), split).alias("values"), reason.alias("reason"))
+
+    def told(x: Column) -> Column:
+        rows, columns, flat = x["rows"], x["columns"], x["flat"]
+        reason = F.when(rows.isNull() | columns.isNull() | (rows < 0) | (columns < 0), "no shape").otherwise(flat["reason"])
+        split = F.when(rows > 0, F.transform(F.sequence(F.lit(0), F.greatest(rows - 1, F.lit(0))), lambda r: F.slice(flat["values"], (r * columns + 1).cast("int"), columns.cast("int")))).otherwise(F.array().cast(f"array<array<{kind}>>"))
+        return F.struct(F.when(reason.isNull(), split).alias("values"), reason.alias("reason"))
+
+    return _bound(F.struct(rows.alias("rows"), columns.alias("columns"), decode_array(text, dtype, rows * columns).alias("flat")), told)
 
 
 def encode_u32(cells: Column) -> Column:
