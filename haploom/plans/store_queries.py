@@ -27,7 +27,7 @@ def _fasta(s, d) -> str:
     o = V.table(s, d, "orders").select(V.contig(F.col("o_orderkey"), 3).alias("contig"), F.col("o_orderkey").alias("k"))
     body = o.select("contig", F.lit(1).alias("part"), "k", F.md5(F.col("k").cast("string")).alias("line"))
     heads = o.select("contig").distinct().select("contig", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.concat(F.lit("> "), "contig", F.lit(" made")).alias("line"))
-    write_lines(body.unionByName(heads), at, ["contig", "part", "k"], single=True)
+    write_lines(body.unionByName(heads), at, ["contig", "part", "k"])
     return at
 
 
@@ -44,7 +44,7 @@ def fasta_chunks(s, d):
 def fasta_chunks_written(s, d):
     """Written in lines of 60 and read again."""
     at = _file(s, "wrapped")
-    fasta.write_chunks(_store(s, d).coalesce(1), at)
+    fasta.write_chunks(_store(s, d), at)
     return fasta.read_chunks(s, at, SIZE).select("contig", "chunk", "bases")
 
 

@@ -25,14 +25,19 @@ def read_chunks(spark: SparkSession, path, size: int = SIZE) -> DataFrame:
     """path, contig, chunk, bases: the same records in rows of ``size`` bases (see ``operators.chunked``).
 
     Which record a line belongs to, and where it stands in it, are sums over the lines before it, taken by ranges of
-    lines: no task holds a contig. A record without bases has no rows.
+    lines: no task holds a contig. A record without bases has no rows. The parts that one Spark job wrote into a folder are one file, in
+    their order, so that a record may go on in the next part; its path is then the folder.
     """
-    rows = lines(spark, path).withColumn("head", F.col("line").startswith(">")).withColumn("text", F.trim("line")).where("text <> ''")
-    told = running_sum(rows, ["ord"], F.col("head").cast("long"), ["path"], "n").withColumn("n", F.col("n") + F.col("head").cast("long")).where("n > 0")
-    names = told.where("head").select("path", "n", F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("contig"))
-    placed = running_sum(told.where("NOT head").select("path", "n", "ord", "text"), ["ord"], F.length("text").cast("long"), ["path", "n"], "to")
-    parts = placed.withColumnRenamed("n", "record").select("path", "record", "to", F.length("text").cast("long").alias("n"), F.col("text").alias("bases"))
-    return stitch(parts, ["path", "record"], size).join(names.withColumnRenamed("n", "record"), ["path", "record"]).select("path", "contig", "chunk", "bases")
+    named = r"/part-(\d+)-([0-9a-f-]{36})[^/]*$"
+    part, job = (F.regexp_extract("path", named, i) for i in (1, 2))
+    rows = lines(spark, path).select(F.regexp_replace("path", named, "").alias("path"), job.alias("job"), F.when(part != "", part.cast("long")).otherwise(0).alias("part"), F.when(part != "", F.col("path")).otherwise("").alias("file"), "ord", "line")
+    rows = rows.withColumn("head", F.col("line").startswith(">")).withColumn("text", F.trim("line")).where("text <> ''")
+    own, by = ["path", "job"], ["part", "file", "ord"]
+    told = running_sum(rows, by, F.col("head").cast("long"), own, "n").withColumn("n", F.col("n") + F.col("head").cast("long")).where("n > 0")
+    names = told.where("head").select(*own, F.col("n").alias("record"), F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("contig"))
+    placed = running_sum(told.where("NOT head").select(*own, "n", *by, "text"), by, F.length("text").cast("long"), [*own, "n"], "to")
+    parts = placed.select(*own, F.col("n").alias("record"), "to", F.length("text").cast("long").alias("n"), F.col("text").alias("bases"))
+    return stitch(parts, [*own, "record"], size).join(names, [*own, "record"]).select("path", "contig", "chunk", "bases")
 
 
 def write_chunks(store: DataFrame, path: str) -> None:
