@@ -19,7 +19,8 @@ def read_vcf(spark: SparkSession, path, samples: list[str] | None = None, region
     rows = text.where(~F.col("line").startswith("#") & (F.size(parts) >= 8)).select("path", "home", "ord", parts[0].alias("chrom"), parts[1].try_cast("long").alias("pos"), parts[3].alias("ref"), parts[4].alias("alt"), parts[7].alias("info"), F.get(parts, F.lit(8)).alias("format"), F.slice(parts, 10, 1_000_000).alias("calls")).where("pos IS NOT NULL")
     if region:
         rows = rows.where((F.col("chrom") == region[0]) & F.col("pos").between(region[1], region[2]))
-    each = rows.join(names, "home").select("*", F.posexplode("calls").alias("i", "call")).withColumn("sample", F.get("names", F.col("i")))
+    # few homes, each with one header: by a join on the home all its records would meet in one task
+    each = rows.join(F.broadcast(names), "home").select("*", F.posexplode("calls").alias("i", "call")).withColumn("sample", F.get("names", F.col("i")))
     if samples is not None:
         each = each.where(F.col("sample").isin(samples))
     at = F.array_position(F.split("format", ":"), "GT")
