@@ -28,9 +28,10 @@ def read_chunks(spark: SparkSession, path, size: int = SIZE) -> DataFrame:
     lines: no task holds a contig. A record without bases has no rows. The parts that one Spark job wrote into a folder are one file, in
     their order, so that a record may go on in the next part; its path is then the folder.
     """
-    named = r"/part-(\d+)-([0-9a-f-]{36})[^/]*$"
-    part, job = (F.regexp_extract("path", named, i) for i in (1, 2))
-    rows = lines(spark, path).select(F.regexp_replace("path", named, "").alias("path"), job.alias("job"), F.when(part != "", part.cast("long")).otherwise(0).alias("part"), F.when(part != "", F.col("path")).otherwise("").alias("file"), "ord", "line")
+    named = r"/part-(\d+)-([0-9a-f-]{36})(?:-c(\d+))?[^/]*$"
+    part, job, file = (F.regexp_extract("path", named, i) for i in (1, 2, 3))
+    number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
+    rows = lines(spark, path).select(F.regexp_replace("path", named, "").alias("path"), job.alias("job"), number(part).alias("part"), number(file).alias("file"), "ord", "line")
     rows = rows.withColumn("head", F.col("line").startswith(">")).withColumn("text", F.trim("line")).where("text <> ''")
     own, by = ["path", "job"], ["part", "file", "ord"]
     told = running_sum(rows, by, F.col("head").cast("long"), own, "n").withColumn("n", F.col("n") + F.col("head").cast("long")).where("n > 0")
