@@ -224,6 +224,22 @@ def test_passages_between_other_words_are_found_one_by_one(spark, gaps):
     assert all(covered.issuperset(range(*x)) for x in want) and all(r.identity >= substring_dedup.MIN_IDENTITY for r in got)
 
 
+def test_outward_alignment_stops_at_the_edits_that_are_left():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        a = rng.integers(0, 5, 20).astype(np.uint32)
+        b = np.delete(np.where(rng.random(20) < 0.2, 9, a), rng.integers(0, 20, 2)).astype(np.uint32)
+        row, want = list(range(len(b) + 1)), [(0, True)]
+        for i, x in enumerate(a.tolist(), 1):
+            new = [i]
+            for j, y in enumerate(b.tolist(), 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            want.append((min(new), any(x == y and row[j] == min(new) for j, y in enumerate(b.tolist()))))
+            row = new
+        for most in (0, 3, 6):
+            assert substring_dedup._outward(a, b, 20, most) == [x for x in want if x[0] <= most]
+
+
 def test_a_far_predecessor_does_not_hide_a_near_one():
     assert substring_dedup.chain([(0, 0, 100), (180, 160, 20), (205, 185, 20)]) == [[(0, 0, 100)], [(180, 160, 20), (205, 185, 20)]]
 
