@@ -224,6 +224,55 @@ def test_passages_between_other_words_are_found_one_by_one(spark, gaps):
     assert all(covered.issuperset(range(*x)) for x in want) and all(r.identity >= substring_dedup.MIN_IDENTITY for r in got)
 
 
+def test_passages_meet_holders_between_the_first_and_the_last_of_their_pieces(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+
+    def around(words):
+        return " ".join(prose(rng, 40) + words + prose(rng, 40))
+
+    for case in range(12):
+        if case % 2:  # runs of six words
+            passage, every = prose(rng, 48), 7
+            changed = [f"x{case}y{i}" if i % every == every - 1 else w for i, w in enumerate(passage)]
+            pieces = [passage[i : i + 6] for i in range(0, 48, 7)]
+        else:  # one run of twelve, and shorter ones than a seed
+            passage = prose(rng, 32)
+            changed = [f"x{case}y{i}" if i > 11 and i % 4 == 0 else w for i, w in enumerate(passage)]
+            pieces = [passage[:12]]
+        base = 1000 * case
+        rows += [(base + i, around(x)) for i, x in enumerate(pieces)] + [(base + 100, around(passage))]
+        rows += [(base + 200 + i, around(x)) for i, x in enumerate(pieces)] + [(base + 300, around(changed))]
+        want[base + 300] = base + 100
+    got = {r.doc_id: r for r in substring_dedup.passages(documents(spark, rows)).collect()}
+    assert {d: r.src_id for d, r in got.items()} == want
+    assert all(r.begin <= 41 and r.end >= 70 and r.identity >= substring_dedup.MIN_IDENTITY for r in got.values())
+
+
+def test_no_surroundings_of_a_passage_are_ruled_out():
+    rng = np.random.default_rng(14)
+    need, wide = 20, substring_dedup._flank(30, 0.8)
+    assert substring_dedup._most(30, 0.8) == 6 and wide == 26
+    passed, kept = 0, 0
+    for _ in range(400):
+        own = rng.integers(1, 40, (2, wide)).astype(np.uint16)
+        other = np.zeros_like(own)
+        for side in (0, 1):
+            words = own[side].tolist()
+            for _ in range(rng.integers(0, 5)):
+                at = int(rng.integers(0, len(words)))
+                words[at : at + 1] = [[], [99], [words[at], 98]][rng.integers(0, 3)]
+            words = words[:wide]
+            other[side, : len(words)] = words
+        costs = [[c for c, _ in substring_dedup._outward(own[i], other[i], need, need)] for i in (0, 1)]
+        least = min(costs[0][i] + costs[1][need - i] for i in range(need + 1))
+        may = bool(substring_dedup._may_reach(own.reshape(1, -1), other.reshape(1, -1), need, 6)[0])
+        assert may or least > 6
+        passed += least <= 6
+        kept += may
+    assert passed > 100 and not substring_dedup._may_reach(own.reshape(1, -1), other[::-1].reshape(1, -1) + 50, need, 6)[0] and kept >= passed
+
+
 def test_outward_alignment_stops_at_the_edits_that_are_left():
     rng = np.random.default_rng(12)
     for _ in range(200):
