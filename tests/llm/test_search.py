@@ -224,6 +224,47 @@ def test_passages_between_other_words_are_found_one_by_one(spark, gaps):
     assert all(covered.issuperset(range(*x)) for x in want) and all(r.identity >= substring_dedup.MIN_IDENTITY for r in got)
 
 
+def test_lines_and_words_said_often_do_not_meet_themselves(spark):
+    rng = np.random.default_rng(14)
+    # of a word said 60 times in a row only the first and the last seed make couples
+    hashes = np.full(60, 7, dtype=np.uint64)
+    ((_, key, owner, place),) = substring_dedup._rolled(hashes, np.array([60]), [4])
+    at, more = substring_dedup._ends(key, owner, place)
+    assert place[at].tolist() == [0, 56] and more.tolist() == [56, -56] and len(substring_dedup._couples(owner[at], place[at])[0]) == 1
+    # couples of different kinds and about as far apart meet one row of each earlier document; a common kind does not meet itself
+    n = 300
+    key, kind, far, asks = np.sort(rng.integers(0, 4, n)), rng.choice([0, 1, 1, 1, 2], n), rng.integers(4, 60, n).astype(np.uint8), rng.random(n) < 0.5
+    doc = np.concatenate([np.sort(rng.integers(0, 90, (key == k).sum())) for k in range(4)])
+    got = {(a, b) for own, held in substring_dedup._unlike(key, doc, kind, far, asks, 11) for a, b in zip(own.tolist(), held.tolist(), strict=True)}
+    fits = lambda i, j: key[i] == key[j] and doc[j] < doc[i] and (kind[i] != kind[j] or kind[i] == 0) and abs(int(far[i]) - int(far[j])) <= 11
+    assert got and all(asks[i] and fits(i, j) for i, j in got)
+    same = np.zeros(5000, dtype=np.int64)
+    assert not sum(len(own) for own, _ in substring_dedup._unlike(same, np.arange(5000), same + 1, same + 9, same == 0, 11))
+    # one row of each document: every pair that fits is met
+    doc = np.concatenate([np.arange((key == k).sum()) for k in range(4)])
+    got = {(a, b) for own, held in substring_dedup._unlike(key, doc, kind, far, asks, 11) for a, b in zip(own.tolist(), held.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(n) if asks[i] for j in range(n) if fits(i, j)}
+    # rows of a large key are sought by what is around them, and none is lost
+    base = rng.integers(1, 60, (8, 52)).astype(np.uint16)
+    around = base[rng.integers(0, 8, n)]
+    for row in around:
+        row[rng.integers(0, 52, rng.integers(0, 12))] = 99
+        if rng.random() < 0.4:
+            cut = rng.integers(0, 20)
+            row[cut + 1 : 26] = row[cut : 25].copy()
+    pairs = []
+    for many in (1 << 30, 2):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(substring_dedup, "MANY", many)
+            pairs.append({(a, b) for own, held in substring_dedup._alike(key, doc, around, asks, 20, 6) for a, b in zip(own.tolist(), held.tolist(), strict=True)})
+
+    def fewest(i, j):
+        one, two = ([c for c, _ in substring_dedup._outward(around[i][x], around[j][x], 20, 20)] for x in (slice(0, 26), slice(26, 52)))
+        return min(one[x] + two[20 - x] for x in range(21) if x < len(one) and 20 - x < len(two))
+
+    assert pairs[1] <= pairs[0] and all(fewest(i, j) > 6 for i, j in pairs[0] - pairs[1]) and len(pairs[1]) > 100
+
+
 def test_passages_meet_holders_between_the_first_and_the_last_of_their_pieces(spark):
     rng = random.Random(13)
     rows, want = [], {}
